@@ -37,6 +37,13 @@ def ntz(value: dt.datetime | Column) -> Column:
     return F.lit(text).cast("timestamp_ntz")
 
 
+def utc_now() -> Column:
+    """The query's current time. On a stream it is the batch's own time, which
+    is recorded and the same again when the batch is retried."""
+    now = F.to_utc_timestamp(F.current_timestamp(), F.current_timezone())
+    return now.cast("timestamp_ntz")
+
+
 def day(value: dt.datetime) -> Column:
     """The date literal of a Python time, for partition bounds."""
     return F.lit(utc(value).date())

@@ -12,7 +12,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logstrata.functions.time import day, from_ms, ntz, utc
+from logstrata.functions.time import day, from_ms, ntz, to_ms, utc
 
 #: Filter key -> column, for the exact text filters.
 TEXT_FILTERS = {
@@ -33,7 +33,8 @@ _INTEGER = re.compile(r"[+-]?[0-9]+")
 _MAX_INT64 = 2**63
 
 
-def _int64(text: str) -> int | None:
+def toto_int64(text: str) -> int | None:
+    """A decimal text as a 64-bit integer, else None."""
     if not _INTEGER.fullmatch(text):
         return None
     value = int(text)
@@ -52,11 +53,11 @@ def read_filters(request: Mapping[str, str | None]) -> dict[str, Any]:
         if request.get(key):
             filters[key] = request[key]
     for key in CODE_FILTERS:
-        codes = [_int64(item) for item in (request.get(key) or "").split(",")]
+        codes = [to_int64(item) for item in (request.get(key) or "").split(",")]
         codes = [code for code in codes if code is not None]
         if codes:
             filters[key] = codes
-    bounds = [_int64(part) for part in (request.get("timestamp") or "").split("-")]
+    bounds = [to_int64(part) for part in (request.get("timestamp") or "").split("-")]
     if len(bounds) == 2 and None not in bounds:
         times = [from_ms(ms) for ms in bounds]
         if None not in times:
@@ -70,7 +71,7 @@ def read_cursor(text: str | None, now: dt.datetime) -> dt.datetime:
     Blank or unreadable text means a minute from now.
     """
     latest = utc(now) + CLOCK_SKEW
-    ms = _int64(text) if text else None
+    ms = to_int64(text) if text else None
     if ms is None:
         return latest
     asked = from_ms(ms)
@@ -155,7 +156,14 @@ def without_range(filters: Mapping[str, Any] | None) -> dict[str, Any]:
 
 
 def in_open_range(ts: Column, start: dt.datetime, end: dt.datetime | None) -> Column:
-    """Re-filter of rows in hand: both ends exclusive; no end = same day."""
+    """Re-filter of rows in hand: both ends exclusive; no end = same day.
+
+    Rows in hand count in whole milliseconds, so a time inside the start's
+    millisecond is not after it.
+    """
     if end is None:
-        return F.coalesce(F.to_date(ts) == day(start), F.lit(False))
-    return F.coalesce((ts > ntz(start)) & (ts < ntz(end)), F.lit(False))
+        inside = F.to_date(ts) == day(start)
+    else:
+        first = from_ms(to_ms(start) + 1)
+        inside = (ts >= ntz(first)) & (ts < ntz(from_ms(to_ms(end))))
+    return F.coalesce(inside, F.lit(False))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from logstrata.functions import structured_data as sd
 from logstrata.functions.time import epoch_ms, ntz
-from logstrata.operators.filters import where
+from logstrata.operators.filters import to_int64, where
 
 DEFAULT_SIZE = 50
 
@@ -64,11 +64,8 @@ def read_sort(text: str | None) -> tuple[str, bool]:
 
 def read_size(text: str | int | None) -> int:
     """Page size; anything but a positive integer means the default."""
-    try:
-        size = int(text) if text is not None else 0
-    except ValueError:
-        return DEFAULT_SIZE
-    return size if size > 0 else DEFAULT_SIZE
+    size = to_int64(str(text)) if text is not None else None
+    return size if size and size > 0 else DEFAULT_SIZE
 
 
 def ordering(sort: tuple[str, bool] = ("timestamp", False)) -> list[Column]:
