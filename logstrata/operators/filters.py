@@ -33,7 +33,7 @@ _INTEGER = re.compile(r"[+-]?[0-9]+")
 _MAX_INT64 = 2**63
 
 
-def toto_int64(text: str) -> int | None:
+def to_int64(text: str) -> int | None:
     """A decimal text as a 64-bit integer, else None."""
     if not _INTEGER.fullmatch(text):
         return None

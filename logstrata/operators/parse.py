@@ -98,13 +98,15 @@ def parse(
         )
         log = F.when(col("_ok") & col("_fault5").isNull(), entry).otherwise(log)
     reject = reason.isNotNull()
-    return df.select(
-        *rest,
+    result = F.struct(
         log.alias("log"),
         F.when(reject, col("line")).alias("line"),
         F.when(reject, F.lit(fmt)).alias("format"),
         reason.alias("reason"),
     )
+    # A generator keeps later filters above it. Pushed below, a filter on the
+    # result would repeat the whole parse, and planning it would take minutes.
+    return df.select(*rest, F.inline(F.array(result)))
 
 
 def entries(parsed: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from typing import Any
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from logstrata.functions.time import day, from_ms
+from logstrata.functions.time import from_ms
 from logstrata.operators import aggregates, paging
 from logstrata.operators.filters import where
 from logstrata.plans.explore import Request, cursors
@@ -47,20 +47,22 @@ def page_by_days(logs: DataFrame, days: list[dt.date], request: Request) -> list
         asked.reverse()
     take = 1
     while True:
-        nearest = asked[:take]
-        if not nearest:
-            return []
-        first, last = min(nearest), max(nearest)
-        rows = paging.page(
-            logs.filter(F.col("dt").between(F.lit(first), F.lit(last))),
+        rows = logs
+        if take < len(asked):
+            # Open towards the sorted end, so that nothing before the first
+            # rows of the page can be left out.
+            edge, on_day = F.lit(asked[take - 1]), F.col("dt")
+            rows = logs.filter(on_day <= edge if ascending else on_day >= edge)
+        found = paging.page(
+            rows,
             request.size,
             request.filters,
             request.cursor,
             request.direction,
             request.sort,
         ).collect()
-        if len(rows) == request.size or take >= len(asked):
-            return rows
+        if len(found) == request.size or take >= len(asked):
+            return found
         take *= _GROWTH
 
 

@@ -39,7 +39,7 @@ FILE_BYTES = 256 * 1024 * 1024
 
 
 def row_ids(batch: int) -> Column:
-    """Unique ids for the rows of one batch.
+    """Unique ids for the rows of one batch, from ``_position``.
 
     A batch beyond the bounds (16,384 tasks, 67 million rows per task) fails
     rather than repeat an id; split it, for instance with a source option such
@@ -47,8 +47,8 @@ def row_ids(batch: int) -> Column:
     """
     if not 0 <= batch < 2**_BATCH_BITS:
         raise ValueError(f"batch number {batch} does not fit {_BATCH_BITS} bits")
-    task = F.spark_partition_id().cast("long")
-    row = F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1))
+    # Spark's own id is the task number above 33 bits of row number.
+    task, row = F.shiftright("_position", 33), F.col("_position") % 2**33
     fits = (task < 2**_TASK_BITS) & (row < 2**_ROW_BITS)
     base = F.lit(batch << (_TASK_BITS + _ROW_BITS)).cast("long")
     too_big = F.raise_error(F.lit("batch too large for row ids")).cast("long")
@@ -76,6 +76,7 @@ def write_batch(
     spark = lines.sparkSession
     remove_batch(spark, root, batch)
     parsed = parse(lines, now, fmt, tz, max_bytes)
+    parsed = parsed.withColumn("_position", F.monotonically_increasing_id())
     is_log = F.col("log").isNotNull()
     received = F.to_date(ntz(now))
     rows = parsed.select(
@@ -149,10 +150,22 @@ def hourly(logs: DataFrame) -> DataFrame:
     )
 
 
+def _day(path: str) -> dt.date:
+    """Day of a partition folder; the nearest Python date beyond years 1-9999."""
+    text = path.rsplit("=", 1)[1]
+    if text.startswith(("-", "0000")):
+        return dt.date.min
+    return dt.date.max if text.startswith("+") else dt.date.fromisoformat(text)
+
+
+def day_folders(spark: SparkSession, root: str) -> dict[str, dt.date]:
+    """Partition folders of the log table with their days."""
+    return {p: _day(p) for p in files.matching(spark, f"{root}/outcome=logs/dt=*")}
+
+
 def log_days(spark: SparkSession, root: str) -> list[dt.date]:
     """Days the log table has a folder for, oldest first."""
-    names = files.matching(spark, f"{root}/outcome=logs/dt=*")
-    return sorted(dt.date.fromisoformat(name.rsplit("=", 1)[1]) for name in names)
+    return sorted(set(day_folders(spark, root).values()))
 
 
 # --- Replacing folders -----------------------------------------------------
@@ -196,14 +209,14 @@ def retain(spark: SparkSession, root: str, now: dt.datetime, minutes: int) -> in
     cutoff = utc(now) - dt.timedelta(minutes=minutes)
     edge = cutoff.date()
     logs = read_logs(spark, root)
-    old_days = [d for d in log_days(spark, root) if d < edge]
-    deleted = logs.filter(F.col("dt") < F.lit(edge)).count() if old_days else 0
+    old = [p for p, day in day_folders(spark, root).items() if day < edge]
+    deleted = logs.filter(F.col("dt") < F.lit(edge)).count() if old else 0
     edge_rows = logs.filter(F.col("dt") == F.lit(edge))
     expired = edge_rows.filter(F.col("timestamp") < ntz(cutoff)).count()
     if deleted + expired == 0:
         return 0
-    for day in old_days:
-        files.delete(spark, f"{root}/outcome=logs/dt={day}")
+    for path in old:
+        files.delete(spark, path)
     if expired:
         kept = edge_rows.filter(F.col("timestamp") >= ntz(cutoff)).drop("dt")
         _replace(spark, root, f"outcome=logs/dt={edge}", kept, "ingest_batch")
