@@ -91,7 +91,7 @@ def fault(parts: Column, data: Column, elements: Column, stamp: Column) -> Colum
 
 
 def split_data(data: Column) -> Column:
-    """Elements of the structured data as written; NULL if there are none."""
+    """Elements of the structured data; NULL if there are none."""
     return F.when(F.startswith(data, F.lit("[")), sd.split_elements(data))
 
 
@@ -110,7 +110,7 @@ def entry(
         field(parts, "proc").alias("procid"),
         field(parts, "msgid").alias("msgid"),
         F.when(elements.isNull(), F.lit("-"))
-        .otherwise(sd.to_json_text(sd.elements(elements)))
+        .otherwise(sd.to_json_text(elements))
         .alias("structured_data"),
         message(parts, data).alias("msg"),
     )

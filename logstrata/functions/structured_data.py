@@ -36,7 +36,7 @@ def _last_wins(pairs: Column) -> Column:
     # A one-element transform gives the sorted array a name, so that the
     # neighbour test does not sort again for every element.
     kept = F.transform(
-        F.array(F.array_sort(numbered)),
+        F.array(F.sort_array(numbered)),
         lambda a: F.filter(
             a, lambda e, i: (i == F.size(a) - 1) | (F.get(a, i + 1)["k"] != e["k"])
         ),
@@ -47,8 +47,12 @@ def _last_wins(pairs: Column) -> Column:
 
 
 def split_elements(sd: Column) -> Column:
-    """Array of (id, parameter names, parameter values) of a text, in order."""
-    return F.transform(
+    """Array of (id, parameter names, parameter values) of a text, by id.
+
+    ``sort_array`` compares values directly; ``array_sort`` would run a
+    comparison lambda for each pair.
+    """
+    found = F.transform(
         F.regexp_extract_all(sd, F.lit(_ELEMENTS), F.lit(0)),
         lambda e: F.struct(
             F.regexp_extract(e, rf"^\[({NAME})", 1).alias("k"),
@@ -63,45 +67,32 @@ def split_elements(sd: Column) -> Column:
             .alias("values"),
         ),
     )
+    return F.sort_array(found)
 
 
-def elements(split: Column) -> Column:
-    """``split_elements`` as an array of (id, parameter map), sorted by id.
-
-    The maps are sorted by name. Names may repeat within an element; the last
-    value is the one kept.
-    """
-
-    def param_map(e: Column) -> Column:
-        pairs = F.arrays_zip(e["names"], e["values"])
-        repeated = F.size(F.array_distinct(e["names"])) < F.size(e["names"])
-        ordered = F.when(repeated, _last_wins(pairs)).otherwise(F.array_sort(pairs))
-        return F.map_from_entries(ordered)
-
-    pairs = F.transform(
-        split, lambda e: F.struct(e["k"].alias("k"), param_map(e).alias("m"))
-    )
-    # Structs that hold a map have no order of their own, hence the comparator.
-    ordered = F.array_sort(
-        pairs,
-        lambda a, b: F.when(a["k"] < b["k"], -1).when(a["k"] > b["k"], 1).otherwise(0),
-    )
-    return F.when(F.size(split) > 1, ordered).otherwise(pairs)
+def has_duplicate_ids(split: Column) -> Column:
+    """True if an element id occurs twice, which the RFC forbids."""
+    ids = F.transform(split, lambda e: e["k"])
+    return (F.size(split) > 1) & (F.size(F.array_distinct(ids)) < F.size(split))
 
 
-def has_duplicate_ids(pairs: Column) -> Column:
-    """True if an element id occurs twice, which the RFC forbids."""
-    ids = F.transform(pairs, lambda e: e["k"])
-    return F.size(F.array_distinct(ids)) < F.size(ids)
+def _param_map(element: Column) -> Column:
+    """Parameters of an element sorted by name; a repeated name's last value."""
+    names = element["names"]
+    pairs = F.arrays_zip(names, element["values"])
+    repeated = (F.size(names) > 1) & (F.size(F.array_distinct(names)) < F.size(names))
+    ordered = F.when(repeated, _last_wins(pairs)).otherwise(F.sort_array(pairs))
+    return F.map_from_entries(ordered)
 
 
-def to_json_text(pairs: Column) -> Column:
-    """Stored form of ``elements``: a JSON object of objects, keys sorted.
+def to_json_text(split: Column) -> Column:
+    """Stored form of ``split_elements``: JSON, both key levels sorted.
 
     The ids must be distinct. Angle brackets, ampersands and the two Unicode
     line separators are written as escapes, as the stored format has them.
     """
-    text = F.to_json(F.map_from_entries(pairs))
+    entries = F.transform(split, lambda e: F.struct(e["k"], _param_map(e)))
+    text = F.to_json(F.map_from_entries(entries))
     for char in "<>&\u2028\u2029":
         text = F.replace(text, F.lit(char), F.lit(f"\\u{ord(char):04x}"))
     return text

@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 from logstrata.functions import rfc3164, rfc5424
 from logstrata.functions.text import trim_line
 from logstrata.functions.time import ntz
-from logstrata.schema import ENTRY, ENTRY_COLUMNS
+from logstrata.schema import ENTRY
 
 FORMATS = ("auto", "rfc5424", "rfc3164")
 
+#: Columns ``parse`` puts in the place of ``line``.
+RESULT = ("log", "line", "format", "reason")
+
 #: A line must be shorter than this; longer ones are rejected unparsed.
 MAX_LINE_BYTES = 1024 * 1024
 
@@ -35,7 +38,8 @@ def parse(
 
     Exactly one of ``log`` (an entry struct) and ``reason`` is set. ``line``
     and ``format`` are kept for rejects and NULL for entries. Blank lines are
-    dropped. Other input columns stay.
+    dropped. Other input columns stay. To get at one kind, use ``entries`` or
+    ``rejects`` rather than a filter.
 
     ``now`` stands in for a missing time and gives the year of an RFC 3164
     line; on a stream, pass ``current_timestamp()`` computed before the sink,
@@ -98,24 +102,30 @@ def parse(
         )
         log = F.when(col("_ok") & col("_fault5").isNull(), entry).otherwise(log)
     reject = reason.isNotNull()
-    result = F.struct(
+    return df.select(
+        *rest,
         log.alias("log"),
         F.when(reject, col("line")).alias("line"),
         F.when(reject, F.lit(fmt)).alias("format"),
         reason.alias("reason"),
     )
-    # A generator keeps later filters above it. Pushed below, a filter on the
-    # result would repeat the whole parse, and planning it would take minutes.
-    return df.select(*rest, F.inline(F.array(result)))
+
+
+# Both functions below unpack an array of one struct or none instead of
+# filtering. A filter on a parse result is pushed below the parse, which
+# repeats all of it in the condition and takes minutes to plan; a generator is
+# not pushed.
 
 
 def entries(parsed: DataFrame) -> DataFrame:
     """The accepted lines of ``parse`` as flat entry columns."""
-    rest = [c for c in parsed.columns if c not in ("log", "line", "format", "reason")]
-    taken = parsed.filter(F.col("log").isNotNull())
-    return taken.select(*rest, *[F.col(f"log.{c}").alias(c) for c in ENTRY_COLUMNS])
+    rest = [c for c in parsed.columns if c not in RESULT]
+    taken = F.when(F.col("log").isNotNull(), F.array("log"))
+    return parsed.select(*rest, F.inline(taken))
 
 
 def rejects(parsed: DataFrame) -> DataFrame:
     """The lines of ``parse`` that no parser took."""
-    return parsed.filter(F.col("reason").isNotNull()).drop("log")
+    rest = [c for c in parsed.columns if c not in RESULT]
+    reject = F.array(F.struct("line", "format", "reason"))
+    return parsed.select(*rest, F.inline(F.when(F.col("reason").isNotNull(), reject)))
