@@ -78,7 +78,7 @@ _RAW = f"SELECT {fx.RAW_5424} AS line FROM logs"
 @query("src_lines", _RAW)
 def src_lines(spark, sf):
     path = files.scratch(spark) + "/text"
-    padded = F.concat(F.lit(" 　"), "line", F.lit("\t\r\n"))
+    padded = F.concat(F.lit(" \u3000"), "line", F.lit("\t\r\n"))
     fx.raw_5424(fx.logs(spark, sf)).select(padded).write.text(path)
     return lines.clean(lines.text_lines(spark, path))
 
