@@ -79,24 +79,27 @@ def message(parts: Column, data: Column) -> Column:
     return F.substring(rest, F.length(data) + 2, F.length(rest))
 
 
-def fault(parts: Column, data: Column, elements: Column, stamp: Column) -> Column:
-    """Why the line is no RFC 5424 line; NULL if it is one."""
+def has_data(data: Column) -> Column:
+    """True if there are elements."""
+    return F.coalesce(F.startswith(data, F.lit("[")), F.lit(False))
+
+
+def fault(parts: Column, data: Column, twice: Column, stamp: Column) -> Column:
+    """Why the line is no RFC 5424 line; NULL if it is one.
+
+    ``twice`` tells if an element id occurs twice.
+    """
     has_stamp = field(parts, "local") != ""
     return (
         F.when(~matched(parts), F.lit("format"))
         .when(has_stamp & stamp.isNull(), F.lit("timestamp"))
         .when(data == "", F.lit("structured data"))
-        .when(elements.isNotNull() & sd.has_duplicate_ids(elements), F.lit("structured data"))
+        .when(twice, F.lit("structured data"))
     )
 
 
-def split_data(data: Column) -> Column:
-    """Elements of the structured data; NULL if there are none."""
-    return F.when(F.startswith(data, F.lit("[")), sd.split_elements(data))
-
-
 def entry(
-    parts: Column, data: Column, elements: Column, stamp: Column, now: Column
+    parts: Column, data: Column, json: Column, stamp: Column, now: Column
 ) -> Column:
     """The log entry of a faultless line."""
     pri = field(parts, "pri").try_cast("int")
@@ -109,8 +112,6 @@ def entry(
         field(parts, "app").alias("app_name"),
         field(parts, "proc").alias("procid"),
         field(parts, "msgid").alias("msgid"),
-        F.when(elements.isNull(), F.lit("-"))
-        .otherwise(sd.to_json_text(elements))
-        .alias("structured_data"),
+        F.coalesce(json, F.lit("-")).alias("structured_data"),
         message(parts, data).alias("msg"),
     )

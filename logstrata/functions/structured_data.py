@@ -24,6 +24,51 @@ _ELEMENTS = f"(?s){ELEMENT}"
 _PARAMS = rf'(?s) ({NAME})="({VALUE})"'
 
 
+# Characters that need care: an escape in the text or in JSON, or a name
+# character that sorts before the closing quote of a name.
+_SPECIAL = r"[\\!<>&\x00-\x1f\u2028\u2029]"
+
+# A name that occurs twice in a row among sorted members.
+_REPEATED = r'"([^"]+)":"[^"]*","\1":'
+
+
+def pieces(data: Column) -> Column:
+    """Elements of a text without special characters, else NULL.
+
+    Each is ``[id`` and then a line break and a JSON member per parameter.
+    Such a text holds no bracket or line break of its own, so two passes over
+    it split it.
+    """
+    members = F.regexp_replace(data, rf' ({NAME})="([^"]*+)"', '\n"$1":"$2"')
+    split = F.array_remove(F.split(members, "]"), "")
+    return F.when(~F.rlike(data, F.lit(_SPECIAL)), split)
+
+
+def pieces_repeat_ids(found: Column) -> Column:
+    """True if an element id occurs twice, which the RFC forbids."""
+    ids = F.transform(found, lambda e: F.substring_index(e, "\n", 1))
+    return (F.size(found) > 1) & (F.size(F.array_distinct(ids)) < F.size(found))
+
+
+def pieces_to_json(found: Column) -> Column:
+    """Stored form of ``pieces``; NULL if an element repeats a name.
+
+    Members and elements are sorted as text, which sorts them by name.
+    """
+
+    def element(piece: Column) -> Column:
+        lines = F.split(piece, "\n")
+        members = F.sort_array(F.slice(lines, F.lit(2), F.size(lines)))
+        sd_id = F.substring(F.get(lines, 0), F.lit(2), F.length(piece))
+        return F.concat(
+            F.lit('"'), sd_id, F.lit('":{'), F.array_join(members, ","), F.lit("}")
+        )
+
+    elements = F.array_join(F.sort_array(F.transform(found, element)), ",")
+    text = F.concat(F.lit("{"), elements, F.lit("}"))
+    return F.when(~F.rlike(text, F.lit(_REPEATED)), text)
+
+
 def _unescape(value: Column) -> Column:
     return F.regexp_replace(value, r'\\(["\\\]])', "$1")
 

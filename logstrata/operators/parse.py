@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logstrata.functions import rfc3164, rfc5424
+from logstrata.functions import structured_data as sd
 from logstrata.functions.text import trim_line
 from logstrata.functions.time import ntz
 from logstrata.schema import ENTRY
@@ -27,6 +28,31 @@ def log_format(fmt: str) -> str:
     return fmt if fmt in FORMATS else "auto"
 
 
+def _with_json(df: DataFrame) -> DataFrame:
+    """Add ``_json``, the stored form of ``_data``, and ``_twice``.
+
+    Most structured data is plain text, which a few string functions turn into
+    JSON. Text with escapes or repeated names takes the general way.
+    """
+    data, pieces, elements = F.col("_data"), F.col("_pieces"), F.col("_elements")
+    present = rfc5424.has_data(data)
+    df = df.withColumn("_pieces", F.when(present, sd.pieces(data)))
+    df = df.withColumn("_plain", F.when(pieces.isNotNull(), sd.pieces_to_json(pieces)))
+    general = present & F.col("_plain").isNull()
+    df = df.withColumn("_elements", F.when(general, sd.split_elements(data)))
+    return df.withColumns(
+        {
+            "_twice": F.when(elements.isNotNull(), sd.has_duplicate_ids(elements))
+            .when(pieces.isNotNull(), sd.pieces_repeat_ids(pieces))
+            .otherwise(F.lit(False)),
+            "_json": F.when(
+                elements.isNotNull() & ~sd.has_duplicate_ids(elements),
+                sd.to_json_text(elements),
+            ).otherwise(F.col("_plain")),
+        }
+    )
+
+
 def parse(
     lines: DataFrame,
     now: dt.datetime | Column,
@@ -64,11 +90,11 @@ def parse(
         df = df.withColumn(
             "_data", F.when(rfc5424.matched(col("_parts5")), rfc5424.data_text(col("_parts5")))
         )
-        df = df.withColumn("_elements", rfc5424.split_data(col("_data")))
+        df = _with_json(df)
         df = df.withColumn("_stamp5", rfc5424.timestamp(col("_parts5")))
         df = df.withColumn(
             "_fault5",
-            rfc5424.fault(col("_parts5"), col("_data"), col("_elements"), col("_stamp5")),
+            rfc5424.fault(col("_parts5"), col("_data"), col("_twice"), col("_stamp5")),
         )
 
     if fmt == "rfc5424":
@@ -98,7 +124,7 @@ def parse(
         log = taken.cast(ENTRY.simpleString())
     if fmt != "rfc3164":
         entry = rfc5424.entry(
-            col("_parts5"), col("_data"), col("_elements"), col("_stamp5"), now
+            col("_parts5"), col("_data"), col("_json"), col("_stamp5"), now
         )
         log = F.when(col("_ok") & col("_fault5").isNull(), entry).otherwise(log)
     reject = reason.isNotNull()
