@@ -19,14 +19,12 @@ REGEX_SPACE = "\t\n\x0c\r "
 def trim_line(line: Column) -> Column:
     """Strip Unicode white space from both ends.
 
-    A ``\\s+$`` pattern would retry at every inner run of blanks, which is
-    quadratic on a hostile line. A trim with a character set is linear, but
-    measures every character, so lines that need none skip it.
+    A pattern for trailing blanks would retry at every inner run of them,
+    which is quadratic on a hostile line. A trim with a character set is
+    linear, but measures every character, so lines that need none skip it.
     """
-    blank_end = F.lit(False)
-    for char in WHITE_SPACE:
-        at_end = F.endswith(line, F.lit(char)) | F.startswith(line, F.lit(char))
-        blank_end = blank_end | at_end
+    ends = F.concat(F.substring(line, 1, 1), F.substring(line, -1, 1))
+    blank_end = F.rlike(ends, F.lit(f"[{WHITE_SPACE}]"))
     return F.when(blank_end, F.btrim(line, F.lit(WHITE_SPACE))).otherwise(line)
 
 

@@ -62,10 +62,10 @@ def parse(
 ) -> DataFrame:
     """Replace the column ``line`` by ``log``, ``line``, ``format``, ``reason``.
 
-    Exactly one of ``log`` (an entry struct) and ``reason`` is set. ``line``
-    and ``format`` are kept for rejects and NULL for entries. Blank lines are
-    dropped. Other input columns stay. To get at one kind, use ``entries`` or
-    ``rejects`` rather than a filter.
+    Of ``log`` (an entry struct) and ``reason`` exactly one is set, and none
+    for a blank line. ``line`` and ``format`` are kept for rejects and NULL for
+    entries. Other input columns stay. To get at one kind of rows, use
+    ``entries`` or ``rejects`` rather than a filter.
 
     ``now`` stands in for a missing time and gives the year of an RFC 3164
     line; on a stream, pass ``current_timestamp()`` computed before the sink,
@@ -79,8 +79,8 @@ def parse(
     size_ok = F.lit(True)
     if max_bytes is not None:
         size_ok = F.octet_length("line") < max_bytes
-    df = lines.select(*rest, trim_line(col("line")).alias("line"), size_ok.alias("_ok"))
-    df = df.filter(col("line") != "")
+    text = F.coalesce(trim_line(col("line")), F.lit(""))
+    df = lines.select(*rest, text.alias("line"), size_ok.alias("_ok"))
 
     if fmt == "rfc3164":
         df = df.withColumn("_fault5", F.lit("format"))
@@ -111,7 +111,8 @@ def parse(
     # The last parser tried gives the reason.
     last = col("_fault5") if fmt == "rfc5424" else col("_fault3")
     reason = (
-        F.when(~col("_ok"), F.lit("too long"))
+        F.when(col("line") == "", F.lit(None))
+        .when(~col("_ok"), F.lit("too long"))
         .when(col("_fault5").isNull() | col("_fault3").isNull(), F.lit(None))
         .otherwise(last)
     )

@@ -4,44 +4,19 @@ from __future__ import annotations
 
 import dataclasses
 import datetime as dt
-from collections.abc import Mapping
 from typing import Any
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logstrata.functions.time import bucket_start, to_ms
+from logstrata.functions.time import bucket_start
 from logstrata.operators import aggregates, paging
-from logstrata.operators.filters import (
-    read_cursor,
-    read_direction,
-    read_filters,
-    where,
-    without_range,
-)
+from logstrata.operators.filters import where, without_range
 from logstrata.plans import rollup as rollups
+from logstrata.plans.request import Request, cursors, read_request
+from logstrata.plans.walk import page_by_days
 
-
-@dataclasses.dataclass(frozen=True)
-class Request:
-    """What a report is asked for."""
-
-    cursor: dt.datetime
-    size: int = paging.DEFAULT_SIZE
-    direction: str = "next"
-    filters: Mapping[str, Any] = dataclasses.field(default_factory=dict)
-    sort: tuple[str, bool] = ("timestamp", False)
-
-
-def read_request(params: Mapping[str, str | None], now: dt.datetime) -> Request:
-    """A request given as text parameters; see the readers for the rules."""
-    return Request(
-        cursor=read_cursor(params.get("cursor"), now),
-        size=paging.read_size(params.get("size")),
-        direction=read_direction(params.get("direction")),
-        filters=read_filters(params),
-        sort=paging.read_sort(params.get("sort")),
-    )
+__all__ = ["Report", "Request", "explore", "read_request", "respond", "summary"]
 
 
 @dataclasses.dataclass
@@ -122,18 +97,17 @@ def explore(
     )
 
 
-def cursors(rows: list[Row]) -> tuple[int | None, int | None]:
-    """(next, previous) cursor of a collected page: its last and first row."""
-    if not rows:
-        return None, None
-    return to_ms(rows[-1]["timestamp"]), to_ms(rows[0]["timestamp"])
-
-
 def respond(
-    logs: DataFrame, request: Request, rollup: DataFrame | None = None
+    logs: DataFrame,
+    request: Request,
+    rollup: DataFrame | None = None,
+    days: list[dt.date] | None = None,
 ) -> dict[str, Any]:
     """Run a report and return it as one plain object.
 
+    ``days`` lists the partitions of a table partitioned by ``dt``; a page
+    sorted by time is then read from as few of them as fill it.
+
     Only the page (``size`` rows) and counts per bucket and code reach the
     driver. Without a rollup the summary is collected once and its parts are
     derived from that copy, so the log table is scanned twice in all.
@@ -145,7 +119,11 @@ def respond(
         report = _from_summary(
             report.page, spark.createDataFrame(sums.collect(), sums.schema)
         )
-    rows = paging.project(report.page).collect()
+    page = report.page
+    if days is not None and request.sort[0] == "timestamp":
+        found = page_by_days(logs, days, request)
+        page = logs.sparkSession.createDataFrame(found, page.schema)
+    rows = paging.project(page).collect()
     total = report.counts.first()
     facets: dict[str, list] = {"severity": [], "facility": []}
     for row in report.facets.orderBy("field", "value").collect():

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from logstrata.functions.time import from_ms
 from logstrata.operators import aggregates, paging
 from logstrata.operators.filters import where
-from logstrata.plans.explore import Request, cursors
+from logstrata.plans.request import Request, cursors
 
 #: How much further back each try of a day-wise page looks.
 _GROWTH = 4

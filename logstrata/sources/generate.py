@@ -79,12 +79,22 @@ DRAWS = (
 )
 
 
+def _raw_draws() -> list[Column]:
+    """A column per draw, each a slice of one of the row's hashes.
+
+    They are columns so that a draw used in many branches is decoded once.
+    """
+    columns = []
+    for index, name in enumerate(DRAWS):
+        hashed, part = divmod(index, _PER_HASH)
+        digits = F.substring(F.col(f"_hash{hashed}"), part * _DIGITS + 1, _DIGITS)
+        columns.append(F.conv(digits, 16, 10).cast("long").alias(f"_{name}"))
+    return columns
+
+
 def draw(name: str, low: int, high: int) -> Column:
-    """Number in low..high, one hash slice of the row's ``slot``."""
-    index = DRAWS.index(name)
-    hashed = F.col(f"_hash{index // _PER_HASH}")
-    digits = F.substring(hashed, index % _PER_HASH * _DIGITS + 1, _DIGITS)
-    return F.conv(digits, 16, 10).cast("long") % (high - low + 1) + low
+    """Number in low..high."""
+    return F.col(f"_{name}") % (high - low + 1) + low
 
 
 def _choice(name: str, values: list[str]) -> Column:
@@ -148,6 +158,7 @@ def seed_lines(slots: DataFrame, seed: int = 0) -> DataFrame:
         "day",
         *[F.md5(F.concat_ws(":", key, F.lit(i))).alias(f"_hash{i}") for i in range(hashes)],
     )
+    df = df.select("slot", "day", *_raw_draws())
     facility = F.get(F.array(*[F.lit(f) for f in FACILITIES]), draw("facility", 0, 19))
     at = F.col("day").cast("timestamp_ntz") + F.make_dt_interval(
         secs=draw("second", 0, 24 * 60 * 60 - 1)

@@ -77,6 +77,8 @@ def write_batch(
     remove_batch(spark, root, batch)
     parsed = parse(lines, now, fmt, tz, max_bytes)
     parsed = parsed.withColumn("_position", F.monotonically_increasing_id())
+    # Blank lines are neither. The position keeps this filter above the parse.
+    parsed = parsed.filter(F.col("log").isNotNull() | F.col("reason").isNotNull())
     is_log = F.col("log").isNotNull()
     received = F.to_date(ntz(now))
     rows = parsed.select(

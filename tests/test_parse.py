@@ -206,8 +206,41 @@ def test_structured_data_text(spark):
     assert taken[0]["msg"] == "[not data] x"
 
 
+def test_plain_and_general_structured_data_agree(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from logstrata.functions import structured_data as sd
+
+    rng = random.Random(7)
+    names = ["a", "a-b", "a.b", "ab", "A", "a~", "b", "z#"]
+    texts = []
+    for _ in range(300):
+        ids = rng.sample(names, rng.randint(1, 4))
+        texts.append(
+            "".join(
+                f"[{i}"
+                + "".join(
+                    f' {k}="{rng.choice(["", "1", "x y", "[=:", "caf" + chr(233)])}"'
+                    for k in rng.choices(names, k=rng.randint(0, 4))
+                )
+                + "]"
+                for i in ids
+            )
+        )
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    df = df.select("t", sd.pieces(F.col("t")).alias("p"), sd.split_elements(F.col("t")).alias("e"))
+    rows = df.select(
+        "t", sd.pieces_to_json(F.col("p")).alias("fast"), sd.to_json_text(F.col("e")).alias("slow")
+    ).collect()
+    fast = [r for r in rows if r["fast"] is not None]
+    assert len(fast) > 100
+    assert [r for r in fast if r["fast"] != r["slow"]] == []
+
+
 def test_white_space_and_blank_lines(spark):
-    taken, left = run(spark, ["", " \u3000\t", "\u00a0<1>1 - h a p m - x \x85\r"])
+    taken, left = run(spark, [None, " \u3000\t", "\u00a0<1>1 - h a p m - x \x85\r"])
     assert list(taken) == [2] and not left
     assert taken[2]["msg"] == "x"
 

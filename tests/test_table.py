@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from checks import fixtures as fx
+from logstrata.operators import paging
 from logstrata.plans import explore, walk
 from logstrata.schema import ENTRY_COLUMNS
 from logstrata.sources import files, lines, table
@@ -178,12 +179,14 @@ def test_page_by_days_equals_the_full_scan(spark, root, logs, ascending, size):
             filters={"facility": [3, 4, 5], "startDate": dt.datetime(2024, 1, 4)},
             sort=("timestamp", ascending),
         )
-        from logstrata.operators import paging
-
         want = paging.page(
             stored, size, request.filters, request.cursor, direction, request.sort
         ).collect()
         assert walk.page_by_days(stored, days, request) == want
+        if size == 40 and not ascending:
+            rollup = table.read_rollup(spark, root)
+            plain = explore.respond(stored, request)
+            assert explore.respond(stored, request, rollup, days) == plain
 
 
 def test_line_ends(spark, tmp_path):
