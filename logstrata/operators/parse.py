@@ -82,29 +82,34 @@ def parse(
     text = F.coalesce(trim_line(col("line")), F.lit(""))
     df = lines.select(*rest, text.alias("line"), size_ok.alias("_ok"))
 
+    # Both formats are split first and checked afterwards. That keeps each
+    # generated method below the 8,000 bytes of code up to which Java compiles.
+    not5 = F.lit(True)
+    if fmt != "rfc3164":
+        df = df.withColumn(
+            "_parts5", F.when(col("_ok"), rfc5424.split_header(col("line")))
+        )
+        not5 = ~rfc5424.matched(col("_parts5"))
+        df = df.withColumn("_data", F.when(~not5, rfc5424.data_text(col("_parts5"))))
+    if fmt != "rfc5424":
+        # A line with an RFC 5424 header has a digit where RFC 3164 wants a
+        # month, so only lines without one are tried.
+        parts = F.when(col("_ok") & not5, rfc3164.split_line(col("line")))
+        df = df.withColumn("_parts3", parts)
+        df = df.withColumn("_time3", rfc3164.split_time(col("_parts3")))
+
     if fmt == "rfc3164":
         df = df.withColumn("_fault5", F.lit("format"))
     else:
-        parts = F.when(col("_ok"), rfc5424.split_header(col("line")))
-        df = df.withColumn("_parts5", parts)
-        df = df.withColumn(
-            "_data", F.when(rfc5424.matched(col("_parts5")), rfc5424.data_text(col("_parts5")))
-        )
         df = _with_json(df)
         df = df.withColumn("_stamp5", rfc5424.timestamp(col("_parts5")))
         df = df.withColumn(
             "_fault5",
             rfc5424.fault(col("_parts5"), col("_data"), col("_twice"), col("_stamp5")),
         )
-
     if fmt == "rfc5424":
         df = df.withColumn("_fault3", F.lit("format"))
     else:
-        parts = F.when(
-            col("_ok") & col("_fault5").isNotNull(), rfc3164.split_line(col("line"))
-        )
-        df = df.withColumn("_parts3", parts)
-        df = df.withColumn("_time3", rfc3164.split_time(col("_parts3")))
         df = df.withColumn("_stamp3", rfc3164.timestamp(col("_time3"), now, tz))
         df = df.withColumn("_fault3", rfc3164.fault(col("_parts3"), col("_stamp3")))
 
