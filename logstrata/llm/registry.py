@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logstrata.llm import query_url_rules, query_warc
+from logstrata.llm import query_histogram_shards, query_url_rules, query_warc
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (query_warc, query_url_rules)
+MODULES = (query_warc, query_url_rules, query_histogram_shards)
 
 QUERIES: dict[str, Query] = {module.NAME: module.query for module in MODULES}
 ORACLES: dict[str, str] = {module.NAME: module.SQL for module in MODULES if module.SQL}
