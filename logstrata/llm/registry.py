@@ -6,10 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logstrata.llm import query_entropy_mix, query_histogram_shards, query_url_rules, query_warc
+from logstrata.llm import (
+    query_entropy_mix,
+    query_fertility,
+    query_histogram_shards,
+    query_url_rules,
+    query_warc,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (query_warc, query_url_rules, query_histogram_shards, query_entropy_mix)
+MODULES = (
+    query_warc,
+    query_url_rules,
+    query_histogram_shards,
+    query_fertility,
+    query_entropy_mix,
+)
 
 QUERIES: dict[str, Query] = {module.NAME: module.query for module in MODULES}
 ORACLES: dict[str, str] = {module.NAME: module.SQL for module in MODULES if module.SQL}
