@@ -10,6 +10,7 @@ from logstrata.llm import (
     query_entropy_mix,
     query_fertility,
     query_histogram_shards,
+    query_ngram_join,
     query_url_rules,
     query_warc,
 )
@@ -21,6 +22,7 @@ MODULES = (
     query_histogram_shards,
     query_fertility,
     query_entropy_mix,
+    query_ngram_join,
 )
 
 QUERIES: dict[str, Query] = {module.NAME: module.query for module in MODULES}
