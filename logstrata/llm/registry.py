@@ -11,6 +11,7 @@ from logstrata.llm import (
     query_fertility,
     query_histogram_shards,
     query_ngram_join,
+    query_passages,
     query_url_rules,
     query_warc,
 )
@@ -19,6 +20,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 MODULES = (
     query_warc,
     query_url_rules,
+    query_passages,
     query_histogram_shards,
     query_fertility,
     query_entropy_mix,
