@@ -35,6 +35,8 @@ FULL_TOKENS = 1024
 LEAST_DOCS = 50
 #: Least widths of the bands: characters per token, byte share, entropy.
 LEAST_WIDTH = (0.1, 0.05, 0.05)
+#: Most languages whose bands are broadcast; more are joined by a shuffle.
+BROADCAST_BANDS = 10_000
 MEASURES = ("chars_per_token", "byte_share", "entropy")
 #: First and last code points of scripts; letters elsewhere count as Latin.
 SCRIPTS = {
@@ -186,7 +188,10 @@ def judge(docs: DataFrame, vocabulary: str) -> DataFrame:
     low = [F.col(m) < F.col(f"{m}_q1") - F.col(f"{m}_reach") * wider for m in MEASURES]
     high = [F.col(m) > F.col(f"{m}_q3") + F.col(f"{m}_reach") * wider for m in MEASURES]
     outside = low[0] | high[0] | high[1] | low[2]
-    joined = measured.join(bands(measured), F.col("language") == F.col("band_of"), "left")
+    known = staged(bands(measured))
+    if known.count() <= BROADCAST_BANDS:
+        known = F.broadcast(known)
+    joined = measured.join(known, F.col("language") == F.col("band_of"), "left")
     return joined.select(
         *_NAMES,
         base_failed().alias("base_failed"),
