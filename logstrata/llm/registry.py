@@ -12,6 +12,7 @@ from logstrata.llm import (
     query_histogram_shards,
     query_ngram_join,
     query_passages,
+    query_pseudonyms,
     query_url_rules,
     query_warc,
 )
@@ -22,6 +23,7 @@ MODULES = (
     query_url_rules,
     query_passages,
     query_histogram_shards,
+    query_pseudonyms,
     query_fertility,
     query_entropy_mix,
     query_ngram_join,
