@@ -11,6 +11,7 @@ from logstrata.llm import (
     query_fertility,
     query_histogram_shards,
     query_ngram_join,
+    query_packing,
     query_passages,
     query_pseudonyms,
     query_url_rules,
@@ -20,6 +21,7 @@ from logstrata.llm import (
 Query = Callable[[SparkSession, str], DataFrame]
 MODULES = (
     query_warc,
+    query_packing,
     query_url_rules,
     query_passages,
     query_histogram_shards,
