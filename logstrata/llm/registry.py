@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from logstrata.llm import (
+    query_cap_filters,
     query_entropy_mix,
     query_fertility,
     query_histogram_shards,
@@ -25,6 +26,7 @@ MODULES = (
     query_url_rules,
     query_passages,
     query_histogram_shards,
+    query_cap_filters,
     query_pseudonyms,
     query_fertility,
     query_entropy_mix,
