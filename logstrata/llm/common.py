@@ -29,3 +29,27 @@ def staged(df: DataFrame) -> DataFrame:
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z; other letters stay."""
     return F.translate(text, UPPER, LOWER)
+
+
+#: Most keys that are broadcast to find their documents (about 40 bytes each).
+BROADCAST_KEYS = 500_000
+
+
+def text_hashes() -> tuple[Column, Column]:
+    """128 bits that stand for the text of a row."""
+    return F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2")
+
+
+def sized(keys: DataFrame) -> DataFrame:
+    """A staged table of keys, broadcast if it is small enough."""
+    keys = staged(keys)
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
+def without(docs: DataFrame, keys: DataFrame, names: list[str]) -> DataFrame:
+    """Rows of ``docs`` whose values of ``names`` are no row of ``keys``; null equals null."""
+    other = sized(keys.select([F.col(n).alias(f"_{n}") for n in names]).distinct())
+    same = F.lit(True)
+    for name in names:
+        same = same & F.col(name).eqNullSafe(F.col(f"_{name}"))
+    return docs.join(other, same, "left_anti")

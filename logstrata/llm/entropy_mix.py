@@ -15,7 +15,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logstrata.llm.common import staged
@@ -172,6 +172,20 @@ def mix(
     counted by (source, size), and a group to round has a bounded number of
     different rows, so that neither a hot source nor repeated rows meet in a task.
     """
+    rounded, known = _rounded(docs, weight, most)
+    each = rounded.select(
+        "doc_id", "source", "size", "copies", "extra",
+        F.explode(F.sequence(F.lit(1).cast("long"), "docs")).alias("nth"),
+    )
+    copies = F.col("copies") + F.when(F.col("nth") <= F.col("extra"), 1).otherwise(0)
+    return each.join(known, F.col("source").eqNullSafe(F.col("of"))).select(
+        "doc_id", "source", "size", "source_size", "target",
+        copies.alias("copies"), (copies * F.col("size")).alias("taken"),
+    )
+
+
+def _rounded(docs: DataFrame, weight, most: int) -> tuple[DataFrame, DataFrame]:
+    """Copies of each different (doc_id, source, size), and the table of sources."""
     sized = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
@@ -196,12 +210,33 @@ def mix(
     rounded = tilted.groupBy("source", "part").applyInPandas(
         _copies(most), "doc_id long, source string, size long, docs long, copies long, extra long"
     )
-    each = rounded.select(
-        "doc_id", "source", "size", "copies", "extra",
-        F.explode(F.sequence(F.lit(1).cast("long"), "docs")).alias("nth"),
-    )
-    copies = F.col("copies") + F.when(F.col("nth") <= F.col("extra"), 1).otherwise(0)
-    return each.join(known, F.col("source").eqNullSafe(F.col("of"))).select(
-        "doc_id", "source", "size", "source_size", "target",
-        copies.alias("copies"), (copies * F.col("size")).alias("taken"),
-    )
+    return rounded, known
+
+
+def repeat(
+    docs: DataFrame,
+    weight: Callable[[int], float] = lambda place: 1.0 + place % 3,
+    most: int = MOST,
+) -> DataFrame:
+    """The rows of ``docs``, with all their columns, as often as ``mix`` takes them.
+
+    Rows that are equal in id, source and size and whose copies do not come out
+    even are numbered by a hash of their text to tell which get one more.
+    """
+    rounded, _ = _rounded(docs, weight, most)
+    names = ["doc_id", "source", "size"]
+    given = rounded.select(*[F.col(n).alias(f"_{n}") for n in names], "docs", "copies", "extra")
+    own = (F.col("doc_id").cast("long"), F.col("source").cast("string"), words(F.col("text")))
+    columns = docs.columns
+    keyed = docs.select(F.struct(*columns).alias("row"), *[c.alias(n) for c, n in zip(own, names)])
+    same = F.lit(True)
+    for name in names:
+        same = same & F.col(name).eqNullSafe(F.col(f"_{name}"))
+    found = keyed.join(given, same)
+    even = found.filter(F.col("extra") == 0)
+    order = Window.partitionBy(names).orderBy(F.xxhash64("row.text"))
+    odd = found.filter(F.col("extra") > 0).withColumn("nth", F.row_number().over(order))
+    odd = odd.withColumn("copies", F.col("copies") + (F.col("nth") <= F.col("extra")).cast("long"))
+    taken = even.select("row", "copies").union(odd.select("row", "copies"))
+    taken = taken.filter(F.col("copies") > 0)
+    return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logstrata.llm import words as W
-from logstrata.llm.common import staged
+from logstrata.llm.common import staged, text_hashes, without
 
 SYMBOLS = b"#*$%&|<>"
 SPACE = b" \t\n\x0b\x0c\r"
@@ -100,7 +100,7 @@ def _measures(path: str):
         encoder, hashes = Encoder(path), W.WordHashes()
         for batch in batches:
             rows = []
-            for doc_id, text, lang in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for *keys, text, lang in zip(*(c.to_pylist() for c in batch.columns)):
                 text = text or b""
                 found = text.split()
                 counts = encoder.counts(found)
@@ -112,12 +112,12 @@ def _measures(path: str):
                 full = math.log2(min(tokens, FULL_TOKENS)) if tokens > 1 else 1.0
                 rows.append(
                     (
-                        doc_id, lang if lang is not None else script(text.decode()),
+                        *keys, lang, lang if lang is not None else script(text.decode()),
                         len(found), *own, tokens, own[0] / max(tokens, 1),
                         float(counts[encoder.is_byte].sum()) / max(tokens, 1), entropy / full,
                     )
                 )
-            columns = list(zip(*rows)) or [()] * 11
+            columns = list(zip(*rows)) or [()] * len(_NAMES)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(columns, _TYPES)], _NAMES
             )
@@ -126,10 +126,10 @@ def _measures(path: str):
 
 
 _NAMES = (
-    "doc_id language n_words word_chars n_symbols n_dup_lines n_repeat_words n_tokens "
+    "doc_id h1 h2 lang language n_words word_chars n_symbols n_dup_lines n_repeat_words n_tokens "
     "chars_per_token byte_share entropy"
 ).split()
-_TYPES = [pa.int64(), pa.string()] + [pa.int64()] * 6 + [pa.float64()] * 3
+_TYPES = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64()] * 6 + [pa.float64()] * 3
 _SCHEMA = ", ".join(
     f"{n} {'string' if t == pa.string() else 'double' if t == pa.float64() else 'long'}"
     for n, t in zip(_NAMES, _TYPES)
@@ -143,13 +143,14 @@ def base_failed() -> Column:
 
 
 def measure(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """The measures of every document, in one pass without a shuffle.
+    """The measures of every document and hashes of its text, without a shuffle.
 
     ``vocabulary`` is the path of a SentencePiece model with byte fallback,
     which every executor has. Null and empty texts have no words and no tokens.
     """
     taken = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
+        *text_hashes(),
         F.col("text").cast("binary").alias("text"),
         F.col("lang").cast("string").alias("lang"),
     )
@@ -198,3 +199,20 @@ def judge(docs: DataFrame, vocabulary: str) -> DataFrame:
         F.coalesce(outside, F.lit(False)).alias("outside"),
         (~base_failed() & ~F.coalesce(outside, F.lit(False))).alias("kept"),
     )
+
+
+def keep(docs: DataFrame, vocabulary: str) -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, with all their columns.
+
+    A verdict depends on text and language alone, which are the keys that
+    rejected rows are found by.
+    """
+    rejected = judge(docs, vocabulary).filter(~F.col("kept"))
+    columns = docs.columns
+    language = F.col("lang").cast("string")
+    keyed = docs.withColumns(dict(zip(("_h1_", "_h2_"), text_hashes())))
+    keyed = keyed.withColumn("_lang_", language)
+    given = rejected.select(
+        F.col("h1").alias("_h1_"), F.col("h2").alias("_h2_"), F.col("lang").alias("_lang_")
+    )
+    return without(keyed, given, ["_h1_", "_h2_", "_lang_"]).select(columns)

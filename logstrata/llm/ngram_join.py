@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logstrata.llm import words as W
-from logstrata.llm.common import staged
+from logstrata.llm.common import sized, staged, text_hashes, without
 from logstrata.llm.components import components
 
 #: Words of a shingle, and the least similarity in percent.
@@ -35,8 +35,6 @@ STEPS = (1, 2, 3)
 VERIFY_COST = 8.0
 #: Rounds in which each set is compared with one other before all pairs are.
 STAR_ROUNDS = 2
-#: Most sets whose keys are broadcast to find their texts (about 40 bytes each).
-BROADCAST_KEYS = 500_000
 
 
 def shingles(text: bytes | None, hashes: W.WordHashes) -> np.ndarray:
@@ -150,8 +148,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
     """doc_id, text as bytes and two hashes of the text."""
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        F.xxhash64("text").alias("h1"),
-        F.xxhash64(F.lit(1), "text").alias("h2"),
+        *text_hashes(),
         F.col("text").cast("binary").alias("text"),
     )
 
@@ -177,11 +174,8 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame
     """The pairs (a, b) of classes whose whole sets are similar."""
     pairs = staged(pairs.select("a", "b").distinct())
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b"))).distinct()
-    wanted = staged(classes.join(ids, "id", "left_semi").select("id", "at"))
-    keys = wanted.select("id", F.col("at.h1").alias("h1"), F.col("at.h2").alias("h2"),
-                         F.col("at.doc_id").alias("of"))
-    if keys.count() <= BROADCAST_KEYS:
-        keys = F.broadcast(keys)
+    wanted = classes.join(ids, "id", "left_semi")
+    keys = sized(wanted.select("id", "at.h1", "at.h2", F.col("at.doc_id").alias("of")))
     texts = _keyed(docs).join(keys, ["h1", "h2"]).filter(F.col("doc_id").eqNullSafe(F.col("of")))
     sets = texts.select("id", "text").mapInArrow(_whole, "id long, grams array<long>")
     sets = staged(sets.groupBy("id").agg(F.first("grams").alias("grams")))
@@ -292,11 +286,11 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         found = verified(docs, classes, _star_pairs(_with_groups(rows, edges), turn))
         edges = found if edges is None else edges.union(found)
     found = verified(docs, classes, _all_pairs(staged(_with_groups(rows, edges))))
-    return sets.select("doc_id", *_SET), classes, edges.union(found)
+    return sets.select("doc_id", "h1", "h2", *_SET), classes, edges.union(found)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of ``docs``.
+    """doc_id, n_shingles, component_id and the group's root of every row of ``docs``.
 
     Two documents link when their sets of five-word shingles have a Jaccard
     similarity of at least 80 percent; component_id is the smallest doc_id that
@@ -309,7 +303,45 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ids = classes.filter(F.col("n") > 0).join(roots, "id", "left")
     ids = ids.withColumn("root", F.coalesce("root", "id"))
     least = ids.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    known = ids.join(least, "root").select(*_SET, "component_id")
+    known = ids.join(least, "root").select(*_SET, "component_id", "root")
     linked = documents.join(known, _SET, "left")
     own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return linked.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    return linked.select(
+        "doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), "h1", "h2", "root"
+    )
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each group of near duplicates, with all its columns.
+
+    That of the smallest doc_id stays (null is the largest; of several texts
+    with this id the one of the smallest hash). Rows without words all stay. Of
+    rows with equal id and text, one stays, whichever it is.
+    """
+    key = ["doc_id", "h1", "h2"]
+    found = staged(near_duplicates(docs).filter(F.col("root").isNotNull()))
+    keys = staged(found.groupBy("root", *key).agg(F.count("*").alias("rows")))
+    order = F.struct(F.col("doc_id").isNull(), *key)
+    first = keys.groupBy("root").agg(F.min(order).alias("first"))
+    both = keys.join(first, "root")
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id"))
+    stays = stays & (F.col("h1") == F.col("first.h1")) & (F.col("h2") == F.col("first.h2"))
+    marked = staged(both.select(*key, "rows", stays.alias("stays")))
+    named = {f"_{name}_": F.col(name) for name in key}
+    columns, names = docs.columns, list(named)
+    hashed = dict(zip(names, (F.col("doc_id").cast("long"), *text_hashes())))
+    keyed = docs.withColumns(hashed)
+    gone = marked.filter(~F.col("stays") | (F.col("rows") > 1)).select(
+        [column.alias(name) for name, column in named.items()]
+    )
+    single = without(keyed, gone, names).select(columns)
+    again = sized(
+        marked.filter(F.col("stays") & (F.col("rows") > 1)).select(
+            [column.alias(f"of{name}") for name, column in named.items()]
+        )
+    )
+    same = F.lit(True)
+    for name in names:
+        same = same & F.col(name).eqNullSafe(F.col(f"of{name}"))
+    several = keyed.join(again, same, "left_semi").dropDuplicates(names).select(columns)
+    return single.union(several)

@@ -26,4 +26,4 @@ def vocabulary(name: str) -> str:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return fertility.judge(docs, vocabulary("piece_bpe_32k.model"))
+    return fertility.judge(docs, vocabulary("piece_bpe_32k.model")).drop("h1", "h2", "lang")

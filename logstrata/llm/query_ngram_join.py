@@ -11,7 +11,8 @@ NAME = "op10_ngram_join"
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+    found = ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id")
 
 
 #: Candidates share one of the shingles that come first by frequency; pairs are
