@@ -6,6 +6,11 @@ similarity share at least l of their first ``n - t + l`` shingles, t being the
 overlap that a set of n needs. A longer prefix costs more rows but asks for more
 shared ones, so each document takes the l that its estimated candidates make
 cheapest. Pairs with enough shared shingles are verified on their whole sets.
+
+What holds for l holds for one shared shingle too: only the shortest prefixes
+are joined, and of the smaller set only the part that a partner of its size or
+more asks for. The longer prefixes then sort out sets that share too little with
+all others together, and pairs that share too little with each other.
 """
 
 from __future__ import annotations
@@ -14,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logstrata.llm import words as W
@@ -33,8 +38,10 @@ BASE = 16
 STEPS = (1, 2, 3)
 #: Cost of verifying a candidate, in rows of prefixes.
 VERIFY_COST = 8.0
+#: Bits of a set's parity sketch.
+PARITY_BITS = 256
 #: Rounds in which each set is compared with one other before all pairs are.
-STAR_ROUNDS = 2
+STAR_ROUNDS = 1
 
 
 def shingles(text: bytes | None, hashes: W.WordHashes) -> np.ndarray:
@@ -96,6 +103,15 @@ def sketch(docs: DataFrame) -> np.ndarray:
     return np.round(4 * np.log2(counts)).astype(np.uint8)
 
 
+def parity(grams: np.ndarray) -> np.ndarray:
+    """Whether an odd number of shingles falls on each of some bits, in 64-bit integers.
+
+    Two sets differ in at least as many shingles as their sketches in bits.
+    """
+    at = ((grams >> np.uint64(32)) & np.uint64(PARITY_BITS - 1)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=PARITY_BITS) & 1).view(np.int64)
+
+
 def least_overlap(n: int) -> int:
     """Shingles that a set of n shares with any set similar to it."""
     return -(-PERCENT * n // 100)
@@ -121,7 +137,7 @@ def _sets(level_of):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, levels = W.WordHashes(), level_of.value
         for batch in batches:
-            n, one, two, asked, firsts = [], [], [], [], []
+            n, one, two, asked, firsts, odd = [], [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 grams = shingles(text, hashes)
                 n.append(len(grams))
@@ -131,14 +147,15 @@ def _sets(level_of):
                 got = prefix(grams, level) if len(grams) else (0, grams)
                 asked.append(got[0])
                 firsts.append(got[1].view(np.int64))
+                odd.append(parity(grams))
             rows = [pa.array(x, pa.uint64()).view(pa.int64()) for x in (one, two)]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"), batch.column("h1"), batch.column("h2"),
                     pa.array(n, pa.int64()), *rows, pa.array(asked, pa.int64()),
-                    pa.array(firsts, pa.list_(pa.int64())),
+                    pa.array(firsts, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64())),
                 ],
-                ["doc_id", "h1", "h2", "n", "one", "two", "asked", "tokens"],
+                ["doc_id", "h1", "h2", "n", "one", "two", "asked", "tokens", "parity"],
             )
 
     return make
@@ -172,7 +189,11 @@ def _fits(n: Column, m: Column) -> Column:
 
 def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes whose whole sets are similar."""
-    pairs = staged(pairs.select("a", "b").distinct())
+    one, two = (
+        classes.select(F.col("id").alias(c), F.struct("n", "parity").alias(f"of_{c}")) for c in "ab"
+    )
+    pairs = pairs.select("a", "b").distinct().join(one, "a").join(two, "b")
+    pairs = staged(pairs.filter(_may_link("of_a", "of_b")).select("a", "b"))
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b"))).distinct()
     wanted = classes.join(ids, "id", "left_semi")
     keys = sized(wanted.select("id", "at.h1", "at.h2", F.col("at.doc_id").alias("of")))
@@ -188,21 +209,35 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame
     )
 
 
+def _shared(rows: DataFrame) -> DataFrame:
+    """Rows of tokens that more than one set has."""
+    sets = F.count("*").over(Window.partitionBy("token"))
+    return rows.withColumn("sets", sets).filter(F.col("sets") > 1).drop("sets")
+
+
 def _pruned(rows: DataFrame) -> DataFrame:
-    """Rows of sets that still have as many shared tokens as any partner asks for.
+    """Rows of sets that have as many shared tokens as any partner asks for.
 
     A partner of a set of n has at least ``least_overlap(n)`` shingles, so that
     the smaller of both numbers of matches is at least the one for that size.
     """
-    shared = rows.groupBy("token").agg(F.count("*").alias("sets")).filter(F.col("sets") > 1)
-    rows = rows.join(shared.select("token"), "token")
-    least = F.ceil(PERCENT * F.col("n") / 100)
+    least = _least(F.col("n"))
     enough = 1 + F.floor(least / BASE)
     have = rows.groupBy("id", "n").agg(F.count("*").alias("have"))
     kept = have.filter(F.col("have") >= F.least(enough, least)).select("id")
     return rows.join(kept, "id")
 
 
+def _least(n: Column) -> Column:
+    """``least_overlap`` as a column."""
+    return F.floor((PERCENT * n + 99) / 100)
+
+
+def _least_with_larger(n: Column) -> Column:
+    """Shingles that a set of n shares with any similar one of n or more."""
+    return F.floor((2 * PERCENT * n + 99 + PERCENT) / (100 + PERCENT))
+
+
 def _with_groups(rows: DataFrame, edges: DataFrame | None) -> DataFrame:
     if edges is None:
         return rows.withColumn("grp", F.col("id"))
@@ -210,42 +245,79 @@ def _with_groups(rows: DataFrame, edges: DataFrame | None) -> DataFrame:
     return rows.join(found, "id", "left").withColumn("grp", F.coalesce("grp", "id"))
 
 
-def _star_pairs(rows: DataFrame, turn: int) -> DataFrame:
-    """For each set the one it shares most tokens with, of those that lead a token."""
-    lead = rows.groupBy("token").agg(
-        F.min(F.struct(F.xxhash64("id", F.lit(turn)), "id", "n", "grp")).alias("lead")
+def _may_link(x: str, y: str) -> Column:
+    """Whether sketches allow sets (structs with n and parity) to be similar."""
+    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+    overlap = F.floor((PERCENT * (n + m) + 99 + PERCENT) / (100 + PERCENT))
+    apart = sum(
+        F.bit_count(F.col(f"{x}.parity")[i].bitwiseXOR(F.col(f"{y}.parity")[i]))
+        for i in range(PARITY_BITS // 64)
     )
-    apart = F.col("grp") != F.col("lead.grp")
-    met = rows.join(lead, "token").filter(apart & _fits(F.col("n"), F.col("lead.n")))
-    counts = met.groupBy("id", F.col("lead.id").alias("other")).agg(F.count("*").alias("shared"))
+    return _fits(n, m) & (apart <= n + m - 2 * overlap)
+
+
+def _best_pairs(met: DataFrame) -> DataFrame:
+    """For each set the other one that it met most often, as a pair."""
+    counts = met.groupBy("id", "other").agg(F.count("*").alias("shared"))
     best = counts.groupBy("id").agg(F.max(F.struct("shared", "other")).alias("best"))
-    return best.select(F.least("id", "best.other").alias("a"), F.greatest("id", "best.other").alias("b"))
+    return best.select(
+        F.least("id", "best.other").alias("a"), F.greatest("id", "best.other").alias("b")
+    )
 
 
-def _all_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs of different groups that share enough tokens.
+def _star_pairs(rows: DataFrame, turn: int) -> DataFrame:
+    """Each set with one of another group: what leads, or comes before it in, its lists.
+
+    First are the sets with the fewest rarer shingles of their own before the
+    token: they are the most like all others.
+    """
+    if turn % 2:
+        order = Window.partitionBy("token").orderBy("at", F.xxhash64("id", F.lit(turn)))
+        before = F.lag(F.struct("id", "n", "grp")).over(order)
+        met = rows.withColumn("lead", before).filter(F.col("lead").isNotNull())
+    else:
+        lead = rows.groupBy("token").agg(
+            F.min(F.struct("at", F.xxhash64("id", F.lit(turn)), "id", "n", "grp")).alias("lead")
+        )
+        met = rows.join(lead, "token")
+    met = met.filter((F.col("grp") != F.col("lead.grp")) & _fits(F.col("n"), F.col("lead.n")))
+    return _best_pairs(met.select("id", F.col("lead.id").alias("other")))
+
+
+def _all_pairs(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs of different groups that share a token early and enough tokens in all.
 
     In each token's list the largest group stays on one side, so that its
     members never meet each other.
     """
-    by_group = rows.groupBy("token", "grp").agg(F.count("*").alias("members"))
+    early = rows.filter(F.col("at") <= F.col("n") - _least(F.col("n")))
+    early = early.withColumn("first", F.col("at") <= F.col("n") - _least_with_larger(F.col("n")))
+    by_group = early.groupBy("token", "grp").agg(F.count("*").alias("members"))
     largest = by_group.groupBy("token").agg(
         F.max(F.struct("members", "grp")).alias("most"), F.count("*").alias("groups")
     )
     largest = largest.filter(F.col("groups") > 1).select("token", F.col("most.grp").alias("major"))
-    marked = staged(rows.join(largest, "token"))
+    marked = early.join(largest, "token").join(classes.select("id", "parity"), "id")
+    marked = staged(marked)
     left = marked.filter(F.col("grp") != F.col("major")).alias("x")
+    smaller = F.when(F.col("x.n") < F.col("y.n"), F.col("x.first"))
+    smaller = smaller.when(F.col("x.n") > F.col("y.n"), F.col("y.first"))
+    smaller = smaller.otherwise(F.col("x.first") & F.col("y.first"))
     met = left.join(marked.alias("y"), F.col("x.token") == F.col("y.token")).filter(
         (F.col("x.grp") != F.col("y.grp"))
         & ((F.col("y.grp") == F.col("y.major")) | (F.col("x.id") < F.col("y.id")))
-        & _fits(F.col("x.n"), F.col("y.n"))
+        & smaller
+        & _may_link("x", "y")
+    )
+    pairs = met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+    pairs = pairs.distinct()
+    lists = rows.groupBy("id").agg(
+        F.first("asked").alias("asked"), F.collect_list("token").alias("tokens")
     )
-    counts = met.groupBy(
-        F.least("x.id", "y.id").alias("a"),
-        F.greatest("x.id", "y.id").alias("b"),
-        F.least("x.asked", "y.asked").alias("asked"),
-    ).agg(F.count("*").alias("shared"))
-    return counts.filter(F.col("shared") >= F.col("asked")).select("a", "b")
+    one = lists.select(F.col("id").alias("a"), F.col("asked").alias("p"), F.col("tokens").alias("s"))
+    two = lists.select(F.col("id").alias("b"), F.col("asked").alias("q"), F.col("tokens").alias("t"))
+    shared = F.size(F.array_intersect("s", "t"))
+    return pairs.join(one, "a").join(two, "b").filter(shared >= F.least("p", "q")).select("a", "b")
 
 
 def join(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -265,27 +337,30 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     sets = staged(
         keyed.mapInArrow(
             _sets(levels),
-            "doc_id long, h1 long, h2 long, n long, one long, two long, asked long, tokens array<long>",
-        )
+            "doc_id long, h1 long, h2 long, n long, one long, two long, asked long, "
+            "tokens array<long>, parity array<long>",
+        ).withColumn("row", F.monotonically_increasing_id())
     )
     classes = staged(
         sets.groupBy(*_SET)
-        .agg(F.min("doc_id").alias("first_id"), F.min(F.struct("h1", "h2", "doc_id")).alias("at"))
+        .agg(
+            F.min("doc_id").alias("first_id"),
+            F.min(F.struct("h1", "h2", "doc_id", "row")).alias("at"),
+            F.first("parity").alias("parity"),
+        )
         .withColumn("id", F.monotonically_increasing_id())
     )
-    firsts = sets.filter(F.col("n") > 0).groupBy(*_SET).agg(
-        F.first("asked").alias("asked"), F.first("tokens").alias("tokens")
-    )
-    rows = firsts.join(classes.select("id", *_SET), _SET).select(
-        "id", "n", "asked", F.explode("tokens").alias("token")
+    firsts = sized(classes.filter(F.col("n") > 0).select("id", "at.row"))
+    rows = sets.join(firsts, "row").select(
+        "id", "n", "asked", F.posexplode("tokens").alias("at", "token")
     )
-    rows = staged(_pruned(rows))
+    rows = _shared(staged(_pruned(_shared(rows))))
     rows = staged(_pruned(rows))
     edges = None
     for turn in range(STAR_ROUNDS):
         found = verified(docs, classes, _star_pairs(_with_groups(rows, edges), turn))
         edges = found if edges is None else edges.union(found)
-    found = verified(docs, classes, _all_pairs(staged(_with_groups(rows, edges))))
+    found = verified(docs, classes, _all_pairs(staged(_with_groups(rows, edges)), classes))
     return sets.select("doc_id", "h1", "h2", *_SET), classes, edges.union(found)
 
 
