@@ -85,11 +85,10 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
 class FMIndex:
     """Backward search over segments of words, and the smallest document of a match."""
 
-    def __init__(self, segments: list[np.ndarray], docs: np.ndarray):
-        words = np.concatenate(segments)
-        lengths = np.array([len(s) for s in segments])
+    def __init__(self, words: np.ndarray, lengths: np.ndarray, docs: np.ndarray):
+        """Segments one after the other, how long they are, and their documents."""
         self.vocabulary, numbers = np.unique(words, return_inverse=True)
-        count = len(segments)
+        count = len(lengths)
         # A separator of its own after each segment, smaller than all words and
         # in falling order, so that no two suffixes are equal.
         size = len(words) + count
@@ -181,39 +180,73 @@ def _routes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _powers(count: int, base: int) -> np.ndarray:
+    return np.cumprod(np.full(count, base, np.uint64)) if count else np.zeros(0, np.uint64)
+
+
+def segment_keys(words: np.ndarray, starts: np.ndarray, windows: np.ndarray) -> list[np.ndarray]:
+    """Two 64-bit hashes of the words of each segment.
+
+    Sums of window hashes times powers of an odd number, from which those of any
+    run of windows follow by a subtraction and a division.
+    """
+    grams = W.gram_hashes(words, WINDOW)
+    keys = []
+    for base in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93):
+        up, down = _powers(len(grams), base), _powers(len(grams), pow(base, -1, 1 << 64))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(grams * up)])
+        part = (sums[starts + windows] - sums[starts]) * down[starts]
+        keys.append(W.mixed(part + windows.astype(np.uint64)).view(np.int64))
+    return keys
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The words of the wanted segments; of hot shingles a segment for each window."""
     hashes = W.WordHashes()
     for batch in batches:
-        out: list[tuple] = []
-        columns = (batch.column(c).to_pylist() for c in ("doc_id", "text_hash", "text", "wanted"))
-        for doc_id, text_hash, text, wanted in zip(*columns):
-            words = hashes.of((text or b"").split())
-            for w in wanted:
-                step = 1 if w["hot"] else w["windows"]
-                for start in range(w["start"], w["start"] + w["windows"], step):
-                    part = words[start : start + step + WINDOW - 1].tobytes()
-                    key = hashlib.blake2b(part, digest_size=16).digest()
-                    route = key[:8] if w["hot"] else w["shingle"].to_bytes(8, "little", signed=True)
-                    out.append((doc_id, text_hash, start, step, key, part,
-                                int.from_bytes(route, "little", signed=True)))
-        columns = list(zip(*out)) or [()] * 7
-        types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64()]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(columns, types)],
-            ["doc_id", "text_hash", "start", "windows", "key", "part", "route"],
+        found = [hashes.of((t or b"").split()) for t in batch.column("text").to_pylist()]
+        before = np.cumsum([0] + [len(f) for f in found])
+        wanted = batch.column("wanted")
+        counts = np.diff(np.asarray(wanted.offsets))
+        doc = np.repeat(np.arange(len(found)), counts)
+        parts = wanted.flatten()
+        shingle, start, windows, hot = (
+            np.asarray(parts.field(c).to_numpy(zero_copy_only=False))
+            for c in ("shingle", "start", "windows", "hot")
         )
+        times = np.where(hot, windows, 1)
+        nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        doc, shingle, hot = (np.repeat(x, times) for x in (doc, shingle, hot))
+        start = np.repeat(start, times) + nth
+        windows = np.where(hot, 1, np.repeat(windows, times)).astype(np.int64)
+        words = np.concatenate(found) if found else np.zeros(0, np.uint64)
+        at = before[doc] + start
+        one, two = segment_keys(words, at, windows)
+        lengths = windows + WINDOW - 1
+        ends = np.cumsum(lengths)
+        taken = np.repeat(at - (ends - lengths), lengths) + np.arange(lengths.sum())
+        offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
+        part = pa.ListArray.from_arrays(offsets, pa.array(words[taken].view(np.int64)))
+        own = [np.asarray(batch.column(c))[doc] for c in ("doc_id", "text_hash")]
+        yield pa.RecordBatch.from_arrays(
+            [
+                *map(pa.array, own), pa.array(start.astype(np.int32)), pa.array(one), pa.array(two),
+                part, pa.array(np.where(hot, one, shingle)),
+            ],
+            ["doc_id", "text_hash", "start", "one", "two", "part", "route"],
+        )
 
 
 def _searched(_: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Index the segments of a shard and stream them past the index."""
     tables = list(batches)
-    keys = [k for b in tables for k in b.column("key").to_pylist()]
-    parts = [np.frombuffer(p, np.uint64) for b in tables for p in b.column("part").to_pylist()]
-    docs = np.concatenate([np.asarray(b.column("first_doc")) for b in tables])
-    index = FMIndex(parts, docs)
-    lengths = np.array([len(p) for p in parts])
-    numbers = np.searchsorted(index.vocabulary, np.concatenate(parts))
+    one, two, docs = (
+        np.concatenate([np.asarray(b.column(c)) for b in tables]) for c in ("one", "two", "first_doc")
+    )
+    lengths = np.concatenate([np.diff(np.asarray(b.column("part").offsets)) for b in tables])
+    words = np.concatenate([np.asarray(b.column("part").flatten()) for b in tables])
+    index = FMIndex(words, lengths, docs)
+    numbers = np.searchsorted(index.vocabulary, words)
     within = np.arange(len(numbers)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     ends = np.flatnonzero(within >= WINDOW - 1)
     length, low, high = index.matching(numbers, ends, WINDOW)
@@ -221,9 +254,9 @@ def _searched(_: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
     hit = length >= WINDOW
     first[hit] = index.first_doc(low[hit], high[hit])
     offsets = np.concatenate([[0], np.cumsum(lengths - WINDOW + 1)]).astype(np.int32)
+    firsts = pa.ListArray.from_arrays(pa.array(offsets), pa.array(first))
     yield pa.RecordBatch.from_arrays(
-        [pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(first))],
-        ["key", "firsts"],
+        [pa.array(one), pa.array(two), firsts], ["one", "two", "firsts"]
     )
 
 
@@ -249,24 +282,24 @@ def first_documents(docs: DataFrame, shard_words: int = SHARD_WORDS, hot: int =
     cut = staged(
         docs.join(wanted, ["doc_id", "text_hash"]).mapInArrow(
             _cut,
-            "doc_id long, text_hash long, start int, windows int, key binary, part binary, route long",
+            "doc_id long, text_hash long, start int, one long, two long, part array<long>, route long",
         )
     )
-    distinct = cut.groupBy("key").agg(
+    distinct = cut.groupBy("one", "two").agg(
         F.min("doc_id").alias("first_doc"),
         F.first("part").alias("part"),
         F.first("route").alias("route"),
     )
     distinct = staged(distinct)
-    total = distinct.agg(F.sum(F.octet_length("part"))).first()[0] or 0
-    shards = max(1, -(-total // (8 * shard_words)))
+    total = distinct.agg(F.sum(F.size("part"))).first()[0] or 0
+    shards = max(1, -(-total // shard_words))
     found = (
         distinct.withColumn("shard", F.pmod(F.xxhash64("route"), F.lit(shards)))
         .groupBy("shard")
-        .applyInArrow(_searched, "key binary, firsts array<long>")
+        .applyInArrow(_searched, "one long, two long, firsts array<long>")
     )
-    occurrences = cut.select("doc_id", "text_hash", "start", "key")
-    return occurrences.join(found, "key").select("doc_id", "text_hash", "start", "firsts")
+    occurrences = cut.select("doc_id", "text_hash", "start", "one", "two")
+    return occurrences.join(found, ["one", "two"]).select("doc_id", "text_hash", "start", "firsts")
 
 
 # --- Removal -----------------------------------------------------------------
