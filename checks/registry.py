@@ -165,6 +165,24 @@ def retention_deleted(spark, sf):
     return spark.createDataFrame([(deleted,)], "deleted long")
 
 
+@query("retention_stream", f"SELECT {ENTRY} FROM logs WHERE timestamp >= {_CUTOFF}")
+def retention_stream(spark, sf):
+    """A stream that runs once, and again without new lines when retention is due."""
+    folder = files.scratch(spark)
+    fx.raw_5424(fx.logs(spark, sf)).select("line").write.text(f"{folder}/in")
+    for now in (NOW, _RETAIN_AT):
+        started = ingest.start_ingest(
+            lines.text_lines(spark, f"{folder}/in", stream=True),
+            f"{folder}/table",
+            f"{folder}/checkpoint",
+            now=now,
+            retention_minutes=_RETENTION,
+            available_now=True,
+        )
+        started.awaitTermination()
+    return table.read_logs(spark, f"{folder}/table").select(ENTRY_COLUMNS)
+
+
 _HOURLY = """SELECT date_trunc('hour', timestamp) AS hour, severity, facility,
  COUNT(*) AS total FROM {rows} GROUP BY 1, 2, 3"""
 
@@ -699,17 +717,26 @@ def page_by_days(spark, sf):
     return found.withColumn("version", F.lit(1)).select(ENTRY_COLUMNS)
 
 
-@query(
-    "page_walk",
-    f"""SELECT {ROW} FROM (SELECT *, row_number() OVER (ORDER BY timestamp DESC) AS rank
-      FROM logs WHERE timestamp < TIMESTAMP '{NOW}')
-    WHERE rank <= (SELECT (n + n // 8) // (2 * (n // 8))
-      + CASE WHEN (n + n // 8) % (2 * (n // 8)) > 0 THEN 1 ELSE 0 END
-      FROM (SELECT COUNT(*) AS n FROM logs)) * (SELECT COUNT(*) // 8 FROM logs)""",
-)
-def page_walk(spark, sf):
-    logs = fx.logs(spark, sf)
-    request = explore.Request(cursor=NOW, size=logs.count() // 8)
+_WALK_SIZE = 100
+_WALK_FILTERS = {"hostname": "host-5"}
+
+
+def _walk_sql(order: str) -> str:
+    """Pages from the newest row on until the filtered count is reached.
+
+    After k pages the count is what is left below the cursor, so that a walk of
+    n rows ends with the first page k for which k pages hold n - (k - 1) pages.
+    """
+    return f""", ranked AS (SELECT *, row_number() OVER (ORDER BY {order}) AS place
+      FROM logs WHERE timestamp < TIMESTAMP '{NOW}' AND hostname = 'host-5'),
+    n AS (SELECT COUNT(*) AS n FROM ranked)
+    SELECT {ROW} FROM ranked WHERE place <= {_WALK_SIZE} *
+      (SELECT greatest((n + {_WALK_SIZE} + 2 * {_WALK_SIZE} - 1) // (2 * {_WALK_SIZE}), 1) FROM n)"""
+
+
+@log_query("page_walk", _walk_sql("timestamp DESC"))
+def page_walk(logs):
+    request = explore.Request(cursor=NOW, size=_WALK_SIZE, filters=_WALK_FILTERS)
     return paging.concat_pages(list(walk.walk(logs, request)))
 
 

@@ -26,10 +26,19 @@ def counts(
     cursor: dt.datetime | None = None,
     direction: str = "next",
 ) -> DataFrame:
-    """Filtered (cursor included) and total row count, in one pass."""
-    return logs.agg(
-        F.count_if(where(logs, filters, cursor, direction)).alias("filtered_count"),
-        F.count(F.lit(1)).alias("total_count"),
+    """Filtered (cursor included) and total row count.
+
+    Two counts: the filtered one reads what its filters leave, the total no
+    column at all.
+    """
+    none = F.lit(0).cast("long")
+    filtered = logs.filter(where(logs, filters, cursor, direction))
+    both = filtered.agg(F.count(F.lit(1)).alias("f")).select("f", none.alias("t")).unionByName(
+        logs.agg(F.count(F.lit(1)).alias("t")).select(none.alias("f"), "t")
+    )
+    return both.agg(
+        F.coalesce(F.sum("f"), none).alias("filtered_count"),
+        F.coalesce(F.sum("t"), none).alias("total_count"),
     )
 
 

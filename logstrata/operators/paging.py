@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logstrata.functions import structured_data as sd
-from logstrata.functions.time import epoch_ms, ntz
+from logstrata.functions.time import day, epoch_ms, ntz
 from logstrata.operators.filters import to_int64, where
 
 DEFAULT_SIZE = 50
@@ -68,10 +68,14 @@ def read_size(text: str | int | None) -> int:
     return size if size and size > 0 else DEFAULT_SIZE
 
 
-def ordering(sort: tuple[str, bool] = ("timestamp", False)) -> list[Column]:
-    """Sort keys: NULLs last both ways, ties broken by row id."""
+def ordering(
+    sort: tuple[str, bool] = ("timestamp", False), backwards: bool = False
+) -> list[Column]:
+    """Sort keys: NULLs last both ways, ties broken by row id; or all of it backwards."""
     column, ascending = sort
     keys = [F.col(column), F.col("row_id")] if column != "row_id" else [F.col("row_id")]
+    if backwards:
+        return [k.desc_nulls_first() if ascending else k.asc_nulls_first() for k in keys]
     if ascending:
         return [k.asc_nulls_last() for k in keys]
     return [k.desc_nulls_last() for k in keys]
@@ -94,7 +98,12 @@ def page(
     the timestamp whatever the sort column.
     """
     rows = logs.filter(where(logs, filters, cursor, direction))
-    return rows.select(PAGE_COLUMNS).orderBy(*ordering(sort)).limit(size)
+    return _first(rows.select(PAGE_COLUMNS).orderBy(*ordering(sort)), size)
+
+
+def _first(rows: DataFrame, size: int) -> DataFrame:
+    """The first ``size`` rows; a size that Spark's limit cannot take is none."""
+    return rows.limit(size) if size < 2**31 else rows
 
 
 def page_stable(
@@ -115,8 +124,8 @@ def page_stable(
         tied = (F.col("timestamp") == ts) & (F.col("row_id") < row_id)
         rows = rows.filter((F.col("timestamp") <= ts) & (older | tied))
         if "dt" in logs.columns:
-            rows = rows.filter(F.col("dt") <= F.lit(after[0].date()))
-    return rows.select(PAGE_COLUMNS).orderBy(*ordering()).limit(size)
+            rows = rows.filter(F.col("dt") <= day(after[0]))
+    return _first(rows.select(PAGE_COLUMNS).orderBy(*ordering()), size)
 
 
 def page_cursors(rows: DataFrame) -> DataFrame:

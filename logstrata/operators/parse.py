@@ -18,7 +18,7 @@ FORMATS = ("auto", "rfc5424", "rfc3164")
 #: Columns ``parse`` puts in the place of ``line``.
 RESULT = ("log", "line", "format", "reason")
 
-#: A line must be shorter than this; longer ones are rejected unparsed.
+#: A bound for ``max_bytes``: lines of this size and more are rejected unparsed.
 MAX_LINE_BYTES = 1024 * 1024
 
 
@@ -58,7 +58,7 @@ def parse(
     now: dt.datetime | Column,
     fmt: str = "auto",
     tz: str = "UTC",
-    max_bytes: int | None = MAX_LINE_BYTES,
+    max_bytes: int | None = None,
 ) -> DataFrame:
     """Replace the column ``line`` by ``log``, ``line``, ``format``, ``reason``.
 

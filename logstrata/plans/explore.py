@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import concurrent.futures
 import dataclasses
 import datetime as dt
 from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from logstrata.functions.time import bucket_start
 from logstrata.operators import aggregates, paging
@@ -69,13 +71,30 @@ def _from_summary(page: DataFrame, sums: DataFrame) -> Report:
     )
 
 
+def _counts(logs: DataFrame, request: Request, rollup: DataFrame | None) -> DataFrame:
+    """Filtered count of the log table, total of the rollup if there is one."""
+    if rollup is None:
+        return aggregates.counts(logs, request.filters, request.cursor, request.direction)
+    none = F.lit(0).cast("long")
+    rows = logs.filter(where(logs, request.filters, request.cursor, request.direction))
+    both = rows.agg(F.count(F.lit(1)).alias("f")).select("f", none.alias("t")).unionByName(
+        rollup.select(none.alias("f"), F.col("total").alias("t"))
+    )
+    return both.agg(
+        F.sum("f").alias("filtered_count"), F.coalesce(F.sum("t"), none).alias("total_count")
+    )
+
+
 def explore(
     logs: DataFrame, request: Request, rollup: DataFrame | None = None
 ) -> Report:
     """The report of a request.
 
     With a rollup that covers the filters, counts, facets and chart do not
-    scan the log table; without, they share the aggregation of ``summary``.
+    scan the log table. Without, each part of a table partitioned by ``dt`` is a
+    scan of its own, of the days and values that its filters leave; the total
+    comes from the rollup all the same. Logs that have no partitions are
+    aggregated once, by ``summary``.
     """
     page = paging.page(
         logs,
@@ -85,8 +104,15 @@ def explore(
         request.direction,
         request.sort,
     )
-    if rollup is None or not rollups.covers(request.filters):
+    if rollup is None and "dt" not in logs.columns:
         return _from_summary(page, summary(logs, request))
+    if rollup is None or not rollups.covers(request.filters):
+        return Report(
+            page=page,
+            counts=_counts(logs, request, rollup),
+            facets=aggregates.facets(logs, request.filters),
+            chart=aggregates.chart(logs, request.filters, request.cursor),
+        )
     return Report(
         page=page,
         counts=rollups.counts(
@@ -109,31 +135,39 @@ def respond(
     sorted by time is then read from as few of them as fill it.
 
     Only the page (``size`` rows) and counts per bucket and code reach the
-    driver. Without a rollup the summary is collected once and its parts are
-    derived from that copy, so the log table is scanned twice in all.
+    driver. The jobs of the parts run at the same time.
     """
     report = explore(logs, request, rollup)
-    if rollup is None or not rollups.covers(request.filters):
+    if rollup is None and "dt" not in logs.columns:
         sums = summary(logs, request)
         spark = logs.sparkSession
         report = _from_summary(
             report.page, spark.createDataFrame(sums.collect(), sums.schema)
         )
-    page = report.page
-    if days is not None and request.sort[0] == "timestamp":
-        found = page_by_days(logs, days, request)
-        page = logs.sparkSession.createDataFrame(found, page.schema)
-    rows = paging.project(page).collect()
-    total = report.counts.first()
+
+    def page_rows() -> list:
+        if days is None or request.sort[0] != "timestamp":
+            return paging.project(report.page).collect()
+        return page_by_days(logs, days, request, paging.project)
+
+    parts = {
+        "rows": page_rows,
+        "counts": report.counts.first,
+        "facets": report.facets.orderBy("field", "value").collect,
+        "chart": report.chart.collect,
+    }
+    with concurrent.futures.ThreadPoolExecutor(len(parts)) as pool:
+        jobs = {name: pool.submit(inheritable_thread_target(job)) for name, job in parts.items()}
+        done = {name: job.result() for name, job in jobs.items()}
     facets: dict[str, list] = {"severity": [], "facility": []}
-    for row in report.facets.orderBy("field", "value").collect():
+    for row in done["facets"]:
         facets[row["field"]].append({"value": row["value"], "total": row["total"]})
-    next_cursor, prev_cursor = cursors(rows)
+    next_cursor, prev_cursor = cursors(done["rows"])
     return {
-        "data": rows,
-        "totalRowCount": total["total_count"],
-        "filterRowCount": total["filtered_count"],
-        "chartData": [row.asDict() for row in report.chart.collect()],
+        "data": done["rows"],
+        "totalRowCount": done["counts"]["total_count"],
+        "filterRowCount": done["counts"]["filtered_count"],
+        "chartData": [row.asDict() for row in done["chart"]],
         "facets": facets,
         "nextCursor": next_cursor,
         "prevCursor": prev_cursor,

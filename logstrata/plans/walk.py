@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import dataclasses
 import datetime as dt
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from logstrata.functions.time import from_ms
-from logstrata.operators import aggregates, paging
+from logstrata.functions.time import from_ms, to_ms, utc
+from logstrata.operators import paging
 from logstrata.operators.filters import where
-from logstrata.plans.request import Request, cursors
+from logstrata.plans.request import Request
 
 #: How much further back each try of a day-wise page looks.
 _GROWTH = 4
@@ -23,8 +24,8 @@ def _asked_days(days: list[dt.date], request: Request) -> list[dt.date]:
     low = [request.filters.get("startDate")]
     high = [request.filters.get("endDate")]
     (low if request.direction == "prev" else high).append(request.cursor)
-    lows = [bound.date() for bound in low if bound is not None]
-    highs = [bound.date() for bound in high if bound is not None]
+    lows = [utc(bound).date() for bound in low if bound is not None]
+    highs = [utc(bound).date() for bound in high if bound is not None]
     return [
         d
         for d in sorted(days)
@@ -32,7 +33,12 @@ def _asked_days(days: list[dt.date], request: Request) -> list[dt.date]:
     ]
 
 
-def page_by_days(logs: DataFrame, days: list[dt.date], request: Request) -> list[Row]:
+def page_by_days(
+    logs: DataFrame,
+    days: list[dt.date],
+    request: Request,
+    project: Callable[[DataFrame], DataFrame] = lambda page: page,
+) -> list[Row]:
     """A page sorted by time, read from as few days as hold enough rows.
 
     ``logs`` is partitioned by ``dt`` and ``days`` lists its partitions. The
@@ -53,14 +59,15 @@ def page_by_days(logs: DataFrame, days: list[dt.date], request: Request) -> list
             # rows of the page can be left out.
             edge, on_day = F.lit(asked[take - 1]), F.col("dt")
             rows = logs.filter(on_day <= edge if ascending else on_day >= edge)
-        found = paging.page(
+        page = paging.page(
             rows,
             request.size,
             request.filters,
             request.cursor,
             request.direction,
             request.sort,
-        ).collect()
+        )
+        found = project(page).collect()
         if len(found) == request.size or take >= len(asked):
             return found
         take *= _GROWTH
@@ -69,26 +76,35 @@ def page_by_days(logs: DataFrame, days: list[dt.date], request: Request) -> list
 def walk(logs: DataFrame, request: Request) -> Iterator[DataFrame]:
     """Next pages from the request's cursor on, as a scrolling reader asks.
 
-    Each page starts below the last one's oldest millisecond. The walk ends
-    when the rows fetched reach the filtered count of the latest page, or a
-    page is empty. That count includes the cursor and so shrinks on the way;
-    use ``extract`` for all rows.
+    Pages keep the request's sort. Each starts below the last row's millisecond
+    of the page before it, whatever the sort column, as a reader's cursor does;
+    sorted by another column than the time, pages can therefore skip rows. The
+    walk ends when the rows fetched reach the filtered count of the latest page,
+    or a page is empty. That count includes the cursor and so shrinks on the
+    way; use ``extract`` for all rows.
+
+    A page is read once: it is kept while its number of rows, its last row and
+    the count are found, of which alone the driver sees one row each.
     """
     fetched = 0
     while True:
-        page = paging.page(logs, request.size, request.filters, request.cursor)
-        rows = page.collect()
-        if not rows:
+        page = paging.page(
+            logs, request.size, request.filters, request.cursor, "next", request.sort
+        ).cache()
+        try:
+            rows = page.count()
+            if not rows:
+                return
+            backwards = paging.ordering(request.sort, backwards=True)
+            last = page.orderBy(*backwards).select("timestamp").first()["timestamp"]
+            yield page
+        finally:
+            page.unpersist()
+        fetched += rows
+        matching = logs.filter(where(logs, request.filters, request.cursor)).count()
+        if fetched >= matching:
             return
-        yield page
-        fetched += len(rows)
-        counted = aggregates.counts(logs, request.filters, request.cursor).first()
-        if fetched >= counted["filtered_count"]:
-            return
-        next_cursor, _ = cursors(rows)
-        request = Request(
-            cursor=from_ms(next_cursor), size=request.size, filters=request.filters
-        )
+        request = dataclasses.replace(request, cursor=from_ms(to_ms(last)))
 
 
 def extract(

@@ -6,6 +6,8 @@ Layout below the table root::
     outcome=rejects/dt=2024-01-20/ingest_batch=7/  lines no parser took
     rollup/ingest_batch=7/                         hourly counts of batch 7
     _rewrite/                                      replacements being prepared
+    _batches/                                      which batches are begun, done, merged
+    _ids/, _retained/                              first free id, last retention
 
 One write per batch fills both outcomes, so a line is parsed once and nothing
 is cached. Each batch owns its folders: a retried batch first removes what an
@@ -21,38 +23,84 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logstrata.functions.time import bucket_start, floor_hour, ntz, utc
-from logstrata.operators.parse import MAX_LINE_BYTES, parse
+from logstrata.operators.parse import parse
 from logstrata.schema import ENTRY_COLUMNS, LOGS, REJECTS, ROLLUP
 from logstrata.sources import files
 
 #: Batch number of compacted folders.
 COMPACTED = -1
 
-# Bits of a row id: batch, task and row within the task.
-_TASK_BITS, _ROW_BITS = 14, 26
-_BATCH_BITS = 63 - _TASK_BITS - _ROW_BITS
-
 _DAY_FIELDS = "dt date, ingest_batch long"
 
 #: Compressed bytes a compacted file should have.
 FILE_BYTES = 256 * 1024 * 1024
 
 
-def row_ids(batch: int) -> Column:
+def row_ids(first_task: int) -> Column:
     """Unique ids for the rows of one batch, from ``_position``.
 
-    A batch beyond the bounds (16,384 tasks, 67 million rows per task) fails
-    rather than repeat an id; split it, for instance with a source option such
-    as ``maxBytesPerTrigger``.
+    Spark's own position is the task number above 33 bits of row number. Task
+    numbers go on from one batch to the next, so that ids end only with 2^30
+    tasks, whatever the size of a task or a batch.
     """
-    if not 0 <= batch < 2**_BATCH_BITS:
-        raise ValueError(f"batch number {batch} does not fit {_BATCH_BITS} bits")
-    # Spark's own id is the task number above 33 bits of row number.
-    task, row = F.shiftright("_position", 33), F.col("_position") % 2**33
-    fits = (task < 2**_TASK_BITS) & (row < 2**_ROW_BITS)
-    base = F.lit(batch << (_TASK_BITS + _ROW_BITS)).cast("long")
-    too_big = F.raise_error(F.lit("batch too large for row ids")).cast("long")
-    return F.when(fits, base + F.shiftleft(task, _ROW_BITS) + row).otherwise(too_big)
+    if not 0 <= first_task < 2**30:
+        raise ValueError(f"no ids are left from task {first_task} on")
+    return F.lit(first_task << 33).cast("long") + F.col("_position")
+
+
+# --- Markers -----------------------------------------------------------------
+
+
+def _marked(spark: SparkSession, root: str, name: str) -> list[int]:
+    """Numbers of the markers of this name, for instance ``_batches/begun``."""
+    return [int(p.rsplit("=", 1)[1]) for p in files.matching(spark, f"{root}/{name}=*")]
+
+
+def _mark(spark: SparkSession, root: str, name: str, number: int) -> None:
+    """Set a marker and then drop those of other numbers."""
+    files.create(spark, f"{root}/{name}={number}")
+    for other in _marked(spark, root, name):
+        if other != number:
+            files.delete(spark, f"{root}/{name}={other}")
+
+
+def _begin(spark: SparkSession, root: str, batch: int) -> bool:
+    """Prepare for writing a batch; False if it is stored and merged already."""
+    if batch in _marked(spark, root, "_batches/merged"):
+        return False
+    marks = [f"{root}/_batches/{state}={batch}" for state in ("begun", "done")]
+    marks.append(f"{root}/rollup/ingest_batch={batch}")
+    tried = any(files.exists(spark, mark) for mark in marks)
+    files.create(spark, marks[0])
+    if tried:
+        _undo(spark, root, batch)
+    return True
+
+
+def _undo(spark: SparkSession, root: str, batch: int) -> None:
+    """Forget that a batch was stored, and remove what it stored."""
+    files.delete(spark, f"{root}/_batches/done={batch}")
+    remove_batch(spark, root, batch)
+
+
+def _end(spark: SparkSession, root: str, batch: int) -> None:
+    """A batch is stored; only the latest one can be asked for again."""
+    last = _batch_rows(spark, root, batch)
+    last = last.agg(F.max("row_id")).first()[0] if last is not None else None
+    if last is not None:
+        _mark(spark, root, "_ids/next", (last >> 33) + 1)
+    _mark(spark, root, "_batches/done", batch)
+    files.delete(spark, f"{root}/_batches/begun={batch}")
+
+
+def _merging(spark: SparkSession, root: str) -> None:
+    """The last stored batch loses its own folders, so it must not be written again."""
+    recover(spark, root)
+    for batch in _marked(spark, root, "_batches/done"):
+        _mark(spark, root, "_batches/merged", batch)
+
+
+# --- Writing and reading -------------------------------------------------------
 
 
 def write_batch(
@@ -63,7 +111,7 @@ def write_batch(
     fmt: str = "auto",
     tz: str = "UTC",
     *,
-    max_bytes: int | None = MAX_LINE_BYTES,
+    max_bytes: int | None = None,
     cluster: bool = False,
 ) -> None:
     """Parse a batch of lines and append entries and rejects, in one job.
@@ -72,9 +120,15 @@ def write_batch(
     nothing is shuffled. ``cluster`` is for input in no such order: it brings
     the rows of a day together first. Days may differ in size by any factor,
     since adaptive execution splits the large ones.
+
+    A batch that is written again replaces what an earlier try left. Once its
+    rows are merged with others by retention or compaction, it is complete and
+    writing it again does nothing.
     """
     spark = lines.sparkSession
-    remove_batch(spark, root, batch)
+    if not _begin(spark, root, batch):
+        return
+    first_task = max(_marked(spark, root, "_ids/next"), default=0)
     parsed = parse(lines, now, fmt, tz, max_bytes)
     parsed = parsed.withColumn("_position", F.monotonically_increasing_id())
     # Blank lines are neither. The position keeps this filter above the parse.
@@ -82,7 +136,7 @@ def write_batch(
     is_log = F.col("log").isNotNull()
     received = F.to_date(ntz(now))
     rows = parsed.select(
-        row_ids(batch).alias("row_id"),
+        row_ids(first_task).alias("row_id"),
         *[F.col(f"log.{c}").alias(c) for c in ENTRY_COLUMNS],
         "line",
         "format",
@@ -98,15 +152,21 @@ def write_batch(
     writer = rows.write.mode("append").partitionBy(*keys)
     writer.option("compression", "zstd").parquet(root)
     write_rollup(spark, root, batch)
+    _end(spark, root, batch)
+
+
+def _batch_rows(spark: SparkSession, root: str, batch: int) -> DataFrame | None:
+    """The log rows a batch has written; None if there are none."""
+    pattern = f"{root}/outcome=logs/dt=*/ingest_batch={batch}"
+    return spark.read.schema(LOGS).parquet(pattern) if files.matching(spark, pattern) else None
 
 
 def write_rollup(spark: SparkSession, root: str, batch: int) -> None:
     """Hourly counts of one batch, from the three columns it just wrote."""
-    pattern = f"{root}/outcome=logs/dt=*/ingest_batch={batch}"
-    if files.matching(spark, pattern):
-        rows = spark.read.schema(LOGS).parquet(pattern)
-        counted = hourly(rows).coalesce(1)
-        counted.write.mode("overwrite").parquet(f"{root}/rollup/ingest_batch={batch}")
+    rows = _batch_rows(spark, root, batch)
+    if rows is not None:
+        path = f"{root}/rollup/ingest_batch={batch}"
+        hourly(rows).write.mode("overwrite").parquet(path)
 
 
 def remove_batch(spark: SparkSession, root: str, batch: int) -> None:
@@ -186,18 +246,39 @@ def _replace(spark: SparkSession, root: str, part: str, rows: DataFrame, *keys)
 
 
 def _swap(spark: SparkSession, root: str, part: str) -> None:
-    files.delete(spark, f"{root}/{part}")
-    files.move(spark, f"{root}/_rewrite/{part}", f"{root}/{part}")
+    """Delete the target, mark that it is gone, and move the files one by one.
+
+    From the mark on nothing of the target is deleted, so that a stop at any
+    point, also between the copy and the deletion of a file, loses no row.
+    """
+    stage, target = f"{root}/_rewrite/{part}", f"{root}/{part}"
+    if not files.exists(spark, f"{stage}/_MOVING"):
+        files.delete(spark, target)
+        files.create(spark, f"{stage}/_MOVING")
+    files.move_files(spark, stage, target)
+    files.delete(spark, stage)
 
 
 def recover(spark: SparkSession, root: str) -> None:
-    """Finish or drop replacements a crash interrupted. Run before writing."""
+    """Finish or drop replacements a crash interrupted, and drop unfinished batches.
+
+    A batch that was not finished is written again by its retry, from nothing.
+    """
     for part in ("outcome=logs/dt=*", "rollup"):
         for stage in files.matching(spark, f"{root}/_rewrite/{part}"):
-            if files.exists(spark, f"{stage}/_SUCCESS"):
+            if any(files.exists(spark, f"{stage}/{m}") for m in ("_MOVING", "_SUCCESS")):
                 _swap(spark, root, stage.rsplit("/_rewrite/", 1)[1])
             else:
                 files.delete(spark, stage)
+    for batch in _marked(spark, root, "_batches/begun"):
+        _undo(spark, root, batch)
+        files.delete(spark, f"{root}/_batches/begun={batch}")
+
+
+def retention_due(spark: SparkSession, root: str, now: dt.datetime, every: dt.timedelta) -> bool:
+    """Whether the stored time of the last retention is long enough ago."""
+    last = max(_marked(spark, root, "_retained/at"), default=None)
+    return last is None or utc(now) - dt.datetime(1970, 1, 1) >= every + dt.timedelta(seconds=last)
 
 
 def retain(spark: SparkSession, root: str, now: dt.datetime, minutes: int) -> int:
@@ -207,22 +288,27 @@ def retain(spark: SparkSession, root: str, now: dt.datetime, minutes: int) -> in
     as folders and counted from file footers; only the cutoff's own day is
     rewritten.
     """
-    recover(spark, root)
+    _merging(spark, root)
     cutoff = utc(now) - dt.timedelta(minutes=minutes)
     edge = cutoff.date()
     logs = read_logs(spark, root)
-    old = [p for p, day in day_folders(spark, root).items() if day < edge]
+    folders = day_folders(spark, root)
+    old = [p for p, day in folders.items() if day < edge]
     deleted = logs.filter(F.col("dt") < F.lit(edge)).count() if old else 0
     edge_rows = logs.filter(F.col("dt") == F.lit(edge))
     expired = edge_rows.filter(F.col("timestamp") < ntz(cutoff)).count()
-    if deleted + expired == 0:
-        return 0
+    if deleted + expired:
+        # The rollup goes first: rows that outlive a crash here are deleted by
+        # the next run, and the rollup merged once more.
+        _retain_rollup(spark, root, cutoff)
     for path in old:
         files.delete(spark, path)
     if expired:
         kept = edge_rows.filter(F.col("timestamp") >= ntz(cutoff)).drop("dt")
         _replace(spark, root, f"outcome=logs/dt={edge}", kept, "ingest_batch")
-    _retain_rollup(spark, root, cutoff)
+    if folders:
+        seconds = int((utc(now) - dt.datetime(1970, 1, 1)).total_seconds())
+        _mark(spark, root, "_retained/at", seconds)
     return deleted + expired
 
 
@@ -242,13 +328,13 @@ def _write_merged_rollup(spark: SparkSession, root: str, rows: DataFrame) -> Non
     merged = rows.groupBy("hour", "severity", "facility").agg(
         F.sum("total").alias("total")
     )
-    merged = merged.coalesce(1).withColumn("ingest_batch", F.lit(COMPACTED).cast("long"))
+    merged = merged.withColumn("ingest_batch", F.lit(COMPACTED).cast("long"))
     _replace(spark, root, "rollup", merged, "ingest_batch")
 
 
 def compact_rollup(spark: SparkSession, root: str) -> None:
     """Merge the rollup's folders of one batch each into one."""
-    recover(spark, root)
+    _merging(spark, root)
     _write_merged_rollup(spark, root, read_rollup(spark, root))
 
 
@@ -260,7 +346,7 @@ def compact_day(
     Splitting by (time, row id) keeps the files even although one moment may
     hold any share of the rows.
     """
-    recover(spark, root)
+    _merging(spark, root)
     part = f"outcome=logs/dt={day}"
     parts = -(-files.size(spark, f"{root}/{part}") // file_bytes)
     rows = read_logs(spark, root).filter(F.col("dt") == F.lit(day)).drop("dt")

@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 import datetime as dt
-import time
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from logstrata.functions.time import utc_now
-from logstrata.operators.parse import MAX_LINE_BYTES
 from logstrata.sources import table
 
 # Flush period, retention period and age.
@@ -27,7 +25,7 @@ def start_ingest(
     tz: str = "UTC",
     *,
     now: dt.datetime | None = None,
-    max_bytes: int | None = MAX_LINE_BYTES,
+    max_bytes: int | None = None,
     retention_minutes: int | None = None,
     available_now: bool = False,
 ) -> StreamingQuery:
@@ -39,30 +37,32 @@ def start_ingest(
     replaces itself. ``now`` fixes the receive time; by default it is the time
     recorded for the batch.
 
-    With ``retention_minutes``, expired rows are deleted every 30 minutes,
-    between two batches: the ingest query is the only writer.
+    With ``retention_minutes``, expired rows are deleted at the start and between
+    two batches, when 30 minutes have passed since the time of the last
+    retention, which the table keeps: jobs that are restarted or run once often
+    share it. A stream without any input deletes nothing until it has some or
+    is started again. The ingest query is the only writer.
     """
     spark = lines.sparkSession
     received = utc_now() if now is None else F.lit(now.isoformat(" ")).cast("timestamp_ntz")
     stamped = lines.withColumn("received_at", received)
-    state = {"started": False, "retained": time.monotonic()}
+
+    def retain(session: SparkSession) -> None:
+        clock = dt.datetime.now(dt.timezone.utc) if now is None else now
+        if retention_minutes is None:
+            return
+        if table.retention_due(session, root, clock, RETENTION_EVERY):
+            table.retain(session, root, clock, retention_minutes)
 
     def append(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
-        if not state["started"]:
-            table.recover(session, root)
-            state["started"] = True
-        due = time.monotonic() - state["retained"] >= RETENTION_EVERY.total_seconds()
-        if retention_minutes is not None and due:
-            # What a crashed try of this batch left must not be merged.
-            table.remove_batch(session, root, number)
-            clock = dt.datetime.now(dt.timezone.utc)
-            table.retain(session, root, clock, retention_minutes)
-            state["retained"] = time.monotonic()
+        retain(session)
         table.write_batch(
             batch, root, number, F.col("received_at"), fmt, tz, max_bytes=max_bytes
         )
 
+    table.recover(spark, root)
+    retain(spark)
     writer = stamped.writeStream.foreachBatch(append)
     writer = writer.option("checkpointLocation", checkpoint)
     if available_now:

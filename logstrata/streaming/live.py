@@ -18,6 +18,8 @@ from logstrata.sources import files
 POLL = "4 seconds"
 
 _MS = dt.timedelta(milliseconds=1)
+#: Latest batches whose state is kept.
+_STATES = 3
 _STATE = "cursor timestamp_ntz"
 
 
@@ -38,8 +40,12 @@ def poll(
     If there are none, the cursor stays. With more than ``size`` new rows the
     newest are taken and the others are not shown later either. A cursor has
     whole milliseconds, so its own row comes again if it has a fraction.
+
+    The table is read once: the cursor comes from the rows that are returned,
+    which stay as they are when more arrive. They are ``size`` rows at most.
     """
-    rows = paging.page(logs, size, filters, cursor, "prev")
+    page = paging.page(logs, size, filters, cursor, "prev")
+    rows = page.sparkSession.createDataFrame(page.collect(), page.schema)
     return rows, newest(rows) or cursor
 
 
@@ -49,9 +55,11 @@ def _cursor_before(spark: SparkSession, root: str, batch: int) -> dt.datetime |
         int(path.rsplit("=", 1)[1])
         for path in files.matching(spark, f"{root}/state/batch=*")
     ]
-    earlier = [number for number in numbers if number < batch]
+    earlier = sorted(number for number in numbers if number < batch)
     if not earlier:
         return None
+    for number in earlier[:-_STATES]:  # no retry goes back further
+        files.delete(spark, f"{root}/state/batch={number}")
     path = f"{root}/state/batch={max(earlier)}"
     return spark.read.schema(_STATE).parquet(path).first()["cursor"]
 

@@ -1,7 +1,7 @@
 import datetime as dt
 import json
 
-from logstrata.operators.parse import entries, log_format, parse, rejects
+from logstrata.operators.parse import MAX_LINE_BYTES, entries, log_format, parse, rejects
 
 NOW = dt.datetime(2025, 1, 5, 12)
 AT = dt.datetime(2023, 10, 1, 12, 34, 56)
@@ -248,10 +248,10 @@ def test_white_space_and_blank_lines(spark):
 def test_line_limit(spark):
     head = "<1>1 - h a p m - "
     fits = head + "x" * (2**20 - 1 - len(head))
-    taken, left = run(spark, [fits, fits + "x"])
+    taken, left = run(spark, [fits, fits + "x"], max_bytes=MAX_LINE_BYTES)
     assert taken[0]["msg"] == fits[len(head):]
     assert left[1]["reason"] == "too long" and left[1]["line"] == fits + "x"
-    taken, left = run(spark, [fits + "x"], max_bytes=None)
+    taken, left = run(spark, [fits + "x"])
     assert not left and len(taken[0]["msg"]) == len(fits) + 1 - len(head)
 
 

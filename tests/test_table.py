@@ -68,8 +68,78 @@ def test_row_ids_are_unique_across_tasks_and_batches(spark, root, logs):
     ids = table.read_logs(spark, root).select("row_id")
     assert ids.distinct().count() == ids.count() == 3 * logs.count()
     assert ids.filter("row_id < 0").count() == 0
+
+
+def test_row_ids_of_any_batch(spark):
+    tasks, rows = (0, 1, 2**14, 2**20), (0, 1, 2**26, 2**32)
+    places = [((t << 33) + r,) for t in tasks for r in rows]
+    df = spark.createDataFrame(places, "_position long")
+    ids = {r[0] for first in (0, 2**20 + 1) for r in df.select(table.row_ids(first)).collect()}
+    assert len(ids) == 2 * len(places) and min(ids) >= 0
     with pytest.raises(ValueError):
-        table.row_ids(2**23)
+        table.row_ids(2**30)
+
+
+def test_a_long_line_is_stored(spark, root):
+    text = "x" * (2 << 20)
+    table.write_batch(frame(spark, [line(NOW, text)]), root, 0, NOW)
+    assert messages(spark, root) == [text]
+
+
+def totals(spark, root):
+    return table.read_rollup(spark, root).agg(F.sum("total")).first()[0] or 0
+
+
+def test_half_moved_replacement(spark, root):
+    """A stop at any point of a swap by copy and deletion loses no row."""
+    texts = [line(NOW, str(i)) for i in range(100)]
+    table.write_batch(frame(spark, texts).repartition(10), root, 0, NOW)
+    part = f"outcome=logs/dt={NOW.date()}"
+    stage = f"{root}/_rewrite/{part}"
+    kept = table.read_logs(spark, root).drop("dt").repartition(10)
+    kept.write.partitionBy("ingest_batch").parquet(stage)
+    files.delete(spark, f"{root}/{part}")
+    files.create(spark, f"{stage}/_MOVING")
+    names = [n for n in files.files_below(spark, stage) if "part-" in n and "/." not in n]
+    assert len(names) > 5
+    for name in names[:5]:
+        files.move(spark, f"{stage}/{name}", f"{root}/{part}/{name}")
+    table.recover(spark, root)
+    assert len(messages(spark, root)) == 100 and not files.exists(spark, stage)
+
+
+def test_compaction_before_a_retry(spark, root):
+    texts = [line(NOW, str(i)) for i in range(10)]
+    table.write_batch(frame(spark, texts), root, 0, NOW)
+    table.compact_day(spark, root, NOW.date())
+    table.write_batch(frame(spark, texts), root, 0, NOW)
+    assert len(messages(spark, root)) == totals(spark, root) == 10
+    # An unfinished batch is dropped by compaction and written by its retry.
+    table.write_batch(frame(spark, texts), root, 1, NOW)
+    files.create(spark, f"{root}/_batches/begun=1")
+    table.compact_day(spark, root, NOW.date())
+    assert len(messages(spark, root)) == 10
+    table.write_batch(frame(spark, texts), root, 1, NOW)
+    assert len(messages(spark, root)) == totals(spark, root) == 20
+
+
+def test_retention_stopped_half_way(spark, root, monkeypatch):
+    old, new = NOW - 9 * DAY, NOW - dt.timedelta(minutes=5)
+    texts = [line(old, "a")] * 3 + [line(NOW - dt.timedelta(minutes=70), "b"), line(new, "c")]
+    table.write_batch(frame(spark, texts), root, 0, NOW)
+    real = files.delete
+
+    def stop(spark_, path):
+        if "outcome=logs" in path:
+            raise KeyboardInterrupt
+        real(spark_, path)
+
+    monkeypatch.setattr(files, "delete", stop)
+    with pytest.raises(KeyboardInterrupt):
+        table.retain(spark, root, NOW, 60)
+    monkeypatch.setattr(files, "delete", real)
+    assert table.retain(spark, root, NOW, 60) == 4
+    assert messages(spark, root) == ["c"] and totals(spark, root) == 1
 
 
 def test_clustered_write_holds_the_same_rows(spark, tmp_path, logs):
