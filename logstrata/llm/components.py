@@ -9,9 +9,9 @@ from logstrata.llm.common import staged
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
-    """Count and a sum of hashes: equal for equal sets of edges."""
+    """Count and combined hash: equal for equal sets of edges."""
     row = edges.agg(
-        F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").bitwiseAND(0xFFFFFFFF)).alias("s")
+        F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("s")
     ).first()
     return row["n"], row["s"] or 0
 
