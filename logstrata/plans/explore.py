@@ -156,8 +156,9 @@ def respond(
         "facets": report.facets.orderBy("field", "value").collect,
         "chart": report.chart.collect,
     }
+    inherit = inheritable_thread_target(logs.sparkSession)
     with concurrent.futures.ThreadPoolExecutor(len(parts)) as pool:
-        jobs = {name: pool.submit(inheritable_thread_target(job)) for name, job in parts.items()}
+        jobs = {name: pool.submit(inherit(job)) for name, job in parts.items()}
         done = {name: job.result() for name, job in jobs.items()}
     facets: dict[str, list] = {"severity": [], "facility": []}
     for row in done["facets"]:
