@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from logstrata.functions.time import to_ms
 from logstrata.operators import aggregates, filters, paging, ranges
+from logstrata.plans import explore, walk
 
 NOW = dt.datetime(2024, 1, 31)
 A, B = dt.datetime(2024, 1, 10), dt.datetime(2024, 1, 12)
@@ -103,3 +104,56 @@ def test_predicates_reach_the_file_scan(spark, logs, tmp_path, capsys):
     days = plan[plan.index("PartitionFilters"):].splitlines()[0]
     assert ">= 2024-01-10" in days and "<= 2024-01-11" in days
     assert page.collect() == paging.page(logs, 10, given, dt.datetime(2024, 1, 11)).collect()
+
+
+def test_report_parts_read_what_their_filters_leave(spark, logs, tmp_path):
+    path = str(tmp_path / "t")
+    logs.withColumn("dt", F.to_date("timestamp")).write.partitionBy("dt").parquet(path)
+    stored = spark.read.parquet(path)
+    given = {"hostname": "host-5", "severity": [0, 3], "startDate": A, "endDate": B}
+    request = explore.Request(cursor=B, filters=given)
+    report = explore.explore(stored, request)
+
+    def scans(df):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        return [line for line in plan.splitlines() if "FileScan" in line]
+
+    counted, total = scans(report.counts)
+    (charted,), (faceted,) = scans(report.chart), scans(report.facets)
+    for scan in (counted, charted):
+        assert "dt#" in scan.split("PartitionFilters")[1].split("PushedFilters")[0]
+    for scan in (counted, charted, faceted):
+        assert "EqualTo(hostname,host-5)" in scan and "In(severity, [0,3])" in scan
+    assert "ReadSchema: struct<>" in total and "PushedFilters: []" in total
+    plain = explore.explore(logs, request)
+    for part in ("counts", "facets", "chart"):
+        rows = [sorted(map(str, getattr(r, part).collect())) for r in (report, plain)]
+        assert rows[0] == rows[1]
+    total_only = spark.createDataFrame([(A, 0, 0, 5), (B, 1, 1, 6)],
+                                       "hour timestamp_ntz, severity int, facility int, total long")
+    with_rollup = explore.explore(stored, request, total_only).counts.first()
+    assert with_rollup["total_count"] == 11
+    assert with_rollup["filtered_count"] == report.counts.first()["filtered_count"]
+
+
+def test_page_size_beyond_an_integer(logs):
+    for size in (2**31, 2**62):
+        assert paging.page(logs, size).count() == logs.count()
+    first = paging.page(logs, 2**31).first()
+    assert paging.page_stable(logs, 2**40).first() == first
+
+
+def test_stable_page_of_a_zoned_time(spark, logs):
+    dated = logs.withColumn("dt", F.to_date("timestamp"))
+    zone = dt.timezone(dt.timedelta(hours=-5))
+    local = dt.datetime(2024, 1, 20, 23, 30, tzinfo=zone)
+    want = paging.page_stable(dated, 20, None, (dt.datetime(2024, 1, 21, 4, 30), 0)).collect()
+    assert paging.page_stable(dated, 20, None, (local, 0)).collect() == want
+    assert want[0]["timestamp"].day == 21
+
+
+def test_walk_keeps_the_sort(logs):
+    for sort in (("timestamp", True), ("hostname", False)):
+        request = explore.Request(cursor=B, size=30, filters={"severity": [3]}, sort=sort)
+        first = next(walk.walk(logs, request)).collect()
+        assert first == paging.page(logs, 30, {"severity": [3]}, B, "next", sort).collect()

@@ -144,3 +144,30 @@ def test_seed(spark):
     assert taken.select("facility").distinct().count() == 20
     assert taken.select("app_name").distinct().count() == 10
     assert slots.select("slot").distinct().count() == slots.count()
+
+
+def test_expired_rows_go_when_a_job_runs_once(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/1.txt").write_text("<11>1 2021-01-01T00:00:00Z h a p m - old\n<11>1 - h a p m - new\n")
+    now = dt.datetime(2024, 1, 20)
+    for minutes, want in ((0, ["new", "old"]), (1, ["new"])):
+        query = start_ingest(
+            lines.text_lines(spark, str(tmp_path / "in"), stream=True), str(tmp_path / "table"),
+            str(tmp_path / "check"), now=now + dt.timedelta(minutes=minutes),
+            retention_minutes=43200, available_now=True,
+        )
+        query.awaitTermination()
+        assert messages(spark, tmp_path) == want
+
+
+def test_few_live_states_are_kept(spark, tmp_path):
+    from logstrata.sources import files
+    from logstrata.streaming import live
+
+    root = str(tmp_path / "tail")
+    for number in range(12):
+        live._cursor_before(spark, root, number)
+        state = spark.createDataFrame([(NOW + number * SECOND,)], "cursor timestamp_ntz")
+        state.coalesce(1).write.parquet(f"{root}/state/batch={number}")
+    assert live._cursor_before(spark, root, 12) == NOW + 11 * SECOND
+    assert len(files.matching(spark, f"{root}/state/batch=*")) <= 4
