@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logstrata.llm import entropy_mix, fertility, ngram_join, pseudonyms
-from logstrata.llm.common import staged, table
+from logstrata.llm.common import ship, staged, table
 from logstrata.llm.query_fertility import vocabulary
 from logstrata.llm.query_packing import packed
 from logstrata.llm.query_pseudonyms import KEY
@@ -53,6 +53,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = staged(stage(spark, docs, sf_dir))

@@ -2,11 +2,27 @@
 
 from __future__ import annotations
 
+import pathlib
+import shutil
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logstrata.sources import files
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors of the application, which may lack it."""
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        package = pathlib.Path(__file__).resolve().parent.parent
+        base = f"{tempfile.mkdtemp(prefix='ship-')}/{package.name}-package"
+        context.addPyFile(shutil.make_archive(base, "zip", package.parent, package.name))
+        _SHIPPED.add(context.applicationId)
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 

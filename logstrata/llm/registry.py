@@ -18,6 +18,7 @@ from logstrata.llm import (
     query_url_rules,
     query_warc,
 )
+from logstrata.llm.common import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
 MODULES = (
@@ -33,5 +34,16 @@ MODULES = (
     query_ngram_join,
 )
 
-QUERIES: dict[str, Query] = {module.NAME: module.query for module in MODULES}
+
+def shipped(query: Query) -> Query:
+    """The query, with this package sent to the executors before."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+QUERIES: dict[str, Query] = {module.NAME: shipped(module.query) for module in MODULES}
 ORACLES: dict[str, str] = {module.NAME: module.SQL for module in MODULES if module.SQL}
