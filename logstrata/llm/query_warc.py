@@ -46,11 +46,10 @@ def _sub(text: str, pattern: str, by: str) -> str:
     return f"regexp_replace({text}, {_quoted(pattern)}, {by}, 'g')"
 
 
-_TEXT = _sub("html", warc._UNSEEN, "' '")
-_TEXT = _sub(_sub(_TEXT, "[\r\n]+", "' '"), warc._LINE, "chr(10)")
+_TEXT = _sub(_sub("html", warc._UNSEEN, "' '"), warc._LINE, "chr(1)")
 _TEXT = _decode(_sub(_TEXT, "<[^>]*>", "''"))
-_TEXT = _sub(_sub(_TEXT, "[ \t]*\n[ \t\n]*", "chr(10)"), "[ \t]{2,}", "' '")
-_TEXT = f"trim({_TEXT}, ' ' || chr(9) || chr(10))"
+_TEXT = _sub(_sub(_TEXT, "[ \t\r\n]{2,}|[\t\r\n]", "' '"), f" ?{warc._END}[ {warc._END}]*", "chr(10)")
+_TEXT = f"trim({_TEXT}, ' ' || chr(10))"
 _WS = "' ' || chr(9) || chr(13) || chr(10)"
 _NL = "chr(13) || chr(10)"
 

@@ -15,11 +15,13 @@ CRLF = "\r\n"
 #: Digits of base 32 as Java writes them, and those of RFC 4648.
 _JAVA32, _RFC32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 #: What a page says to programs only. Patterns without back references or
-#: look-around, which run in one pass.
+#: look-around, which begin with a plain character and run in one pass.
 _UNSEEN = (
-    r"(?is)<!--.*?-->|<script\b.*?</script[^>]*>|<style\b.*?</style[^>]*>"
-    r"|<noscript\b.*?</noscript[^>]*>|<title\b.*?</title[^>]*>"
+    r"<(?:!--(?s:.*?)-->|(?i:script)\b(?s:.*?)</(?i:script)[^>]*>|(?i:style)\b(?s:.*?)</(?i:style)[^>]*>"
+    r"|(?i:noscript)\b(?s:.*?)</(?i:noscript)[^>]*>|(?i:title)\b(?s:.*?)</(?i:title)[^>]*>)"
 )
+#: Stands for a line end of an element until white space is set right.
+_END = "\u0001"
 #: Elements that begin and end a line.
 _LINE = (
     r"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figure|footer|form"
@@ -69,12 +71,14 @@ def decode(text: Column) -> Column:
 
 
 def plain_text(html: Column) -> Column:
-    """The visible text, a line for each block, blank lines left out."""
-    text = F.regexp_replace(html, _UNSEEN, " ")
-    text = F.regexp_replace(F.regexp_replace(text, "[\r\n]+", " "), _LINE, "\n")
+    """The visible text, a line for each block, blank lines left out.
+
+    White space within a line is one space. A character U+0001 ends a line.
+    """
+    text = F.regexp_replace(F.regexp_replace(html, _UNSEEN, " "), _LINE, _END)
     text = decode(F.regexp_replace(text, "<[^>]*>", ""))
-    text = F.regexp_replace(text, "[ \t]*\n[ \t\n]*", "\n")
-    return F.trim(F.regexp_replace(text, "[ \t]{2,}", " "), F.lit(" \t\n"))
+    text = F.regexp_replace(text, "[ \t\r\n]{2,}|[\t\r\n]", " ")
+    return F.trim(F.regexp_replace(text, f" ?{_END}[ {_END}]*", "\n"), F.lit(" \n"))
 
 
 def responses(pages: DataFrame, date: str) -> DataFrame:
