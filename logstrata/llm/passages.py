@@ -28,7 +28,7 @@ from logstrata.llm.common import staged
 #: Words of a window, and of the shingles among which it chooses its smallest.
 WINDOW, SHINGLE = 13, 5
 #: Words of the segments that one shard indexes, about.
-SHARD_WORDS = 1 << 20
+SHARD_WORDS = 1 << 18
 #: A shingle with more segments is cut into single windows with shards of their own.
 HOT_SEGMENTS = 2000
 _NO_DOC = np.int64(2**63 - 1)
@@ -113,10 +113,13 @@ class FMIndex:
         Words that the index lacks are -1, as is the end of another text. The
         result is the length of the longest match and its interval of suffixes.
         """
-        low, high = np.zeros(len(ends), np.int64), np.full(len(ends), self.size, np.int64)
-        length = np.zeros(len(ends), np.int64)
-        alive = np.arange(len(ends))
-        for back in range(most):
+        symbol = numbers[ends]
+        known = symbol >= 0
+        low = np.where(known, self.before[symbol + 1], 0)
+        high = np.where(known, self.before[np.minimum(symbol + 2, len(self.before) - 1)], self.size)
+        length = known.astype(np.int64)
+        alive = np.flatnonzero(known)
+        for back in range(1, most):
             at = ends[alive] - back
             symbol = np.where(at >= 0, numbers[np.maximum(at, 0)], -1)
             alive, symbol = alive[symbol >= 0], symbol[symbol >= 0] + 1
@@ -290,14 +293,14 @@ def first_documents(docs: DataFrame, shard_words: int = SHARD_WORDS, hot: int =
         F.first("part").alias("part"),
         F.first("route").alias("route"),
     )
-    distinct = staged(distinct)
-    total = distinct.agg(F.sum(F.size("part"))).first()[0] or 0
-    shards = max(1, -(-total // shard_words))
+    # A segment has four windows on average, about.
+    shards = max(1, -(-cut.count() * (WINDOW + 4) // shard_words))
     found = (
         distinct.withColumn("shard", F.pmod(F.xxhash64("route"), F.lit(shards)))
         .groupBy("shard")
         .applyInArrow(_searched, "one long, two long, firsts array<long>")
     )
+    found = staged(found)
     occurrences = cut.select("doc_id", "text_hash", "start", "one", "two")
     return occurrences.join(found, ["one", "two"]).select("doc_id", "text_hash", "start", "firsts")
 
