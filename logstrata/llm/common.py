@@ -30,8 +30,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Removes the shuffle files of a query when it ends: once written, they have served.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Held while a table is written: its shuffle files go when it is there, as they
+#: have served, and texts reach Python in batches that fit beside the heap.
+_WRITING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+}
 
 
 def staged(df: DataFrame) -> DataFrame:
@@ -43,12 +47,14 @@ def staged(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = files.scratch(spark) + "/part"
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+    before = {name: spark.conf.get(name, None) for name in _WRITING}
+    for name, value in _WRITING.items():
+        spark.conf.set(name, value)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(_CLEANUP, before) if before else spark.conf.unset(_CLEANUP)
+        for name, value in before.items():
+            spark.conf.set(name, value) if value is not None else spark.conf.unset(name)
     return spark.read.schema(df.schema).parquet(path)
 
 
