@@ -10,7 +10,7 @@ import numpy as np
 import xxhash
 
 #: Most words that a task remembers (about 200 bytes each); more are looked up again.
-REMEMBERED = 100_000
+REMEMBERED = 50_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
