@@ -4,7 +4,8 @@ Each word is encoded with a public byte-fallback vocabulary. A text then has
 characters per token, the share of tokens that stand for single bytes, and the
 entropy of its tokens. Bands for each language (or script, where the language
 is null) come from all documents; what falls outside is rejected, besides what
-fails the base rules.
+fails the base rules. Of a language with few documents the band leans on that
+of the script, and of a rare script on that of all documents.
 """
 
 from __future__ import annotations
@@ -31,8 +32,14 @@ REACH = 3.5
 SURE_TOKENS = 512
 #: Tokens beyond which more of them are not expected to raise the entropy.
 FULL_TOKENS = 1024
-#: Documents without which a language has no bands of its own.
-LEAST_DOCS = 50
+#: Documents from which on the quartiles of a language or script are its own;
+#: with fewer they lean on those above it, with one they are those.
+OWN_DOCS = 10
+#: Documents from which on a band is as narrow as its quartiles make it.
+SURE_DOCS = 50
+#: How far one document of an unknown language may be from the band above:
+#: shares of the quartile for characters per token and entropy; byte share.
+APART = (0.4, 0.25, 0.6)
 #: Least widths of the bands: characters per token, byte share, entropy.
 LEAST_WIDTH = (0.1, 0.05, 0.05)
 #: Most languages whose bands are broadcast; more are joined by a shuffle.
@@ -107,12 +114,13 @@ def _measures(path: str):
                 used = counts[counts > 0]
                 tokens = int(used.sum())
                 own = base(text, found, hashes)
+                written = "Latn" if text.isascii() else script(text.decode())
                 share = used / max(tokens, 1)
                 entropy = float(-(share * np.log2(share)).sum())
                 full = math.log2(min(tokens, FULL_TOKENS)) if tokens > 1 else 1.0
                 rows.append(
                     (
-                        *keys, lang, lang if lang is not None else script(text.decode()),
+                        *keys, lang, written, lang if lang is not None else written,
                         len(found), *own, tokens, own[0] / max(tokens, 1),
                         float(counts[encoder.is_byte].sum()) / max(tokens, 1), entropy / full,
                     )
@@ -126,10 +134,10 @@ def _measures(path: str):
 
 
 _NAMES = (
-    "doc_id h1 h2 lang language n_words word_chars n_symbols n_dup_lines n_repeat_words n_tokens "
+    "doc_id h1 h2 lang script language n_words word_chars n_symbols n_dup_lines n_repeat_words n_tokens "
     "chars_per_token byte_share entropy"
 ).split()
-_TYPES = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64()] * 6 + [pa.float64()] * 3
+_TYPES = [pa.int64()] * 3 + [pa.string()] * 3 + [pa.int64()] * 6 + [pa.float64()] * 3
 _SCHEMA = ", ".join(
     f"{n} {'string' if t == pa.string() else 'double' if t == pa.float64() else 'long'}"
     for n, t in zip(_NAMES, _TYPES)
@@ -157,23 +165,71 @@ def measure(docs: DataFrame, vocabulary: str) -> DataFrame:
     return taken.mapInArrow(_measures(vocabulary), _SCHEMA)
 
 
-def bands(measured: DataFrame) -> DataFrame:
-    """The middle band of each language: from quartiles of all its documents.
+def _quartiles(measured: DataFrame, *by: str) -> DataFrame:
+    """The number of documents that pass the base rules, and their quartiles."""
+    passed = ~base_failed()
+    return measured.groupBy(*by).agg(
+        F.count(F.when(passed, 1)).alias("docs"),
+        *[
+            F.percentile_approx(
+                F.when(passed, F.col(m)), F.array(F.lit(0.25), F.lit(0.75)), 10_000
+            ).alias(m)
+            for m in MEASURES
+        ],
+    )
+
 
-    Only documents that pass the base rules count. Languages with fewer than
-    ``LEAST_DOCS`` of them get no row, and so reject nothing.
+def _band(above: str | None) -> list[Column]:
+    """For each measure q1, q3, reach and apart, from ``docs`` and its quartiles.
+
+    ``above`` is the prefix of the columns of the band to lean on.
     """
-    quartiles = [
-        F.percentile_approx(m, F.array(F.lit(0.25), F.lit(0.75)), 10_000).alias(m) for m in MEASURES
-    ]
-    by = measured.filter(~base_failed()).groupBy("language")
-    grouped = by.agg(F.count("*").alias("docs"), *quartiles).filter(F.col("docs") >= LEAST_DOCS)
-    out = [F.col("language").alias("band_of")]
-    for name, least in zip(MEASURES, LEAST_WIDTH):
+    docs = F.coalesce("docs", F.lit(0))
+    own = F.least(F.lit(1.0), F.greatest(F.lit(0), docs - 1) / (OWN_DOCS - 1))
+    unsure = F.least(F.lit(1.0), F.greatest(F.lit(0), SURE_DOCS - docs) / (SURE_DOCS - 1))
+
+    def leant(value: Column, name: str) -> Column:
+        if above is None:
+            return value
+        upper = F.col(above + name)
+        return F.coalesce(own * value + (1 - own) * upper, upper)
+
+    out = []
+    for name, least, apart in zip(MEASURES, LEAST_WIDTH, APART):
         low, high = F.col(name)[0], F.col(name)[1]
         reach = F.greatest(REACH * (high - low), F.lit(least))
-        out += [low.alias(f"{name}_q1"), high.alias(f"{name}_q3"), reach.alias(f"{name}_reach")]
-    return grouped.select(*out)
+        upper = F.col(f"{above}{name}_apart") if above else F.lit(0.0)
+        out += [
+            leant(low, f"{name}_q1").alias(f"{name}_q1"),
+            leant(high, f"{name}_q3").alias(f"{name}_q3"),
+            leant(reach, f"{name}_reach").alias(f"{name}_reach"),
+            F.greatest(apart * unsure, (1 - own) * upper).alias(f"{name}_apart"),
+        ]
+    return out
+
+
+def bands(measured: DataFrame) -> DataFrame:
+    """The middle band of each language and script that occur together.
+
+    Quartiles come from all documents that pass the base rules. A language of
+    ``SURE_DOCS`` of them has its own band alone. With fewer the band is wider,
+    the more so the fewer there are, and below ``OWN_DOCS`` it passes over into
+    the band of the script, which in the same way passes over into that of all
+    documents. So every document has a band, and one that is alone in its
+    language is no measure of itself.
+    """
+    both = measured.select("language", "script").distinct()
+    total = _quartiles(measured).select(*_band(None))
+    total = F.broadcast(total.select(*[F.col(c).alias(f"all_{c}") for c in total.columns]))
+    scripts = _quartiles(measured, "script").crossJoin(total).select("script", *_band("all_"))
+    scripts = scripts.select(
+        F.col("script").alias("band_in"),
+        *[F.col(c).alias(f"script_{c}") for c in scripts.columns if c != "script"],
+    )
+    languages = _quartiles(measured, "language").withColumnRenamed("language", "band_of")
+    pairs = both.join(F.broadcast(scripts), F.col("script") == F.col("band_in"))
+    pairs = pairs.join(languages, F.col("language") == F.col("band_of"))
+    return pairs.select("band_of", "band_in", *_band("script_"))
 
 
 def judge(docs: DataFrame, vocabulary: str) -> DataFrame:
@@ -186,18 +242,27 @@ def judge(docs: DataFrame, vocabulary: str) -> DataFrame:
     """
     measured = staged(measure(docs, vocabulary))
     wider = F.sqrt(F.greatest(F.lit(1.0), SURE_TOKENS / F.greatest("n_tokens", F.lit(1))))
-    low = [F.col(m) < F.col(f"{m}_q1") - F.col(f"{m}_reach") * wider for m in MEASURES]
-    high = [F.col(m) > F.col(f"{m}_q3") + F.col(f"{m}_reach") * wider for m in MEASURES]
-    outside = low[0] | high[0] | high[1] | low[2]
+
+    def beyond(name: str, share: bool) -> tuple[Column, Column]:
+        low, high, apart = (F.col(f"{name}_{c}") for c in ("q1", "q3", "apart"))
+        reach = F.col(f"{name}_reach") * wider
+        return (
+            F.col(name) < low - reach - (apart * low if share else apart),
+            F.col(name) > high + reach + (apart * high if share else apart),
+        )
+
+    (few, many), (_, odd), (dull, _) = map(beyond, MEASURES, (True, False, True))
+    outside = F.coalesce(few | many | odd | dull, F.lit(False))
     known = staged(bands(measured))
     if known.count() <= BROADCAST_BANDS:
         known = F.broadcast(known)
-    joined = measured.join(known, F.col("language") == F.col("band_of"), "left")
+    of = (F.col("language") == F.col("band_of")) & (F.col("script") == F.col("band_in"))
+    joined = measured.join(known, of, "left")
     return joined.select(
-        *_NAMES,
+        *[n for n in _NAMES if n != "script"],
         base_failed().alias("base_failed"),
-        F.coalesce(outside, F.lit(False)).alias("outside"),
-        (~base_failed() & ~F.coalesce(outside, F.lit(False))).alias("kept"),
+        outside.alias("outside"),
+        (~base_failed() & ~outside).alias("kept"),
     )
 
 

@@ -68,3 +68,28 @@ def test_kept_rows(spark):
     assert kept.columns == df.columns
     assert sorted(repr(r["doc_id"]) for r in kept.collect()) == want
     assert fertility.keep(df.limit(0), PATH).count() == fertility.judge(df.limit(0), PATH).count() == 0
+
+
+def test_junk_in_thin_languages(spark):
+    rows = [r for r in rows_of() if r[2] == "en" and r[0] is not None and r[0] < 100]
+    junk = " ".join(f"ᚠ{chr(0x16A0 + i)}ᛦ" for i in range(60))
+    good = ("Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan, heille on annettu "
+            "järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä, jokaisella on "
+            "oikeus elämään, vapauteen ja henkilökohtaiseen turvallisuuteen")
+    rows += [(200, junk, "xx", *"khl"), (201, junk + " ᛒ", None, *"khl"), (202, good, "fi", *"khl")]
+    rows += [(203, junk, "yy", *"khl"), (204, "и " + junk + " ᛦ" * 3, "yy", *"khl")]
+    # Of twenty good documents and one of junk, the language itself says which.
+    rows += [(300 + i, f"{good} {i} {i * 7}", "sv", *"khl") for i in range(20)] + [(320, junk, "sv", *"khl")]
+    # A script beyond the vocabulary is the rule in a language of its own.
+    runes = [" ".join(chr(0x16A0 + (i * 7 + j) % 75) + chr(0x16A0 + j) for j in range(60)) for i in range(15)]
+    rows += [(400 + i, t, "rn", *"khl") for i, t in enumerate(runes)]
+    by = {r["doc_id"]: r for r in fertility.judge(spark.createDataFrame(rows, SCHEMA), PATH).collect()}
+    for i in (200, 201, 203, 204, 320):
+        assert not by[i]["base_failed"] and by[i]["outside"] and not by[i]["kept"]
+    assert all(by[i]["kept"] for i in (202, *range(80), *range(300, 320), *range(400, 415)))
+
+
+def test_a_table_of_one_row(spark):
+    rows = rows_of()
+    (one,) = fertility.judge(spark.createDataFrame(rows[5:6], SCHEMA), PATH).collect()
+    assert one["kept"] and not one["outside"]
