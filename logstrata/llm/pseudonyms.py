@@ -13,6 +13,8 @@ import datetime as dt
 import hmac
 import math
 import re
+import sys
+import unicodedata
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -42,6 +44,13 @@ KINDS = {
 _ANY = re.compile("|".join(f"(?P<{kind}>{form})" for kind, form in KINDS.items()))
 #: No kind is without one of these.
 _TRIGGER = re.compile(r"\d|@|(?i:token|secret|key|passw)")
+#: Decimal digits of all scripts but ASCII, and those that stand for them.
+_PLAIN = {
+    c: str(unicodedata.decimal(chr(c)))
+    for c in range(128, sys.maxunicode + 1)
+    if chr(c).isdecimal()
+}
+_OTHER_DIGIT = re.compile(r"[^\D0-9]")
 
 
 class Permutation:
@@ -95,6 +104,21 @@ def _poured(shape: str, values: str, places: str) -> str:
     return "".join(next(source) if c in places else c for c in shape)
 
 
+def _in_script(new: str, text: str) -> str:
+    """``new`` with the digits of the script that ``text`` has at each place.
+
+    Where ``text`` has no digit, or values differ in length, its first digit decides.
+    """
+    zeros = [ord(c) - unicodedata.decimal(c) if c.isdecimal() else None for c in text]
+    first = next(z for z in zeros if z is not None)
+    if len(new) != len(text):
+        zeros = [first] * len(new)
+    return "".join(
+        chr((first if z is None else z) + int(c)) if c in _DIGITS else c
+        for c, z in zip(new, zeros)
+    )
+
+
 class Pseudonyms:
     """The pseudonym of a found value, or None where it is not valid."""
 
@@ -197,8 +221,10 @@ def replace(text: str, names: Pseudonyms) -> tuple[str, list[tuple[str, int, int
     """The text with pseudonyms, and kind, place and length of each, in the new text."""
     if not _TRIGGER.search(text):
         return text, []
+    other = _OTHER_DIGIT.search(text) is not None
+    plain = text.translate(_PLAIN) if other else text
     out, spans, done, length, at = [], [], 0, 0, 0
-    while found := _ANY.search(text, at):
+    while found := _ANY.search(plain, at):
         kind = found.lastgroup if found.lastgroup in KINDS else next(k for k in KINDS if found.group(k))
         new = names.of(kind, found)
         if new is None:  # not valid: look for another kind behind its first character
@@ -206,6 +232,8 @@ def replace(text: str, names: Pseudonyms) -> tuple[str, list[tuple[str, int, int
             while at < found.end() and text[at - 1].isalnum() and text[at].isalnum():
                 at += 1
             continue
+        if other and _OTHER_DIGIT.search(own := text[found.start() : found.end()]):
+            new = _in_script(new, own)
         out += [text[done : found.start()], new]
         length += found.start() - done
         spans.append((kind, length, len(new)))
@@ -235,7 +263,7 @@ def pseudonymise(docs: DataFrame, key: str, spans: str = "pseudonyms") -> DataFr
 
     Replaced are e-mail names, hexadecimal secrets that are named as such, IBANs,
     dates, IPv4 addresses, social security numbers, telephone and card numbers,
-    where they are valid. Anything else stays as it is, as do all other columns;
+    where they are valid, in the decimal digits of any script. Anything else stays as it is, as do all other columns;
     one of the name ``spans`` is replaced. Null stays null and empty empty, both
     without spans; equal rows give equal rows. One pass, no shuffle; ``key``
     decides the permutations and must be kept as long as links are needed.

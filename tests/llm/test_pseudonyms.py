@@ -81,3 +81,22 @@ def test_rows(spark):
     other = ps.pseudonymise(df, "another").collect()
     assert {r["doc_id"]: r["text"] for r in other}[2] != by[2]["text"]
     assert ps.pseudonymise(df.limit(0), "k").count() == 0
+
+
+@pytest.mark.parametrize("zero", ["\u0660", "\u0966", "\uff10", "\U0001d7ce"])
+@pytest.mark.parametrize("text", [
+    "4465758382889437", "4465 7583 8288 9437", "123-45-6789", "+1 (663) 555-6869", "663-555-6869", "190.137.223.204",
+    "1984-02-29", "29/02/1984", "DE89 3704 0044 0532 0130 00", "jo.smith99@mail.example.com",
+    "token = 11acdfb36bb72224148e6160f674b0a1bc439e93",
+])
+def test_digits_of_other_scripts(zero, text):
+    theirs = {ord("0") + i: chr(ord(zero) + i) for i in range(10)}
+    want, spans = ps.replace(text, NAMES)
+    got, found = ps.replace(text.translate(theirs), NAMES)
+    assert spans and found == spans and got == want.translate(theirs)
+
+
+def test_invalid_digits_of_other_scripts_stay():
+    theirs = {ord("0") + i: chr(0x660 + i) for i in range(10)}
+    for text in ("9807915762804490", "000-12-3456", "31/02/1999", "999.1.1.1"):
+        assert ps.replace(text.translate(theirs), NAMES) == (text.translate(theirs), [])
