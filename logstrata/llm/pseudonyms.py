@@ -41,6 +41,25 @@ KINDS = {
     "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)|(?<![\w(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<![\w-])\d{3}-\d{3}-\d{4}(?![\w-])",
     "card": r"(?<!\w)(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{4,5})(?!\w)",
 }
+#: Kinds whose groups can run on into words and numbers behind them.
+_RUNS_ON = {kind: re.compile(KINDS[kind]) for kind in ("iban", "phone")}
+#: Characters of an IBAN by country.
+IBAN_LENGTHS = {
+    country: length
+    for length, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK",
+        21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+        24: "AD CZ DZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+        28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC",
+        32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
+#: Digits of a telephone number with its country code, where they are always as many.
+PHONE_DIGITS = {
+    "1": 11, "7": 11, "20": 12, "27": 11, "31": 11, "33": 11, "34": 11, "41": 11, "44": 12, "45": 10, "47": 10,
+    "48": 11, "61": 11, "82": 12, "86": 13, "90": 12, "91": 12, "351": 12, "353": 12, "420": 12, "421": 12,
+}
 _ANY = re.compile("|".join(f"(?P<{kind}>{form})" for kind, form in KINDS.items()))
 #: No kind is without one of these.
 _TRIGGER = re.compile(r"\d|@|(?i:token|secret|key|passw)")
@@ -217,6 +236,33 @@ class Pseudonyms:
         return "".join(reversed(out)) + "@" + domain
 
 
+def _ends(kind: str, found: re.Match) -> Iterator[re.Match]:
+    """The match and shorter ones that end with a group, likeliest first.
+
+    First is the length that the country prescribes, then the longest; a phone's
+    groups are not joined by a space once they were by another separator.
+    """
+    if kind not in _RUNS_ON:
+        yield found
+        return
+    text, start = found.group(), found.start()
+    ends = [found.end(), *(start + m.start() for m in reversed(list(re.finditer(r"[ .-]+", text))))]
+    tries = [m for end in ends if (m := _RUNS_ON[kind].fullmatch(found.string, start, end))]
+
+    def rank(m: re.Match) -> int:
+        if kind == "iban":
+            return len(m.group().replace(" ", "")) != IBAN_LENGTHS.get(m.group()[:2])
+        digits = _only(m.group(), _DIGITS)
+        if m.group()[0] == "+":
+            # At most one of these begins a number: no country code begins another.
+            due = next((n for code, n in PHONE_DIGITS.items() if digits.startswith(code)), None)
+            if len(digits) == due:
+                return 0
+        return 2 if re.search(r"\d[.-]\d+ ", m.group()) else 1
+
+    yield from sorted(tries, key=rank)
+
+
 def replace(text: str, names: Pseudonyms) -> tuple[str, list[tuple[str, int, int]]]:
     """The text with pseudonyms, and kind, place and length of each, in the new text."""
     if not _TRIGGER.search(text):
@@ -226,7 +272,11 @@ def replace(text: str, names: Pseudonyms) -> tuple[str, list[tuple[str, int, int
     out, spans, done, length, at = [], [], 0, 0, 0
     while found := _ANY.search(plain, at):
         kind = found.lastgroup if found.lastgroup in KINDS else next(k for k in KINDS if found.group(k))
-        new = names.of(kind, found)
+        for found in _ends(kind, first := found):
+            if (new := names.of(kind, found)) is not None:
+                break
+        else:
+            found = first
         if new is None:  # not valid: look for another kind behind its first character
             at = found.start() + 1
             while at < found.end() and text[at - 1].isalnum() and text[at].isalnum():

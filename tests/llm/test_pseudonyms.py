@@ -100,3 +100,16 @@ def test_invalid_digits_of_other_scripts_stay():
     theirs = {ord("0") + i: chr(0x660 + i) for i in range(10)}
     for text in ("9807915762804490", "000-12-3456", "31/02/1999", "999.1.1.1"):
         assert ps.replace(text.translate(theirs), NAMES) == (text.translate(theirs), [])
+
+
+@pytest.mark.parametrize("behind", [" EUR", " 2024", " 12 times", " 20240115", " INVOICE", " 12 34 56", ", 12", "", " A1 B2"])
+@pytest.mark.parametrize("text", [
+    "ES9121000418450200051332", "BE71096123456769", "BE71 0961 2345 6769", "PL61109010140000071219812874",
+    "SE4550000000058398257466", "AT611904300234573201", "DE89 3704 0044 0532 0130 00", "NO9386011117947",
+    "+1 (243) 555-5526", "+1 243 555 5526", "+44 20 7946 0958", "(243) 555-5526", "243-555-5526", "+49 30-1234-5678",
+    "4465 7583 8288 9437", "4465758382889437", "123-45-6789", "1984-02-29", "29.02.1984", "190.137.223.204",
+])
+def test_a_value_ends_before_what_follows(text, behind):
+    (alone, spans), (got, found) = ps.replace(text, NAMES), ps.replace(text + behind, NAMES)
+    assert len(spans) == 1 and alone != text
+    assert got == alone + behind and found == spans
