@@ -35,10 +35,10 @@ KINDS = {
     "email": r"(?<![\w.%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![\w-])",
     "secret": r"(?i:\b(?:token|secret|api[_-]?key|access[_-]?key|passw(?:or)?d)\b)\W{1,4}(?P<hex>[0-9A-Fa-f]{16,128})(?![\w])",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
-    "date": r"(?<![\w.-])(?:(?P<y>(?:19|20)\d\d)(?P<s1>[-/.])(?P<m>\d\d)(?P=s1)(?P<d>\d\d)|(?P<d2>\d\d)(?P<s2>[-/.])(?P<m2>\d\d)(?P=s2)(?P<y2>(?:19|20)\d\d))(?![\w-]|\.\d)",
+    "date": r"(?<![\w.-])(?:(?P<y>(?:19|20)\d\d)(?P<s1>[-/.])(?P<m>\d{1,2})(?P=s1)(?P<d>\d{1,2})|(?P<d2>\d{1,2})(?P<s2>[-/.])(?P<m2>\d{1,2})(?P=s2)(?P<y2>(?:19|20)\d\d))(?:(?=[Tt]\d\d:?\d\d)|(?![\w-]|\.\d))",
     "ip": r"(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\w|\.\d)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
-    "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)|(?<![\w(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<![\w-])\d{3}-\d{3}-\d{4}(?![\w-])",
+    "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)|(?<![\w(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<![\w-])(?:1-)?\d{3}-\d{3}-\d{4}(?![\w-])|(?<![\w.-])(?:1\.)?\d{3}\.\d{3}\.\d{4}(?![\w-]|\.\d)",
     "card": r"(?<!\w)(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{4,5})(?!\w)",
 }
 #: Kinds whose groups can run on into words and numbers behind them.
@@ -138,6 +138,13 @@ def _in_script(new: str, text: str) -> str:
     )
 
 
+def _day(year: str, month: str, day: str) -> dt.date | None:
+    try:
+        return dt.date(int(year), int(month), int(day))
+    except ValueError:
+        return None
+
+
 class Pseudonyms:
     """The pseudonym of a found value, or None where it is not valid."""
 
@@ -190,6 +197,8 @@ class Pseudonyms:
             return None
         code = re.match(r"\+(1(?!\d)|1|7|\d{1,3})", text)
         kept = min(len(code.group(1)), len(digits) - 7) if code else 0
+        if not code and len(digits) == 11:  # a leading 1 in front of ten digits
+            kept = 1
         return _poured(text, digits[:kept] + self._number(digits[kept:], "phone"), _DIGITS)
 
     def _ip(self, text: str, _: re.Match) -> str | None:
@@ -210,15 +219,19 @@ class Pseudonyms:
     def _date(self, text: str, found: re.Match) -> str | None:
         first = found.group("y") is not None
         y, m, d = (found.group(g if first else g + "2") for g in "ymd")
-        try:
-            day = dt.date(int(y), int(m), int(d))
-        except ValueError:
+        day, month_first = _day(y, m, d), False
+        if day is None and not first:
+            day, month_first = _day(y, d, m), True
+        if day is None:
             return None
         size = (LAST_DAY - FIRST_DAY).days + 1
         new = FIRST_DAY + dt.timedelta(self.permute((day - FIRST_DAY).days, size, b"date"))
         s = found.group("s1" if first else "s2")
-        parts = (f"{new.year:04d}", f"{new.month:02d}", f"{new.day:02d}")
-        return s.join(parts if first else parts[::-1])
+        width = 2 if len(m) == len(d) == 2 else 1  # 1/2/1980 stays without zeros
+        year, month, day_of = f"{new.year:04d}", f"{new.month:0{width}d}", f"{new.day:0{width}d}"
+        if first:
+            return s.join((year, month, day_of))
+        return s.join((month, day_of, year) if month_first else (day_of, month, year))
 
     def _email(self, text: str, _: re.Match) -> str:
         name, domain = text.split("@")
@@ -313,7 +326,8 @@ def pseudonymise(docs: DataFrame, key: str, spans: str = "pseudonyms") -> DataFr
 
     Replaced are e-mail names, hexadecimal secrets that are named as such, IBANs,
     dates, IPv4 addresses, social security numbers, telephone and card numbers,
-    where they are valid, in the decimal digits of any script. Anything else stays as it is, as do all other columns;
+    where they are valid, in the decimal digits of any script. A date that
+    is none with the day first is read with the month first. Anything else stays as it is, as do all other columns;
     one of the name ``spans`` is replaced. Null stays null and empty empty, both
     without spans; equal rows give equal rows. One pass, no shuffle; ``key``
     decides the permutations and must be kept as long as links are needed.

@@ -113,3 +113,32 @@ def test_a_value_ends_before_what_follows(text, behind):
     (alone, spans), (got, found) = ps.replace(text, NAMES), ps.replace(text + behind, NAMES)
     assert len(spans) == 1 and alone != text
     assert got == alone + behind and found == spans
+
+
+@pytest.mark.parametrize("text, form", [
+    ("03/25/1980", "{m:02}/{d:02}/{y}"), ("03-25-1980", "{m:02}-{d:02}-{y}"), ("25/03/1980", "{d:02}/{m:02}/{y}"),
+    ("3/25/1980", "{m}/{d}/{y}"), ("25.3.1980", "{d}.{m}.{y}"), ("1980-3-25", "{y}-{m}-{d}"),
+    ("1980-03-25T10:00:00Z", "{y}-{m:02}-{d:02}T10:00:00Z"), ("1980-03-25t1000", "{y}-{m:02}-{d:02}t1000"),
+    ("1980-03-25T10:00", "{y}-{m:02}-{d:02}T10:00"),
+    ("1980-03-25 10:00", "{y}-{m:02}-{d:02} 10:00"),
+])
+def test_forms_of_dates(text, form):
+    want = dt.date.fromisoformat(ps.replace("1980-03-25", NAMES)[0])
+    got, spans = ps.replace(f"on {text}, x", NAMES)
+    assert got == f"on {form.format(y=want.year, m=want.month, d=want.day)}, x"
+    assert [s[:2] for s in spans] == [("date", 3)]
+
+
+def test_one_digit_days_and_months():
+    assert ps.replace("1/2/1980", NAMES)[1] and ps.replace("1/2/1980", NAMES)[0] != "1/2/1980"
+    for text in ("13/13/1980", "0/5/1980", "1980-03-25Tx", "1.2.1980.4"):
+        assert ps.replace(text, NAMES) == (text, [])
+
+
+def test_forms_of_phones():
+    ten = "".join(c for c in ps.replace("800-555-1234", NAMES)[0] if c.isdigit())
+    dashed, dotted = f"{ten[:3]}-{ten[3:6]}-{ten[6:]}", f"{ten[:3]}.{ten[3:6]}.{ten[6:]}"
+    for text, want in (("1-800-555-1234", f"1-{dashed}"), ("800.555.1234", dotted), ("1.800.555.1234", f"1.{dotted}")):
+        for behind in (" 12", ".", " or"):
+            got, spans = ps.replace(f"call {text}{behind}", NAMES)
+            assert got == f"call {want}{behind}" and spans == [("phone", 5, len(want))]
