@@ -29,7 +29,13 @@ _LINE = (
 )
 _TITLE = r"(?is)<title[^>]*>(.*?)</title"
 _LANG = r"(?i)<html[^>]*[ \t\r\n]lang=[\"']?([a-z0-9-]+)"
+#: Links in double quotes, as the SQL of the query reads them.
 _LINK = r"(?i)<a[ \t\r\n][^>]*?href=\"([^\"]*)\""
+#: Links in double, single or no quotes, behind at most 500 other attributes.
+_HREF = (
+    r"(?i)<a[ \t\r\n](?:[^>=]*?=[ \t\r\n]*+(?:\"[^\"]*+\"|'[^']*+'|(?=[^\"' \t\r\n]))){0,500}?"
+    r"[^>=]*?(?<=[ \t\r\n\"'/])href[ \t\r\n]*+=[ \t\r\n]*+(\"[^\"]*+\"|'[^']*+'|[^ \t\r\n\"'>][^ \t\r\n>]*+)"
+)
 #: The entities that are decoded; the ampersand comes last.
 ENTITIES = (
     ("&lt;", "<"),
@@ -70,6 +76,12 @@ def decode(text: Column) -> Column:
     return F.when(F.instr(text, "&") > 0, decoded).otherwise(text)
 
 
+def _unquoted(value: Column) -> Column:
+    """An attribute's value without the quotes around it, if any."""
+    bare = F.substring(value, F.lit(2), F.length(value) - 2)
+    return F.when(F.substring(value, 1, 1).isin('"', "'"), bare).otherwise(value)
+
+
 def plain_text(html: Column) -> Column:
     """The visible text, a line for each block, blank lines left out.
 
@@ -150,7 +162,10 @@ def derivatives(responses: DataFrame) -> DataFrame:
         F.trim(decode(F.regexp_extract(payload, _TITLE, 1)), F.lit(" \t\r\n")).alias("title"),
         F.regexp_extract(payload, _LANG, 1).alias("lang"),
         F.transform(
-            F.array_distinct(F.regexp_extract_all(payload, F.lit(_LINK), 1)), decode
+            F.array_distinct(
+                F.transform(F.regexp_extract_all(payload, F.lit(_HREF), 1), _unquoted)
+            ),
+            decode,
         ).alias("links"),
     )
     links = F.array_join(

@@ -65,3 +65,15 @@ def test_files(spark, tmp_path):
         assert rest[size : size + 4] == b"\r\n\r\n"
         data, found = rest[size + 4 :], found + 1
     assert found == 2
+
+
+def test_links_in_all_quotings(spark):
+    many = " ".join(f"data-a{i}='{i}'" for i in range(400))
+    html = (
+        "<a href='/single?q=\"x\"'>1</a><A class=k HREF=/bare>2</A><a href = \"/spaced\">3</a><a\nhref=/n/ id=x>4</a>"
+        "<a title='no href=/title' href=\"/after\">5</a><a title=don't href='/odd'>6</a><a data-href='/data'>7</a>"
+        f"<a {many} href=/many>8</a><a href=''>9</a><a name=x>10</a><a href=/bare>11</a><a title=\"a>b\" href='/gt'>12</a>"
+    )
+    (meta,) = [r for r in made(spark, [(1, "u", html)]) if r["warc_type"] == "metadata"]
+    links = [x[9:-10] for x in meta["block"].split("\r\n") if x.startswith("outlink: ")]
+    assert links == ['/single?q="x"', "/bare", "/spaced", "/n/", "/after", "/odd", "/many", "", "/gt"]
