@@ -35,10 +35,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _WRITING = {
     "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4194304",
 }
 
 
-def staged(df: DataFrame) -> DataFrame:
+def staged(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """The rows written to the shared folder and read again.
 
     Cuts the lineage at a table that every executor can read, so that a lost
@@ -51,7 +52,7 @@ def staged(df: DataFrame) -> DataFrame:
     for name, value in _WRITING.items():
         spark.conf.set(name, value)
     try:
-        df.write.parquet(path)
+        df.write.option("compression", codec).parquet(path)
     finally:
         for name, value in before.items():
             spark.conf.set(name, value) if value is not None else spark.conf.unset(name)

@@ -15,6 +15,7 @@ from logstrata.llm import (
     query_packing,
     query_passages,
     query_pseudonyms,
+    query_token_alignment,
     query_url_rules,
     query_warc,
 )
@@ -32,6 +33,7 @@ MODULES = (
     query_fertility,
     query_entropy_mix,
     query_ngram_join,
+    query_token_alignment,
 )
 
 
