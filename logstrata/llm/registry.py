@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from logstrata.llm import (
     query_cap_filters,
+    query_collocations,
     query_entropy_mix,
     query_fertility,
     query_histogram_shards,
@@ -34,6 +35,7 @@ MODULES = (
     query_entropy_mix,
     query_ngram_join,
     query_token_alignment,
+    query_collocations,
 )
 
 
