@@ -14,8 +14,21 @@ from logstrata.sources import files
 _SHIPPED: set[str] = set()
 
 
+#: Rows and bytes that reach Python at a time: small, as they lie beside the heap.
+_BATCHES = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4194304",
+}
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors of the application, which may lack it."""
+    """Make an application ready for these operators.
+
+    Sends this package to its executors, which may lack it, and sets the size of
+    the batches that Python gets.
+    """
+    for name, value in _BATCHES.items():
+        spark.conf.set(name, value)
     context = spark.sparkContext
     if context.applicationId not in _SHIPPED:
         package = pathlib.Path(__file__).resolve().parent.parent
@@ -23,6 +36,7 @@ def ship(spark: SparkSession) -> None:
         context.addPyFile(shutil.make_archive(base, "zip", package.parent, package.name))
         _SHIPPED.add(context.applicationId)
 
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -30,13 +44,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Held while a table is written: its shuffle files go when it is there, as they
-#: have served, and texts reach Python in batches that fit beside the heap.
-_WRITING = {
-    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
-    "spark.sql.execution.arrow.maxBytesPerBatch": "4194304",
-}
+#: Held while a table is written: its shuffle files go when it is there, as they have served.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 
 
 def staged(df: DataFrame, codec: str = "snappy") -> DataFrame:

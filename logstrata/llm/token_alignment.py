@@ -29,7 +29,7 @@ PIECE = 1 << 15
 #: Links of a group beyond which its distinct ids are paired instead of its tokens.
 SMALL_GROUP = 1 << 12
 #: Distinct id pairs that a task adds up before it passes them on (16 bytes each).
-HELD_PAIRS = 1 << 20
+HELD_PAIRS = 1 << 19
 #: Most id pairs whose counts are broadcast (17 bytes each); more are joined by a shuffle.
 BROADCAST_PAIRS = 1 << 21
 #: Rows that are scored together when counts are joined by a shuffle.
@@ -72,9 +72,6 @@ class ByteLevel:
             self.slow.encode_special_tokens = True
         return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.int64)
 
-    def joined(self, ids: np.ndarray) -> bytes:
-        return self.fast.decode_bytes(ids.tolist())
-
 
 class Pieces:
     """Ids and bytes of tokens by a vocabulary of pieces with byte fallback: B."""
@@ -177,22 +174,19 @@ def _rows(rows: list[tuple], types: dict[str, pa.DataType]) -> pa.RecordBatch:
 
 
 _PIECES = {
-    "row": pa.int64(), "doc_id": pa.int64(), "piece": pa.int32(), "pieces": pa.int32(),
-    "a": pa.binary(), "b": pa.binary(), "from_a": pa.int64(), "from_b": pa.int64(),
-}
-_PIECES_DDL = (
-    "row long, doc_id long, piece int, pieces int, a binary, b binary, from_a long, from_b long"
-)
-_GROUPS = {
     "row": pa.int64(), "doc_id": pa.int64(), "piece": pa.int32(), "pieces": pa.int32(),
     "a": pa.binary(), "b": pa.binary(), "many_a": pa.binary(), "many_b": pa.binary(),
+    "from_a": pa.int64(), "from_b": pa.int64(),
 }
-_GROUPS_DDL = (
-    "row long, doc_id long, piece int, pieces int, a binary, b binary, many_a binary, many_b binary"
-)
+_GROUPS = {k: t for k, t in _PIECES.items() if k not in ("from_a", "from_b")}
+_TEXT = "row long, doc_id long, piece int, pieces int, a binary, b binary"
+_GROUPS_DDL = f"{_TEXT}, many_a binary, many_b binary"
+_PIECES_DDL = f"{_GROUPS_DDL}, from_a long, from_b long"
 
 
 def _encoded(paths: tuple[str, str, str], step: int):
+    """Rows of texts with their groups; of long texts the pieces, which are yet to be merged."""
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, second = vocabularies(*paths)
         for batch in batches:
@@ -202,23 +196,19 @@ def _encoded(paths: tuple[str, str, str], step: int):
                 a = b = np.zeros(0, np.int64)
                 if text:
                     a, b = first.ids(text), second.ids(text)
-                    whole = b" " + data
-                    if first.joined(a) != whole or second.joined(b) != whole:
-                        a = b = a[:0]
                 ends_a, ends_b = np.cumsum(first.lengths[a]), np.cumsum(second.lengths[b])
-                if len(a) + len(b) > step:
-                    i, j = diagonals(ends_a, ends_b, step)
-                else:
-                    i, j = np.array([0, len(a)]), np.array([0, len(b)])
+                # Tokens of A are the bytes in order, if none is missing.
+                if text and (ends_a[-1] != len(data) + 1 or second.joined(b) != b" " + data):
+                    a = b = ends_a = ends_b = a[:0]
+                if len(a) + len(b) <= step:
+                    own = (_ints(a), _ints(b), *map(_ints, borders(ends_a, ends_b)))
+                    out.append((row, doc_id, 0, 1, *own, 0, 0))
+                    continue
+                i, j = diagonals(ends_a, ends_b, step)
                 for n in range(len(i) - 1):
-                    out.append(
-                        (
-                            row, doc_id, n, len(i) - 1,
-                            _ints(a[i[n] : i[n + 1]]), _ints(b[j[n] : j[n + 1]]),
-                            int(ends_a[i[n] - 1]) if i[n] else 0,
-                            int(ends_b[j[n] - 1]) if j[n] else 0,
-                        )
-                    )
+                    own = _ints(a[i[n] : i[n + 1]]), _ints(b[j[n] : j[n + 1]])
+                    before = [int(e[k[n] - 1]) if k[n] else 0 for e, k in ((ends_a, i), (ends_b, j))]
+                    out.append((row, doc_id, n, len(i) - 1, *own, None, None, *before))
             yield _rows(out, _PIECES)
 
     return encode
@@ -229,7 +219,7 @@ def _merged(paths: tuple[str, str, str]):
         first, second = vocabularies(*paths)
         for batch in batches:
             out = []
-            for *keys, a, b, from_a, from_b in zip(*(c.to_pylist() for c in batch.columns)):
+            for *keys, a, b, _, _, from_a, from_b in zip(*(c.to_pylist() for c in batch.columns)):
                 ends_a = from_a + np.cumsum(first.lengths[_read(a)])
                 ends_b = from_b + np.cumsum(second.lengths[_read(b)])
                 out.append((*keys, a, b, *map(_ints, borders(ends_a, ends_b))))
@@ -246,24 +236,31 @@ def _stitch(_: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     yield _rows([(rows[0]["row"], rows[0]["doc_id"], 0, 1, *map(_ints, stitched(parts)))], _GROUPS)
 
 
-def groups(pieces: DataFrame, paths: tuple[str, str, str]) -> DataFrame:
-    """Tokens and group sizes of every row, from its pieces."""
-    merged = pieces.mapInArrow(_merged(paths), _GROUPS_DDL)
-    long = merged.filter(F.col("pieces") > 1).groupBy("row").applyInArrow(_stitch, _GROUPS_DDL)
-    return merged.filter(F.col("pieces") == 1).unionByName(long).drop("piece", "pieces")
+def groups(docs: DataFrame, paths: tuple[str, str, str], step: int) -> DataFrame:
+    """Tokens and group sizes of every row; pieces of long texts are merged by any task."""
+    pieces = staged(docs.mapInArrow(_encoded(paths, step), _PIECES_DDL), "zstd")
+    long = pieces.filter(F.col("pieces") > 1).mapInArrow(_merged(paths), _GROUPS_DDL)
+    long = staged(long.groupBy("row").applyInArrow(_stitch, _GROUPS_DDL), "zstd")
+    whole = pieces.filter(F.col("pieces") == 1).drop("from_a", "from_b")
+    return whole.unionByName(long).drop("piece", "pieces")
 
 
 # --- Links -------------------------------------------------------------------
 
 
+def _counts(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and how often each is there."""
+    keys = np.sort(keys)
+    starts = np.flatnonzero(np.concatenate([[len(keys) > 0], keys[1:] != keys[:-1]]))
+    return keys[starts], np.diff(np.append(starts, len(keys)))
+
+
 def _summed(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order, and the sum of ``times`` for each."""
-    if not len(keys):
-        return keys, times
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys, times = keys[order], times[order]
-    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[starts], np.add.reduceat(times, starts)
+    starts = np.flatnonzero(np.concatenate([[len(keys) > 0], keys[1:] != keys[:-1]]))
+    return keys[starts], np.add.reduceat(times, starts) if len(starts) else times
 
 
 def links(
@@ -272,11 +269,15 @@ def links(
     """Distinct pairs of linked ids as ``a * size + b``, and how many links each has."""
     from_a, from_b = np.cumsum(many_a) - many_a, np.cumsum(many_b) - many_b
     small = many_a * many_b <= SMALL_GROUP
+    if (many_a == 1).all() and (many_b == 1).all():
+        return _counts(a * size + b)
     times = np.repeat(np.where(small, many_b, 0), many_a)
     start = np.repeat(from_b, many_a)
     place = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-    found = [np.repeat(a, times) * size + b[np.repeat(start, times) + place]]
-    counts = [np.ones(len(found[0]), np.int64)]
+    plain = np.repeat(a, times) * size + b[np.repeat(start, times) + place]
+    if small.all():
+        return _counts(plain)
+    found, counts = [plain], [np.ones(len(plain), np.int64)]
     for g in np.flatnonzero(~small):
         own_a, times_a = np.unique(a[from_a[g] : from_a[g] + many_a[g]], return_counts=True)
         own_b, times_b = np.unique(b[from_b[g] : from_b[g] + many_b[g]], return_counts=True)
@@ -314,8 +315,10 @@ def _pairs(size: int, held: int):
 
 
 def _added(keys: np.ndarray, times: np.ndarray, more: list[np.ndarray]):
-    every = [np.ones(len(m), np.int64) for m in more]
-    return _summed(np.concatenate([keys, *more]), np.concatenate([times, *every]))
+    if not more:
+        return keys, times
+    own, counts = _counts(np.concatenate(more))
+    return _summed(np.concatenate([keys, own]), np.concatenate([times, counts]))
 
 
 def _counted(keys: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
@@ -351,14 +354,13 @@ _SCORES_DDL = (
 
 
 @lru_cache(maxsize=1)
-def _decimals(size: int) -> list[list[bytes]]:
+def _decimals(size: int) -> list[bytes]:
     """Ids as decimal text, with each sign that may follow one."""
-    return [[b"%d%b" % (i, sign) for i in range(size)] for sign in (b",", b"|", b";")]
+    return [b"%d%b" % (i, sign) for sign in (b",", b"|", b";") for i in range(size)]
 
 
 def written(a: np.ndarray, b: np.ndarray, many_a: np.ndarray, many_b: np.ndarray, size: int) -> bytes:
-    """The groups of a text as ``a1,a2|b1;a3|b2,b3``."""
-    comma, bar, semicolon = _decimals(size)
+    """The groups of a text as ``a1,a2|b1;a3|b2,b3``; ids are below ``size``."""
     last_a, last_b = np.cumsum(many_a) - 1, np.cumsum(many_b) - 1
     place_a = np.arange(len(a)) + np.repeat(last_b + 1 - many_b, many_a)
     place_b = np.arange(len(b)) + np.repeat(last_a + 1, many_b)
@@ -366,28 +368,29 @@ def written(a: np.ndarray, b: np.ndarray, many_a: np.ndarray, many_b: np.ndarray
     ids[place_a], ids[place_b] = a, b
     signs = np.zeros(len(ids), np.int64)
     signs[place_a[last_a]], signs[place_b[last_b]] = 1, 2
-    table = comma + bar + semicolon
+    table = _decimals(size)
     return b"".join(map(table.__getitem__, (ids + signs * size).tolist()))[:-1]
 
 
-def _score(doc_id, parts, size: int, keys: np.ndarray, counts: np.ndarray, best: np.ndarray):
+def _score(doc_id, parts, sizes: tuple[int, int], keys, counts, best) -> tuple:
+    """A row of the result, from the pairs of all documents with their counts."""
     if parts is None:
         return doc_id, 0, 0, 0, 0, 0, 0, ""
     a, b, many_a, many_b = parts
-    pairs, times = links(*parts, size)
+    pairs, times = links(*parts, sizes[1])
     at = np.searchsorted(keys, pairs)
-    digest = hashlib.sha256(written(*parts, max(size, int(a.max()) + 1))).hexdigest()
+    digest = hashlib.sha256(written(*parts, max(sizes))).hexdigest()
     return (
         doc_id, len(a), len(b), len(many_a), int(times.sum()), int(times[best[at]].sum()),
         int((times * counts[at]).sum()), digest,
     )
 
 
-def _scored(size: int, known):
+def _scored(sizes: tuple[int, int], known):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = known.value
         for batch in batches:
-            yield _rows([_score(d, p, size, *table) for _, d, p in _unpacked(batch)], _SCORES)
+            yield _rows([_score(d, p, sizes, *table) for _, d, p in _unpacked(batch)], _SCORES)
 
     return score
 
@@ -399,10 +402,10 @@ def _sorted(found: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return keys[order], counts[order], best[order].astype(bool)
 
 
-def _scored_block(size: int):
+def _scored_block(sizes: tuple[int, int]):
     def score(rows: pa.Table, found: pa.Table) -> pa.Table:
         table = _sorted(found)
-        out = [_rows([_score(d, p, size, *table) for _, d, p in _unpacked(b)], _SCORES)
+        out = [_rows([_score(d, p, sizes, *table) for _, d, p in _unpacked(b)], _SCORES)
                for b in rows.to_batches()]
         return pa.Table.from_batches(out, pa.schema(list(_SCORES.items())))
 
@@ -432,7 +435,7 @@ def align(
     """
     spark = docs.sparkSession
     first, second = vocabularies(*paths)
-    size = second.size
+    size, sizes = second.size, (first.size, second.size)
     if first.size * size >= 1 << 62:
         raise ValueError("pairs of these vocabularies do not fit in 62 bits")
     taken = docs.select(
@@ -440,8 +443,7 @@ def align(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("text").cast("binary").alias("text"),
     )
-    pieces = staged(taken.mapInArrow(_encoded(paths, step), _PIECES_DDL), "zstd")
-    found = groups(pieces, paths)
+    found = groups(taken, paths, step)
     pairs = found.mapInArrow(_pairs(size, HELD_PAIRS), "key long, n long")
     pairs = staged(pairs.groupBy("key").agg(F.sum("n").alias("n")))
     of_a = F.expr(f"key div {size}").alias("id_a")
@@ -450,8 +452,8 @@ def align(
     counts = counts.select("key", "n", (F.col("n") == F.col("most")).alias("best"))
     if pairs.count() <= most:
         known = spark.sparkContext.broadcast(_sorted(counts.toArrow()))
-        return found.mapInArrow(_scored(size, known), _SCORES_DDL)
+        return found.mapInArrow(_scored(sizes, known), _SCORES_DDL)
     own = found.mapInArrow(_block_pairs(size), "block long, key long").distinct()
     own = own.join(counts, "key").select("block", "key", "n", "best")
     blocks = found.withColumn("block", _block()).groupBy("block")
-    return blocks.cogroup(own.groupBy("block")).applyInArrow(_scored_block(size), _SCORES_DDL)
+    return blocks.cogroup(own.groupBy("block")).applyInArrow(_scored_block(sizes), _SCORES_DDL)
