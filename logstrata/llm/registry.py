@@ -17,6 +17,7 @@ from logstrata.llm import (
     query_passages,
     query_pseudonyms,
     query_token_alignment,
+    query_toxicity,
     query_url_rules,
     query_warc,
 )
@@ -34,6 +35,7 @@ MODULES = (
     query_fertility,
     query_entropy_mix,
     query_ngram_join,
+    query_toxicity,
     query_token_alignment,
     query_collocations,
 )

@@ -22,7 +22,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logstrata.llm.common import staged
@@ -33,10 +33,12 @@ SYMBOLS, SPACE, OTHER = 32, 27, 28
 LIKE = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
 #: Symbols of a subsequence, the longest stretch it may take, and the decay for each symbol of it.
 LENGTH, STRETCH, DECAY = 4, 7, 0.4
-#: Symbols of a window, and how many of a very long text are looked at together.
-WINDOW, PART = 16, 1 << 17
-#: Landmarks, and the part of them that are common words.
-LANDMARKS, COMMON = 256, 0.25
+#: Symbols of a window, and how many of the texts are looked at together.
+WINDOW, PART = 16, 1 << 16
+#: Most landmarks, the part of them that are common words, and how many there are at least.
+LANDMARKS, COMMON, LEAST = 256, 0.25, 8
+#: Beginnings of words that may be landmarks beside whole words, with the space before them.
+BEGINNINGS = range(5, 9)
 #: Most labelled documents, toxic and other, that are learnt from; all are while there are fewer.
 MOST_TOXIC, MOST_OTHER = 3000, 6000
 #: Windows of a text, apart from each other, whose values its score comes from.
@@ -121,48 +123,72 @@ class Landmarks:
 
 def _values(found: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """For each symbol the weighted sum of the subsequences that begin with it."""
-    out = np.empty(len(found), np.float32)
     padded = np.concatenate([found, np.zeros(STRETCH, found.dtype)]).astype(np.int32)
-    for start in range(0, len(found), CHUNK):
-        size = min(CHUNK, len(found) - start)
-        columns = [padded[start + i : start + i + size] for i in range(STRETCH)]
-        begun = {(0,): columns[0]}
-        total = np.zeros(size, np.float32)
-        for steps, decay in zip(_STEPS.tolist(), _WEIGHTS):
-            for n in range(2, LENGTH + 1):
-                if (own := tuple(steps[:n])) not in begun:
-                    code = begun[own[:-1]] * SYMBOLS + columns[own[-1]]
-                    begun[own] = weights[code] if n == LENGTH else code
-            total += begun.pop(tuple(steps)) * decay
-        out[start : start + size] = total
-    return out
+    columns = [padded[i : i + len(found)] for i in range(STRETCH)]
+    begun = {(0,): columns[0]}
+    total = np.zeros(len(found), np.float32)
+    for steps, decay in zip(_STEPS.tolist(), _WEIGHTS):
+        for n in range(2, LENGTH):
+            if (own := tuple(steps[:n])) not in begun:
+                begun[own] = begun[own[:-1]] * SYMBOLS + columns[own[-1]]
+        code = begun[tuple(steps[:-1])] * SYMBOLS + columns[steps[-1]]
+        total += weights[code] * decay
+    return total
 
 
-def best_windows(texts: list[str], weights: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The largest values of windows apart from each other, in order, and the first's symbols.
+class Best:
+    """The most toxic windows of texts that lie apart from each other.
 
     A window has ``WINDOW`` symbols, or what is left of the text, in which its
     subsequences begin. Values are at least 0, as that of a text without symbols
-    is. ``weights`` are 0 for any subsequence with the symbol 0.
+    is. A very long text is looked at in parts, and short ones are together.
     """
-    gap = np.zeros(WINDOW + STRETCH, np.uint8)
-    parts = [symbols(t) for t in texts]
-    found = np.concatenate([x for p in parts for x in (p, gap)]) if parts else gap
-    ends = np.cumsum([len(p) + len(gap) for p in parts])
-    sums = np.concatenate([[0.0], np.cumsum(_values(found, weights), dtype=np.float64)])
-    values = sums[np.minimum(np.arange(len(found)) + WINDOW, len(found))] - sums[:-1]
-    most, windows = np.zeros((len(texts), BEST)), []
-    for i, (end, part) in enumerate(zip(ends, parts)):
-        start = end - len(gap) - len(part)
-        own = values[start : start + len(part) + 1].copy()
-        for n in range(BEST):
-            place = int(own.argmax())
-            most[i, n] = max(own[place], 0.0)
-            if n == 0:
-                at = start + place
-                windows.append(found[at : at + WINDOW + STRETCH - 1].copy())
-            own[max(0, place - WINDOW + 1) : place + WINDOW] = 0
-    return most, windows
+
+    def __init__(self, weights: np.ndarray):
+        self.weights = weights  # 0 for any subsequence with the symbol 0
+        self.found: list[list[tuple[float, bytes]]] = []
+        self.waiting: list[tuple[int, int, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, text: str) -> None:
+        every, beyond = symbols(text), WINDOW + STRETCH - 1
+        self.found.append([])
+        for start in range(0, len(every), PART):
+            part = every[start : start + PART + beyond]
+            own = min(PART, len(every) - start)
+            self.waiting.append((len(self.found) - 1, own, part))
+            self.size += len(part)
+            if self.size >= PART:
+                self._look()
+
+    def _look(self) -> None:
+        gap = np.zeros(WINDOW + STRETCH, np.uint8)
+        joined = np.concatenate([x for _, _, p in self.waiting for x in (p, gap)])
+        sums = np.concatenate([[0.0], np.cumsum(_values(joined, self.weights), dtype=np.float64)])
+        values = sums[np.minimum(np.arange(len(joined)) + WINDOW, len(joined))] - sums[:-1]
+        start = 0
+        for text, size, part in self.waiting:
+            own = values[start : start + size]
+            for _ in range(BEST):
+                at = int(own.argmax())
+                if own[at] <= 0:
+                    break
+                window = joined[start + at : start + at + WINDOW + STRETCH - 1].tobytes()
+                self.found[text].append((float(own[at]), window))
+                own[max(0, at - WINDOW + 1) : at + WINDOW] = 0
+            start += len(part) + len(gap)
+        self.waiting, self.size = [], 0
+
+    def done(self) -> tuple[np.ndarray, list[bytes]]:
+        """The ``BEST`` largest values of each text in falling order, and its first window."""
+        if self.waiting:
+            self._look()
+        values, windows = np.zeros((len(self.found), BEST)), []
+        for i, found in enumerate(self.found):
+            best = sorted(found, reverse=True)[:BEST]
+            values[i, : len(best)] = [v for v, _ in best]
+            windows.append(best[0][1] if best else b"")
+        return values, windows
 
 
 # --- Training ------------------------------------------------------------------
@@ -228,3 +254,206 @@ def curve(values: np.ndarray, toxic: np.ndarray, counts: tuple[float, float]) ->
 
 def _logistic(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+
+
+# --- Labels and texts on Spark ---------------------------------------------------
+
+
+def held_out() -> Column:
+    """Rows whose labels are not learnt from."""
+    rest = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+    return F.coalesce(rest == 2, F.lit(False))
+
+
+def _sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
+    """Labelled texts to learn from, and the numbers of other and toxic labels.
+
+    All of them, up to ``MOST_TOXIC`` and ``MOST_OTHER``; beyond that, those
+    whose ids have the smallest hashes.
+    """
+    known = labels.select(
+        F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") > 0).alias("toxic")
+    )
+    known = known.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out())
+    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    order = F.xxhash64("doc_id"), F.col("doc_id")
+    parts = [
+        known.filter(F.col("toxic") == toxic).orderBy(*order).limit(most)
+        for toxic, most in ((True, MOST_TOXIC), (False, MOST_OTHER))
+    ]
+    taken = F.broadcast(parts[0].unionByName(parts[1]))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text())
+    return staged(texts.join(taken, "doc_id")), (counts.get(False, 0), counts.get(True, 0))
+
+
+def _text() -> Column:
+    return F.make_valid_utf8(F.col("text").cast("string")).alias("text")
+
+
+def _strings(text: str) -> set[bytes]:
+    """The words of a text between spaces, and beginnings of them."""
+    space, out = bytes([SPACE]), set()
+    for word in set(symbols(text).tobytes().split(space)):
+        word = space + word.replace(b"\0", b"")[: WINDOW - 2]
+        out.add(word + space)
+        out.update(word[:k] for k in BEGINNINGS if len(word) > k)
+    return {w for w in out if len(w) >= LENGTH}
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many toxic and other documents of a batch have a string."""
+    for batch in batches:
+        counts: dict[bytes, list[int]] = {}
+        for text, toxic in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic"))):
+            for word in _strings(text or ""):
+                counts.setdefault(word, [0, 0])[toxic] += 1
+        other, toxic = zip(*counts.values()) if counts else ((), ())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(counts), pa.binary()), pa.array(toxic, pa.int64()), pa.array(other, pa.int64())],
+            ["word", "toxic", "other"],
+        )
+
+
+def _landmarks(sample: DataFrame, others: int, toxic: int) -> tuple[list[bytes], np.ndarray]:
+    """Strings that tell toxic documents by a likelihood ratio, then common ones; and first weights."""
+    words = sample.mapInArrow(_counted, "word binary, toxic long, other long").groupBy("word")
+    words = words.agg(F.sum("toxic").alias("t"), F.sum("other").alias("o")).filter("t > 1")
+
+    def part(count: Column, of: Column) -> Column:
+        return F.when(count > 0, count * F.log(count / of)).otherwise(0.0)
+
+    t, o, many, rest = F.col("t"), F.col("o"), F.lit(float(toxic)), F.lit(float(others))
+    apart = part(t, many) + part(many - t, many) + part(o, rest) + part(rest - o, rest)
+    together = part(t + o, many + rest) + part(many + rest - t - o, many + rest)
+    ratio = F.when(t / many > o / rest, 2 * (apart - together)).otherwise(0.0)
+    words = staged(words.withColumn("ratio", F.round(ratio, 9)))
+    sure = 2 * np.log(max(words.count(), 1))
+    telling = words.orderBy(F.col("ratio").desc(), F.length("word").desc(), "word")
+    first, seen, taken = [], set(), set()
+    for row in telling.limit(8 * LANDMARKS).collect():
+        word, key = bytes(row["word"]), (row["t"], row["o"], bytes(row["word"])[: min(BEGINNINGS)])
+        enough = len(first) >= LEAST and row["ratio"] < sure
+        if row["ratio"] <= 0 or enough or len(first) >= LANDMARKS * (1 - COMMON):
+            break
+        if key not in seen:  # not a beginning beside the word it is one of
+            seen.add(key)
+            taken.add(word)
+            first.append((word, row["ratio"]))
+    many_common = max(LEAST, int(len(first) * COMMON / (1 - COMMON)))
+    often = words.orderBy((F.col("t") + F.col("o")).desc(), "word").limit(2 * LANDMARKS)
+    common = [w for w in (bytes(r["word"]) for r in often.collect()) if w not in taken]
+    strings = [w for w, _ in first] + common[:many_common]
+    begin = np.zeros(len(strings))
+    begin[: len(first)] = np.sqrt([r for _, r in first])
+    return strings, begin
+
+
+def _looked(known):
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            best = Best(known.value)
+            for text in batch.column("text").to_pylist():
+                best.add(text or "")
+            values, windows = best.done()
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id"), batch.column("toxic"),
+                    pa.array(values.tolist(), pa.list_(pa.float64())), pa.array(windows, pa.binary()),
+                ],
+                ["doc_id", "toxic", "best", "window"],
+            )
+
+    return look
+
+
+class Model:
+    """Weights of subsequences and the curve from the values of windows to a score."""
+
+    def __init__(self, weights: np.ndarray, line: np.ndarray):
+        self.weights, self.line = weights.astype(np.float32), line
+
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        best = Best(self.weights)
+        for text in texts:
+            best.add(text or "")
+        values, _ = best.done()
+        return _logistic(np.column_stack([values, np.ones(len(values))]) @ self.line)
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    """A model from labels (doc_id, toxic) of rows that are not held out.
+
+    Learns from at most ``MOST_TOXIC`` toxic and ``MOST_OTHER`` other documents,
+    whose texts stay in Spark: the driver gets counts of the strings that may be
+    landmarks and one window of each document in each round. Labels that are
+    null, of no document or of a null id are left out; of several labels of an
+    id the toxic one counts. Without labels of both kinds every text gets the
+    same score, the share of toxic labels (0 without any).
+    """
+    spark = docs.sparkSession
+    sample, counts = _sample(docs, labels)
+    have = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    if len(have) < 2:
+        share = counts[1] / max(sum(counts), 1)
+        line = np.zeros(BEST + 1)
+        line[-1] = np.log(share / (1 - share)) if 0 < share < 1 else 500.0 if share else -500.0
+        return Model(np.zeros(SYMBOLS**LENGTH), line)
+    strings, begin = _landmarks(sample, have[False], have[True])
+    landmarks = Landmarks([np.frombuffer(s, np.uint8) for s in strings])
+    root = _inverse_root(landmarks.matrix.T @ landmarks.matrix)
+    weights, other = landmarks.weights(begin), {}
+
+    def look() -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        known = spark.sparkContext.broadcast(weights)
+        schema = "doc_id long, toxic boolean, best array<double>, window binary"
+        found = sample.mapInArrow(_looked(known), schema).toArrow()
+        found = found.sort_by([("doc_id", "ascending"), ("window", "ascending")])
+        known.unpersist()
+        toxic = found.column("toxic").to_numpy().astype(bool)
+        return np.array(found.column("best").to_pylist()), toxic, found.column("window").to_pylist()
+
+    def features(windows: list[bytes]) -> np.ndarray:
+        return landmarks.kernel([np.frombuffer(w, np.uint8) for w in windows]) @ root
+
+    for _ in range(ROUNDS):
+        _, toxic, windows = look()
+        new = {w for w, t in zip(windows, toxic) if not t} - other.keys()
+        other.update(zip(sorted(new), features(sorted(new))))
+        x = np.concatenate([features([w for w, t in zip(windows, toxic) if t]), list(other.values())])
+        w, _ = machine(x, np.arange(len(x)) < toxic.sum())
+        weights = landmarks.weights(root @ w)
+    values, toxic, _ = look()
+    return Model(weights, curve(values, toxic, counts))
+
+
+def _scored(known):
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = known.value.scores(batch.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id"), batch.column("held_out"), pa.array(scores),
+                    pa.array((scores >= THRESHOLD).astype(np.int32)),
+                ],
+                ["doc_id", "held_out", "score", "predicted"],
+            )
+
+    return score
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, held_out, score and predicted of every row, from its text alone.
+
+    Null and empty texts, and those without letters, have windows of value 0 and
+    their score. Bytes that are no UTF-8 read as U+FFFD, which matches nothing.
+    Texts of any length are looked at as a whole, in parts. Repeated rows and
+    rows with a null id, which is not held out, each give a row; an empty table
+    gives none. The model is one table of 4 MiB, which is broadcast.
+    """
+    known = docs.sparkSession.sparkContext.broadcast(model)
+    taken = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), _text()
+    )
+    schema = "doc_id long, held_out boolean, score double, predicted int"
+    return taken.mapInArrow(_scored(known), schema)
