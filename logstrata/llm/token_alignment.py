@@ -81,8 +81,14 @@ class Pieces:
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.size = self.model.vocab_size()
-        self.bytes = [self._bytes(i) for i in range(self.size)]
-        self.lengths = np.array([len(b) for b in self.bytes], np.int64)
+        found = [self._bytes(i) for i in range(self.size)]
+        self.lengths = np.array([len(b) for b in found], np.int64)
+        # The bytes of each token as words of eight, and of them those that count.
+        width = 8 * -(-int(self.lengths.max()) // 8)
+        filled = np.frombuffer(b"".join(b.ljust(width, b"\0") for b in found), np.uint8)
+        used = np.arange(width) < self.lengths[:, None]
+        self.words = np.ascontiguousarray(filled.reshape(self.size, width)).view(np.uint64)
+        self.masks = np.where(used, 255, 0).astype(np.uint8).view(np.uint64)
 
     def _bytes(self, number: int) -> bytes:
         piece = self.model.id_to_piece(number)
@@ -93,8 +99,22 @@ class Pieces:
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.model.encode(text), np.int64)
 
-    def joined(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.bytes.__getitem__, ids.tolist()))
+    def give(self, ids: np.ndarray, ends: np.ndarray, text: bytes) -> bool:
+        """Whether the tokens that end there are the bytes of the text."""
+        if not len(ids) or ends[-1] != len(text):
+            return not len(ids) and not text
+        padded = np.frombuffer(text + bytes(8 * self.words.shape[1]), np.uint8)
+        eight = np.ndarray(len(padded) - 7, np.uint64, padded, strides=(1,))
+        starts = ends - self.lengths[ids]
+        for n in range(self.words.shape[1]):
+            if n:
+                long = self.lengths[ids] > 8 * n
+                ids, starts = ids[long], starts[long]
+            if not len(ids):
+                break
+            if ((eight[starts + 8 * n] ^ self.words[ids, n]) & self.masks[ids, n]).any():
+                return False
+        return True
 
 
 @lru_cache(maxsize=1)
@@ -128,9 +148,20 @@ def diagonals(a: np.ndarray, b: np.ndarray, step: int) -> tuple[np.ndarray, np.n
 
 def borders(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Tokens of ``a`` and of ``b`` in each group that a common end closes."""
-    at = np.searchsorted(b, a)
-    common = np.flatnonzero(b[np.minimum(at, len(b) - 1)] == a) if len(b) else at[:0]
-    return np.diff(common, prepend=-1), np.diff(at[common], prepend=-1)
+    if not len(a) or not len(b):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    first = min(a[0], b[0])
+    at = np.full(max(a[-1], b[-1]) - first + 1, -1, np.int32)
+    at[b - first] = np.arange(len(b))
+    place = at[a - first]
+    common = np.flatnonzero(place >= 0)
+    place = place[common]
+    many_a, many_b = common.copy(), place.astype(np.int64)
+    many_a[1:] -= common[:-1]
+    many_b[1:] -= place[:-1]
+    many_a[:1] += 1
+    many_b[:1] += 1
+    return many_a, many_b
 
 
 def stitched(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
@@ -198,7 +229,7 @@ def _encoded(paths: tuple[str, str, str], step: int):
                     a, b = first.ids(text), second.ids(text)
                 ends_a, ends_b = np.cumsum(first.lengths[a]), np.cumsum(second.lengths[b])
                 # Tokens of A are the bytes in order, if none is missing.
-                if text and (ends_a[-1] != len(data) + 1 or second.joined(b) != b" " + data):
+                if text and (ends_a[-1] != len(data) + 1 or not second.give(b, ends_b, b" " + data)):
                     a = b = ends_a = ends_b = a[:0]
                 if len(a) + len(b) <= step:
                     own = (_ints(a), _ints(b), *map(_ints, borders(ends_a, ends_b)))
@@ -354,9 +385,9 @@ _SCORES_DDL = (
 
 
 @lru_cache(maxsize=1)
-def _decimals(size: int) -> list[bytes]:
-    """Ids as decimal text, with each sign that may follow one."""
-    return [b"%d%b" % (i, sign) for sign in (b",", b"|", b";") for i in range(size)]
+def _decimals(size: int) -> np.ndarray:
+    """Ids as decimal text, with each sign that may follow one; zero bytes fill up."""
+    return np.array([b"%d%b" % (i, sign) for sign in (b",", b"|", b";") for i in range(size)])
 
 
 def written(a: np.ndarray, b: np.ndarray, many_a: np.ndarray, many_b: np.ndarray, size: int) -> bytes:
@@ -368,8 +399,8 @@ def written(a: np.ndarray, b: np.ndarray, many_a: np.ndarray, many_b: np.ndarray
     ids[place_a], ids[place_b] = a, b
     signs = np.zeros(len(ids), np.int64)
     signs[place_a[last_a]], signs[place_b[last_b]] = 1, 2
-    table = _decimals(size)
-    return b"".join(map(table.__getitem__, (ids + signs * size).tolist()))[:-1]
+    filled = _decimals(size)[ids + signs * size].tobytes()
+    return filled.translate(None, b"\0")[:-1]
 
 
 def _score(doc_id, parts, sizes: tuple[int, int], keys, counts, best) -> tuple:

@@ -120,3 +120,17 @@ def test_large_groups_count_their_links_by_distinct_ids():
     a, b = np.array([1] * 900 + [2] * 100), np.array([3] * 500)
     keys, times = T.links(a, b, np.array([1000]), np.array([500]), 10)
     assert keys.tolist() == [13, 23] and times.tolist() == [450_000, 50_000]
+
+
+def test_pieces_give_their_bytes_and_no_others():
+    pieces = T.Pieces(PATHS[2])
+    for text in ("hello extraordinarily long internationalization words", "日本 🙂\n\t\x00", " " * 40 + "=" * 90):
+        ids = pieces.ids(text)
+        ends, whole = np.cumsum(pieces.lengths[ids]), b" " + text.encode()
+        assert pieces.give(ids, ends, whole)
+        for at in range(len(whole)):
+            changed = bytearray(whole)
+            changed[at] ^= 1
+            assert not pieces.give(ids, ends, bytes(changed))
+        assert not pieces.give(ids, ends, whole + b"x") and not pieces.give(ids[:-1], ends[:-1], whole)
+    assert pieces.give(ids[:0], ends[:0], b"")
