@@ -20,7 +20,6 @@ from logstrata.schema import (
     FACILITY_LABELS,
     FACILITY_NAMES,
     LOG_COLUMNS,
-    LOGS,
     SEVERITY_LABELS,
     SEVERITY_NAMES,
 )
@@ -710,13 +709,30 @@ def page_by_days(spark, sf):
     root = in_table(spark, fx.logs(spark, sf))
     request = explore.Request(cursor=CURSOR, size=200, filters={"hostname": "host-5"})
     days = table.log_days(spark, root)
-    rows = walk.page_by_days(table.read_logs(spark, root), days, request)
-    page = [f for f in LOGS.fields if f.name in paging.PAGE_COLUMNS]
-    ordered = sorted(page, key=lambda f: paging.PAGE_COLUMNS.index(f.name))
-    found = spark.createDataFrame(rows, type(LOGS)(ordered))
+    logs = table.read_logs(spark, root)
+    return _entries_of(logs, walk.page_by_days(logs, days, request))
+
+
+def _entries_of(logs: DataFrame, rows: list) -> DataFrame:
+    found = logs.sparkSession.createDataFrame(rows, logs.select(paging.PAGE_COLUMNS).schema)
     return found.withColumn("version", F.lit(1)).select(ENTRY_COLUMNS)
 
 
+@query(
+    "page_by_hours",
+    f"""SELECT {ENTRY} FROM logs WHERE severity IN (0, 3) AND facility < 20
+    AND timestamp < TIMESTAMP '{CURSOR}' ORDER BY timestamp DESC LIMIT 200""",
+)
+def page_by_hours(spark, sf):
+    """A page whose first hour the rollup tells."""
+    root = in_table(spark, fx.logs(spark, sf))
+    codes = {"severity": [0, 3], "facility": list(range(20))}
+    request = explore.Request(cursor=CURSOR, size=200, filters=codes)
+    logs, days = table.read_logs(spark, root), table.log_days(spark, root)
+    rolled = table.read_rollup(spark, root)
+    return _entries_of(logs, walk.page_by_days(logs, days, request, rollup=rolled))
+
+
 _WALK_SIZE = 100
 _WALK_FILTERS = {"hostname": "host-5"}
 
@@ -740,6 +756,49 @@ def page_walk(logs):
     return paging.concat_pages(list(walk.walk(logs, request)))
 
 
+def _sorted_walk_sql(steps: int = 40, size: int = 300) -> str:
+    """Pages of a reader who sorts by application, step by step.
+
+    A page lies below the millisecond of the last row of the page before; after
+    a page the walk goes on while the rows fetched are fewer than match it.
+    """
+    sql = f""", mine AS (SELECT * FROM logs WHERE hostname = 'host-5'),
+    s0 AS (SELECT TIMESTAMP '{NOW}' AS c, 0 AS fetched)"""
+    pages = []
+    for i in range(steps):
+        below = f"timestamp < (SELECT c FROM s{i})"
+        sql += f""", p{i} AS (SELECT *, row_number() OVER (ORDER BY app_name, row_id) AS place
+          FROM mine WHERE {below}),
+        s{i + 1} AS (SELECT CASE WHEN fetched + least(n, {size}) < n
+            THEN to_timestamp_ms(t) END AS c, fetched + least(n, {size}) AS fetched
+          FROM s{i}, (SELECT COUNT(*) AS n FROM p{i}) q,
+          (SELECT max(epoch_us(timestamp) // 1000) AS t FROM p{i}
+           WHERE place = (SELECT least(COUNT(*), {size}) FROM p{i})) r)"""
+        pages.append(f"SELECT {ROW} FROM p{i} WHERE place <= {size}")
+    sql = sql.replace("to_timestamp_ms(t)", "TIMESTAMP '1970-01-01' + to_milliseconds(t)")
+    return f"{sql} {' UNION ALL '.join(pages)}"
+
+
+@log_query("page_walk_sorted", _sorted_walk_sql())
+def page_walk_sorted(logs):
+    request = explore.Request(
+        cursor=NOW, size=300, filters=_WALK_FILTERS, sort=("app_name", True)
+    )
+    return paging.concat_pages(list(walk.walk(logs, request)))
+
+
+@log_query(
+    "page_bounds",
+    f"""SELECT page, COUNT(*) AS n_rows, arg_min(row_id, place) AS first_id,
+      arg_max(row_id, place) AS last_id FROM (
+      SELECT row_id, (place - 1) // 70 AS page, place FROM (SELECT row_id,
+        row_number() OVER (ORDER BY app_name, row_id) AS place FROM logs
+        WHERE severity IN (0, 3)) a) b GROUP BY page""",
+)
+def page_bounds(logs):
+    return walk.page_bounds(logs, 70, _PAGE_FILTERS, ("app_name", True))
+
+
 @log_query("page_union", f"({page_sql('<')}) UNION ALL ({page_sql('<', size=20)})")
 def page_union(logs):
     first = paging.page(logs, 50, _PAGE_FILTERS, CURSOR)

@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from logstrata.functions import structured_data as sd
 from logstrata.functions.time import day, epoch_ms, ntz
 from logstrata.operators.filters import to_int64, where
+from logstrata.sources import files
 
 DEFAULT_SIZE = 50
 
+#: Largest page that goes to the driver; a larger one is written to a table.
+COLLECTED = 100_000
+
 #: Names a page may be sorted by: API names and column names -> column.
 SORT_COLUMNS = {
     "id": "row_id",
@@ -106,20 +110,37 @@ def _first(rows: DataFrame, size: int) -> DataFrame:
     return rows.limit(size) if size < 2**31 else rows
 
 
+def taken(
+    rows: DataFrame,
+    size: int,
+    sort: tuple[str, bool] = ("timestamp", False),
+    project: Callable[[DataFrame], DataFrame] = lambda page: page,
+) -> list[Row] | DataFrame:
+    """The rows of a page: a list, or beyond ``COLLECTED`` rows a table that was written."""
+    if size <= COLLECTED:
+        return project(rows).collect()
+    path = files.scratch(rows.sparkSession) + "/page"
+    rows.write.parquet(path)
+    written = rows.sparkSession.read.schema(rows.schema).parquet(path)
+    return project(written.orderBy(*ordering(sort)))
+
+
 def page_stable(
     logs: DataFrame,
     size: int = DEFAULT_SIZE,
     filters: Mapping[str, Any] | None = None,
-    after: tuple[dt.datetime, int] | None = None,
+    after: tuple[dt.datetime, int | tuple[int, int]] | None = None,
 ) -> DataFrame:
     """Newest-first page after the row with this (timestamp, row id).
 
+    A row id is a number, or the (batch, position) of a stored table.
+
     Unlike a cursor of whole milliseconds this neither skips nor repeats rows
     that share one.
     """
     rows = logs.filter(where(logs, filters))
     if after is not None:
-        ts, row_id = ntz(after[0]), F.lit(after[1])
+        ts, row_id = ntz(after[0]), _row_id(after[1])
         older = F.col("timestamp") < ts
         tied = (F.col("timestamp") == ts) & (F.col("row_id") < row_id)
         rows = rows.filter((F.col("timestamp") <= ts) & (older | tied))
@@ -128,6 +149,13 @@ def page_stable(
     return _first(rows.select(PAGE_COLUMNS).orderBy(*ordering()), size)
 
 
+def _row_id(value: int | tuple[int, int]) -> Column:
+    if not isinstance(value, tuple):
+        return F.lit(value)
+    batch, position = (F.lit(part).cast("long") for part in value)
+    return F.struct(batch.alias("ingest_batch"), position.alias("position"))
+
+
 def page_cursors(rows: DataFrame) -> DataFrame:
     """Cursors of a newest-first page: its oldest and newest millisecond."""
     return rows.agg(

@@ -7,7 +7,7 @@ import dataclasses
 import datetime as dt
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.util import inheritable_thread_target
 
@@ -134,8 +134,9 @@ def respond(
     ``days`` lists the partitions of a table partitioned by ``dt``; a page
     sorted by time is then read from as few of them as fill it.
 
-    Only the page (``size`` rows) and counts per bucket and code reach the
-    driver. The jobs of the parts run at the same time.
+    Only the page and counts per bucket and code reach the driver; a page of
+    more than ``paging.COLLECTED`` rows is written, and ``data`` is then a
+    DataFrame. The jobs of the parts run at the same time.
     """
     report = explore(logs, request, rollup)
     if rollup is None and "dt" not in logs.columns:
@@ -145,10 +146,10 @@ def respond(
             report.page, spark.createDataFrame(sums.collect(), sums.schema)
         )
 
-    def page_rows() -> list:
+    def page_rows() -> list[Row] | DataFrame:
         if days is None or request.sort[0] != "timestamp":
-            return paging.project(report.page).collect()
-        return page_by_days(logs, days, request, paging.project)
+            return paging.taken(report.page, request.size, request.sort, paging.project)
+        return page_by_days(logs, days, request, paging.project, rollup)
 
     parts = {
         "rows": page_rows,
@@ -163,9 +164,11 @@ def respond(
     facets: dict[str, list] = {"severity": [], "facility": []}
     for row in done["facets"]:
         facets[row["field"]].append({"value": row["value"], "total": row["total"]})
-    next_cursor, prev_cursor = cursors(done["rows"])
+    rows = done["rows"]
+    ends = [*rows.take(1), *rows.tail(1)] if isinstance(rows, DataFrame) else rows
+    next_cursor, prev_cursor = cursors(ends)
     return {
-        "data": done["rows"],
+        "data": rows,
         "totalRowCount": done["counts"]["total_count"],
         "filterRowCount": done["counts"]["filtered_count"],
         "chartData": [row.asDict() for row in done["chart"]],

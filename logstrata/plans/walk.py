@@ -7,13 +7,15 @@ import datetime as dt
 from collections.abc import Callable, Iterator
 from typing import Any
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from logstrata.functions.time import from_ms, to_ms, utc
+from logstrata.functions.time import day, from_ms, ntz, to_ms, utc
 from logstrata.operators import paging
 from logstrata.operators.filters import where
+from logstrata.plans import rollup as rollups
 from logstrata.plans.request import Request
+from logstrata.sources import files
 
 #: How much further back each try of a day-wise page looks.
 _GROWTH = 4
@@ -38,16 +40,29 @@ def page_by_days(
     days: list[dt.date],
     request: Request,
     project: Callable[[DataFrame], DataFrame] = lambda page: page,
-) -> list[Row]:
+    rollup: DataFrame | None = None,
+) -> list[Row] | DataFrame:
     """A page sorted by time, read from as few days as hold enough rows.
 
-    ``logs`` is partitioned by ``dt`` and ``days`` lists its partitions. The
-    day at the sorted end is read first, then four times as many, until the
-    page is full or no day is left, so the rows are those of a full scan.
+    ``logs`` is partitioned by ``dt`` and ``days`` lists its partitions. Where
+    the rollup covers the filters, its running sums tell in which hour the page
+    is full, and the page is one scan of the hours from there on. Otherwise the
+    day at the sorted end is read first, then four times as many, until the page
+    is full or no day is left. The rows are those of a full scan.
     """
     column, ascending = request.sort
     if column != "timestamp":
         raise ValueError("only a page sorted by time can be read by days")
+
+    def page(rows: DataFrame) -> list[Row] | DataFrame:
+        asked = request.filters, request.cursor, request.direction, request.sort
+        found = paging.page(rows, request.size, *asked)
+        return paging.taken(found, request.size, request.sort, project)
+
+    if rollup is not None and rollups.covers(request.filters):
+        return page(_full_from(logs, rollup, request))
+    if request.size > paging.COLLECTED:
+        return page(logs)
     asked = _asked_days(days, request)
     if not ascending:
         asked.reverse()
@@ -59,20 +74,27 @@ def page_by_days(
             # rows of the page can be left out.
             edge, on_day = F.lit(asked[take - 1]), F.col("dt")
             rows = logs.filter(on_day <= edge if ascending else on_day >= edge)
-        page = paging.page(
-            rows,
-            request.size,
-            request.filters,
-            request.cursor,
-            request.direction,
-            request.sort,
-        )
-        found = project(page).collect()
+        found = page(rows)
         if len(found) == request.size or take >= len(asked):
             return found
         take *= _GROWTH
 
 
+def _full_from(logs: DataFrame, rollup: DataFrame, request: Request) -> DataFrame:
+    """The rows from the hour on in which the page is full."""
+    ascending = request.sort[1]
+    hour = rollups.page_edge(
+        rollup, request.size, request.filters, request.cursor, request.direction, ascending
+    )
+    if hour is None:
+        return logs
+    ts, on_day = F.col("timestamp"), F.col("dt")
+    if ascending:
+        end = hour + dt.timedelta(hours=1)
+        return logs.filter((ts < ntz(end)) & (on_day <= day(end)))
+    return logs.filter((ts >= ntz(hour)) & (on_day >= day(hour)))
+
+
 def walk(logs: DataFrame, request: Request) -> Iterator[DataFrame]:
     """Next pages from the request's cursor on, as a scrolling reader asks.
 
@@ -107,6 +129,42 @@ def walk(logs: DataFrame, request: Request) -> Iterator[DataFrame]:
         request = dataclasses.replace(request, cursor=from_ms(to_ms(last)))
 
 
+def page_bounds(
+    logs: DataFrame,
+    size: int,
+    filters: dict[str, Any] | None = None,
+    sort: tuple[str, bool] = ("timestamp", False),
+) -> DataFrame:
+    """page (from 0), n_rows, first_id and last_id of all pages of ``size`` rows.
+
+    The sort keys of the matching rows are dealt out by ranges, sorted and
+    written once; the number of rows in each range, of which there are as many
+    as tasks, gives the rank of every row without a sort in one place. These are
+    the pages of ``extract``, each of which then is a range of its own.
+    """
+    spark, column = logs.sparkSession, sort[0]
+    keys = logs.filter(where(logs, filters)).select(*dict.fromkeys([column, "row_id"]))
+    ordered = keys.orderBy(*paging.ordering(sort)).select(
+        F.spark_partition_id().alias("part"),
+        F.monotonically_increasing_id().bitwiseAND(2**33 - 1).alias("place"),
+        "row_id",
+    )
+    path = files.scratch(spark) + "/keys"
+    ordered.write.parquet(path)
+    ordered = spark.read.schema(ordered.schema).parquet(path)
+    parts = ordered.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.orderBy("part")) - F.col("n")
+    starts = F.broadcast(parts.select("part", before.alias("start")))
+    rank = F.col("start") + F.col("place")
+    ranked = ordered.join(starts, "part").select(rank.alias("rank"), "row_id")
+    pages = ranked.groupBy(F.expr(f"rank div {size}").alias("page"))
+    return pages.agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.min_by("row_id", "rank").alias("first_id"),
+        F.max_by("row_id", "rank").alias("last_id"),
+    )
+
+
 def extract(
     logs: DataFrame, filters: dict[str, Any], sort: tuple[str, bool] = ("timestamp", False)
 ) -> DataFrame:

@@ -21,9 +21,18 @@ ENTRY = T.StructType(
     ]
 )
 
-#: The stored table: an entry with its unique id in front.
+#: Log rows: an entry with its unique id in front.
 LOGS = T.StructType([T.StructField("row_id", T.LongType(), False), *ENTRY.fields])
 
+#: The files of the stored log table: the batch and the place in it are the id of a row.
+STORED = T.StructType(
+    [
+        T.StructField("ingest_batch", T.LongType(), False),
+        T.StructField("position", T.LongType(), False),
+        *ENTRY.fields,
+    ]
+)
+
 #: Lines no parser took.
 REJECTS = T.StructType(
     [

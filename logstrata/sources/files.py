@@ -40,47 +40,12 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(jvm_path, True)
 
 
-def move(spark: SparkSession, source: str, target: str) -> None:
-    """Rename a folder; the target must not exist."""
-    fs, jvm_source = _fs(spark, source)
-    _, jvm_target = _fs(spark, target)
-    fs.mkdirs(jvm_target.getParent())
-    if not fs.rename(jvm_source, jvm_target):
-        raise OSError(f"could not move {source} to {target}")
-
-
 def create(spark: SparkSession, path: str) -> None:
     """An empty file."""
     fs, jvm_path = _fs(spark, path)
     fs.create(jvm_path, True).close()
 
 
-def files_below(spark: SparkSession, path: str) -> list[str]:
-    """All files of a folder and its folders, as paths below it."""
-    fs, jvm_path = _fs(spark, path)
-    if not fs.exists(jvm_path):
-        return []
-    start = len(fs.getFileStatus(jvm_path).getPath().toString().rstrip("/")) + 1
-    found, walk = [], fs.listFiles(jvm_path, True)
-    while walk.hasNext():
-        found.append(walk.next().getPath().toString()[start:])
-    return found
-
-
-def move_files(spark: SparkSession, source: str, target: str) -> None:
-    """Move the files the target lacks; those it has were moved by an earlier try.
-
-    Files whose names begin with an underscore stay.
-    """
-    for name in files_below(spark, source):
-        if name.rsplit("/", 1)[-1].startswith(("_", ".")):
-            continue
-        if exists(spark, f"{target}/{name}"):
-            delete(spark, f"{source}/{name}")
-        else:
-            move(spark, f"{source}/{name}", f"{target}/{name}")
-
-
 def scratch(spark: SparkSession) -> str:
     """A new folder for intermediate tables.
 

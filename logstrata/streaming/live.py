@@ -6,7 +6,7 @@ import datetime as dt
 from collections.abc import Mapping
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -23,10 +23,13 @@ _STATES = 3
 _STATE = "cursor timestamp_ntz"
 
 
-def newest(rows: DataFrame) -> dt.datetime | None:
-    """The newest time of some rows, cut to the millisecond."""
-    value = rows.agg(F.max("timestamp").alias("newest")).first()["newest"]
-    return None if value is None else from_ms(to_ms(value))
+def _shown(page: DataFrame, target: str, cursor: dt.datetime) -> dt.datetime:
+    """Write a page and give the cursor behind it, which the writing job observes."""
+    seen = Observation()
+    newest = F.max("timestamp").alias("newest")
+    page.observe(seen, newest).write.mode("overwrite").parquet(target)
+    value = seen.get["newest"]
+    return cursor if value is None else from_ms(to_ms(value))
 
 
 def poll(
@@ -34,6 +37,7 @@ def poll(
     cursor: dt.datetime,
     size: int = paging.DEFAULT_SIZE,
     filters: Mapping[str, Any] | None = None,
+    target: str | None = None,
 ) -> tuple[DataFrame, dt.datetime]:
     """Rows newer than the cursor, newest first, and the cursor to go on with.
 
@@ -41,12 +45,15 @@ def poll(
     newest are taken and the others are not shown later either. A cursor has
     whole milliseconds, so its own row comes again if it has a fraction.
 
-    The table is read once: the cursor comes from the rows that are returned,
-    which stay as they are when more arrive. They are ``size`` rows at most.
+    The table is read once, by the job that writes the page to the folder
+    ``target`` (by default a new one) and observes its newest time; what is
+    returned reads that page back and stays as it is when more rows arrive.
     """
     page = paging.page(logs, size, filters, cursor, "prev")
-    rows = page.sparkSession.createDataFrame(page.collect(), page.schema)
-    return rows, newest(rows) or cursor
+    spark, target = page.sparkSession, target or files.scratch(logs.sparkSession) + "/page"
+    after = _shown(page, target, cursor)
+    rows = spark.read.schema(page.schema).parquet(target)
+    return rows.orderBy(*paging.ordering()), after
 
 
 def _cursor_before(spark: SparkSession, root: str, batch: int) -> dt.datetime | None:
@@ -85,9 +92,7 @@ def start_tail(
         spark = batch.sparkSession
         cursor = _cursor_before(spark, root, number) or start
         rows = paging.page(batch, size, filters, cursor, "prev")
-        target = f"{root}/rows/batch={number}"
-        rows.write.mode("overwrite").parquet(target)
-        seen = newest(spark.read.schema(rows.schema).parquet(target)) or cursor
+        seen = _shown(rows, f"{root}/rows/batch={number}", cursor)
         state = spark.createDataFrame([(seen,)], _STATE)
         state.coalesce(1).write.mode("overwrite").parquet(f"{root}/state/batch={number}")
 

@@ -1,4 +1,5 @@
 import datetime as dt
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -160,6 +161,48 @@ def test_expired_rows_go_when_a_job_runs_once(spark, tmp_path):
         assert messages(spark, tmp_path) == want
 
 
+def test_an_idle_stream_deletes_expired_rows(spark, tmp_path):
+    """Rows expire while a running stream gets no input."""
+    inbox, root = tmp_path / "in", str(tmp_path / "table")
+    inbox.mkdir()
+    now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+    soon = now - dt.timedelta(seconds=60 - 25)
+    (inbox / "1.txt").write_text(line(soon, "expires") + line(now + dt.timedelta(days=1), "stays"))
+    spark.conf.set("spark.sql.streaming.noDataProgressEventInterval", "500ms")
+    query = start_ingest(
+        lines.text_lines(spark, str(inbox), stream=True), root, str(tmp_path / "check"),
+        retention_minutes=1, retention_every=SECOND,
+    )
+    try:
+        seen = []
+        for _ in range(120):
+            query.processAllAvailable()
+            seen.append(messages(spark, tmp_path))
+            if seen[-1] == ["stays"]:
+                break
+            time.sleep(0.5)
+        assert ["expires", "stays"] in seen and seen[-1] == ["stays"]
+        assert query.lastProgress["batchId"] <= 1
+    finally:
+        query.stop()
+        spark.conf.unset("spark.sql.streaming.noDataProgressEventInterval")
+
+
+def test_upkeep_of_a_stream(spark, tmp_path):
+    inbox = tmp_path / "in"
+    inbox.mkdir()
+    for i in range(20):
+        (inbox / f"{i}.txt").write_text(line(NOW, f"{i:02}") + "junk\n")
+    ingest(spark, tmp_path)
+    assert messages(spark, tmp_path) == [f"{i:02}" for i in range(20)]
+    root = str(tmp_path / "table")
+    assert table.read_rollup(spark, root).agg(F.sum("total")).first()[0] == 20
+    from logstrata.sources import files
+
+    folders = files.matching(spark, f"{root}/rollup/dt=*/span=*")
+    assert any(f.endswith("-1") for f in folders)
+
+
 def test_few_live_states_are_kept(spark, tmp_path):
     from logstrata.sources import files
     from logstrata.streaming import live

@@ -63,21 +63,28 @@ def test_retried_batch_replaces_itself(spark, root):
 
 def test_row_ids_are_unique_across_tasks_and_batches(spark, root, logs):
     raw = fx.raw_5424(logs).select("line")
-    for batch in (0, 1, 2**23 - 1):
+    for batch in (0, 1, 10**6):
         table.write_batch(raw.repartition(7), root, batch, NOW)
     ids = table.read_logs(spark, root).select("row_id")
     assert ids.distinct().count() == ids.count() == 3 * logs.count()
-    assert ids.filter("row_id < 0").count() == 0
-
-
-def test_row_ids_of_any_batch(spark):
-    tasks, rows = (0, 1, 2**14, 2**20), (0, 1, 2**26, 2**32)
-    places = [((t << 33) + r,) for t in tasks for r in rows]
-    df = spark.createDataFrame(places, "_position long")
-    ids = {r[0] for first in (0, 2**20 + 1) for r in df.select(table.row_ids(first)).collect()}
-    assert len(ids) == 2 * len(places) and min(ids) >= 0
-    with pytest.raises(ValueError):
-        table.row_ids(2**30)
+    assert ids.filter("row_id.position < 0").count() == 0
+    assert {r[0] for r in ids.select("row_id.ingest_batch").distinct().collect()} == {0, 1, 10**6}
+
+
+@pytest.mark.parametrize("position", [0, 2**31 << 31, 2**63 - 1])
+def test_pages_by_row_ids_of_any_size(spark, position):
+    """Ties are walked by (batch, position), whatever their size."""
+    places = [(b, p) for b in (0, 10**6, 2**62) for p in sorted({0, 5, position})]
+    logs = spark.createDataFrame([((b, p), NOW) for b, p in places],
+        "row_id struct<ingest_batch: bigint, position: bigint>, timestamp timestamp_ntz")
+    for name in paging.PAGE_COLUMNS:
+        if name not in logs.columns:
+            logs = logs.withColumn(name, F.lit("1"))
+    seen, after = [], None
+    while rows := paging.page_stable(logs, 2, {}, after).collect():
+        seen += [tuple(row["row_id"]) for row in rows]
+        after = (rows[-1]["timestamp"], rows[-1]["row_id"])
+    assert seen == sorted(places, reverse=True)
 
 
 def test_a_long_line_is_stored(spark, root):
@@ -90,22 +97,46 @@ def totals(spark, root):
     return table.read_rollup(spark, root).agg(F.sum("total")).first()[0] or 0
 
 
-def test_half_moved_replacement(spark, root):
-    """A stop at any point of a swap by copy and deletion loses no row."""
-    texts = [line(NOW, str(i)) for i in range(100)]
-    table.write_batch(frame(spark, texts).repartition(10), root, 0, NOW)
-    part = f"outcome=logs/dt={NOW.date()}"
-    stage = f"{root}/_rewrite/{part}"
-    kept = table.read_logs(spark, root).drop("dt").repartition(10)
-    kept.write.partitionBy("ingest_batch").parquet(stage)
-    files.delete(spark, f"{root}/{part}")
-    files.create(spark, f"{stage}/_MOVING")
-    names = [n for n in files.files_below(spark, stage) if "part-" in n and "/." not in n]
-    assert len(names) > 5
-    for name in names[:5]:
-        files.move(spark, f"{stage}/{name}", f"{root}/{part}/{name}")
-    table.recover(spark, root)
-    assert len(messages(spark, root)) == 100 and not files.exists(spark, stage)
+def stop_at(monkeypatch, wanted):
+    """A crash before the wanted call of an operation on folders."""
+    for name in ("delete", "create"):
+        real = getattr(files, name)
+
+        def stop(spark, path, name=name, real=real):
+            if wanted(name, path):
+                raise KeyboardInterrupt
+            real(spark, path)
+
+        monkeypatch.setattr(files, name, stop)
+
+
+def test_merge_that_stopped_half_way(spark, root):
+    """A folder that Spark did not finish is not read, and written again."""
+    for batch in range(3):
+        table.write_batch(frame(spark, [line(NOW, str(batch)), "junk"]), root, batch, NOW)
+    day = f"{root}/outcome=logs/dt={NOW.date()}"
+    table.compact_day(spark, root, NOW.date())
+    files.delete(spark, f"{day}/span=0-2-1/_SUCCESS")
+    assert messages(spark, root) == ["0", "1", "2"]
+    table.compact_day(spark, root, NOW.date())
+    assert messages(spark, root) == ["0", "1", "2"]
+    table.upkeep(spark, root)
+    assert [f.rsplit("=")[-1] for f in files.matching(spark, f"{day}/span=*")] == ["0-2-1"]
+    assert messages(spark, root) == ["0", "1", "2"] and totals(spark, root) == 3
+
+
+def test_upkeep_that_stopped_half_way(spark, root, monkeypatch):
+    for batch in range(4):
+        table.write_batch(frame(spark, [line(NOW, str(batch))]), root, batch, NOW)
+    table.compact_day(spark, root, NOW.date())
+    table.compact_rollup(spark, root)
+    for gone in range(4):
+        with monkeypatch.context() as patch:
+            left = iter(range(gone))
+            stop_at(patch, lambda name, path: "span=" in path and next(left, None) is None)
+            with pytest.raises(KeyboardInterrupt):
+                table.upkeep(spark, root)
+        assert messages(spark, root) == ["0", "1", "2", "3"] and totals(spark, root) == 4
 
 
 def test_compaction_before_a_retry(spark, root):
@@ -114,32 +145,128 @@ def test_compaction_before_a_retry(spark, root):
     table.compact_day(spark, root, NOW.date())
     table.write_batch(frame(spark, texts), root, 0, NOW)
     assert len(messages(spark, root)) == totals(spark, root) == 10
-    # An unfinished batch is dropped by compaction and written by its retry.
+    ids = {tuple(r["row_id"]) for r in table.read_logs(spark, root).collect()}
+    assert {batch for batch, _ in ids} == {0} and len(ids) == 10
     table.write_batch(frame(spark, texts), root, 1, NOW)
-    files.create(spark, f"{root}/_batches/begun=1")
     table.compact_day(spark, root, NOW.date())
-    assert len(messages(spark, root)) == 10
+    table.compact_rollup(spark, root)
     table.write_batch(frame(spark, texts), root, 1, NOW)
     assert len(messages(spark, root)) == totals(spark, root) == 20
+    assert ids < {tuple(r["row_id"]) for r in table.read_logs(spark, root).collect()}
+
+
+def test_batch_that_crashed_between_its_tables(spark, root, monkeypatch):
+    table.write_batch(frame(spark, [line(NOW, "a")]), root, 0, NOW)
+    with monkeypatch.context() as patch:
+        patch.setattr(table, "hourly", lambda rows: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            table.write_batch(frame(spark, [line(NOW, "b"), "junk"]), root, 1, NOW)
+    table.write_batch(frame(spark, [line(NOW, "b"), "junk"]), root, 1, NOW)
+    assert messages(spark, root) == ["a", "b"] and totals(spark, root) == 2
+    assert table.read_rejects(spark, root).count() == 1
 
 
 def test_retention_stopped_half_way(spark, root, monkeypatch):
     old, new = NOW - 9 * DAY, NOW - dt.timedelta(minutes=5)
     texts = [line(old, "a")] * 3 + [line(NOW - dt.timedelta(minutes=70), "b"), line(new, "c")]
     table.write_batch(frame(spark, texts), root, 0, NOW)
-    real = files.delete
-
-    def stop(spark_, path):
-        if "outcome=logs" in path:
-            raise KeyboardInterrupt
-        real(spark_, path)
-
-    monkeypatch.setattr(files, "delete", stop)
-    with pytest.raises(KeyboardInterrupt):
-        table.retain(spark, root, NOW, 60)
-    monkeypatch.setattr(files, "delete", real)
+    with monkeypatch.context() as patch:
+        stop_at(patch, lambda name, path: name == "create")
+        with pytest.raises(KeyboardInterrupt):
+            table.retain(spark, root, NOW, 60)
+    assert messages(spark, root) == ["a"] * 3 + ["b", "c"] and totals(spark, root) == 5
     assert table.retain(spark, root, NOW, 60) == 4
     assert messages(spark, root) == ["c"] and totals(spark, root) == 1
+    for part in ("_retained", "dt="):
+        with monkeypatch.context() as patch:
+            stop_at(patch, lambda name, path: name == "delete" and part in path)
+            with pytest.raises(KeyboardInterrupt):
+                table.retain(spark, root, NOW + dt.timedelta(seconds=30), 60)
+        assert messages(spark, root) == ["c"] and totals(spark, root) == 1
+    assert table.retain(spark, root, NOW + dt.timedelta(seconds=60), 60) == 0
+    table.retain(spark, root, NOW + dt.timedelta(seconds=90), 60)
+    assert not files.matching(spark, f"{root}/outcome=logs/dt={old.date()}/span=*")
+    assert len(files.matching(spark, f"{root}/_retained/*")) == 1
+
+
+def test_a_reader_during_retention_and_upkeep_keeps_its_rows(spark, root, monkeypatch):
+    """What a reader has planned to read stays there until the upkeep after the next."""
+    edge = NOW - dt.timedelta(minutes=90)
+    for batch in range(3):
+        texts = [line(NOW - 9 * DAY, f"old{batch}"), line(edge, f"edge{batch}"), line(NOW, f"new{batch}")]
+        table.write_batch(frame(spark, texts), root, batch, NOW)
+    reader, hours = table.read_logs(spark, root), table.read_rollup(spark, root)
+    monkeypatch.setattr(table, "FAN", 3)
+    monkeypatch.setattr(table, "TAIL", 1)
+    assert table.retain(spark, root, NOW, 60) == 6
+    table.upkeep(spark, root)
+    table.compact_day(spark, root, NOW.date())
+    assert reader.count() == hours.agg(F.sum("total")).first()[0] == 9
+    assert messages(spark, root) == ["new0", "new1", "new2"] and totals(spark, root) == 3
+    # A late row before the cutoff stays until the next retention.
+    table.write_batch(frame(spark, [line(edge, "late"), line(NOW - 9 * DAY, "old")]), root, 3, NOW)
+    table.upkeep(spark, root)
+    table.upkeep(spark, root)
+    assert messages(spark, root) == ["late", "new0", "new1", "new2", "old"]
+    assert totals(spark, root) == 5
+    assert table.retain(spark, root, NOW, 60) == 2
+    assert messages(spark, root) == ["new0", "new1", "new2"] and totals(spark, root) == 3
+
+
+def test_rollup_counts_the_hour_of_the_cutoff_again(spark, root, monkeypatch):
+    monkeypatch.setattr(table, "TAIL", 0)
+    minutes = [dt.timedelta(minutes=m) for m in range(0, 180, 10)]
+    for batch in range(2):
+        table.write_batch(frame(spark, [line(NOW - m, "x") for m in minutes]), root, batch, NOW)
+    for step in (0, 5, 15, 30, 60, 61):
+        now = NOW + dt.timedelta(minutes=step)
+        table.retain(spark, root, now, 95)
+        if step % 2:
+            table.upkeep(spark, root)
+        want = {}
+        for row in table.hourly(table.read_logs(spark, root)).collect():
+            want[tuple(row)[:3]] = row["total"]
+        got = table.read_rollup(spark, root).groupBy("hour", "severity", "facility")
+        assert {tuple(r)[:3]: r["n"] for r in got.agg(F.sum("total").alias("n")).collect()} == want
+        assert sum(want.values()) == 2 * sum(NOW - m >= now - dt.timedelta(minutes=95) for m in minutes)
+
+
+def test_upkeep_leaves_few_files(spark, root):
+    """After 50 batches the rollup has one file a day and a short tail."""
+    for batch in range(50):
+        texts = [line(NOW, f"{batch}"), line(NOW - DAY, f"{batch}"), "junk"]
+        table.write_batch(frame(spark, texts).coalesce(1), root, batch, NOW)
+        if batch % 8 == 7:
+            table.upkeep(spark, root)
+    table.upkeep(spark, root)
+    for day in (NOW, NOW - DAY):
+        folders = files.matching(spark, f"{root}/rollup/dt={day.date()}/span=*")
+        files_of = files.matching(spark, f"{root}/rollup/dt={day.date()}/span=*/*.parquet")
+        assert len(files_of) == len(folders) <= 1 + table.TAIL
+        assert len(files.matching(spark, f"{root}/outcome=logs/dt={day.date()}/span=*")) <= 50 - 32 + 1
+    assert totals(spark, root) == len(messages(spark, root)) == 100
+    assert table.read_rejects(spark, root).count() == 50
+
+
+def test_absent_values_skip_row_groups(spark, root):
+    """Values that no row group has are not read, although they lie between others."""
+    texts = [f"<11>1 {NOW.isoformat()}Z host{i} app{i} {i} ID{i} - x" for i in range(0, 60_000, 2)]
+    table.write_batch(frame(spark, texts).coalesce(1), root, 0, NOW)
+
+    def rows_read(column, value):
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        try:
+            found = table.read_logs(spark, root).filter(F.col(column) == value)
+            found.collect()
+            plan = found._jdf.queryExecution().executedPlan()
+            leaf = plan.collectLeaves().head()
+            return leaf.metrics().get("numOutputRows").get().value()
+        finally:
+            spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+    for column, name in (("hostname", "host"), ("app_name", "app"), ("procid", ""), ("msgid", "ID")):
+        assert rows_read(column, f"{name}501") == 0
+        assert rows_read(column, f"{name}500") > 0
 
 
 def test_clustered_write_holds_the_same_rows(spark, tmp_path, logs):
@@ -200,23 +327,6 @@ def test_years_beyond_python_dates(spark, root):
     assert [r["msg"] for r in table.read_logs(spark, root).select("msg").collect()].count("far") == 1
 
 
-def test_interrupted_replacement(spark, root):
-    table.write_batch(frame(spark, [line(NOW, "a"), line(NOW, "b")]), root, 0, NOW)
-    part = f"outcome=logs/dt={NOW.date()}"
-    kept = table.read_logs(spark, root).filter("msg = 'b'").drop("dt")
-    stage = f"{root}/_rewrite/{part}"
-    # Complete but not yet swapped in, and even with the old folder gone.
-    kept.write.partitionBy("ingest_batch").parquet(stage)
-    files.delete(spark, f"{root}/{part}")
-    table.recover(spark, root)
-    assert messages(spark, root) == ["b"]
-    # Incomplete: dropped.
-    kept.filter("false").write.partitionBy("ingest_batch").parquet(stage)
-    files.delete(spark, f"{stage}/_SUCCESS")
-    table.recover(spark, root)
-    assert messages(spark, root) == ["b"] and not files.exists(spark, stage)
-
-
 def test_compaction(spark, root, logs):
     raw = fx.raw_5424(logs).select("line")
     for batch in range(3):
@@ -227,8 +337,9 @@ def test_compaction(spark, root, logs):
     table.compact_day(spark, root, day, file_bytes=2000)
     table.compact_rollup(spark, root)
     assert content(table.read_logs(spark, root)) == before
-    folders = files.matching(spark, f"{root}/outcome=logs/dt={day}/ingest_batch=*")
-    assert [f.rsplit("=", 1)[1] for f in folders] == ["-1"]
+    table.upkeep(spark, root)
+    folders = files.matching(spark, f"{root}/outcome=logs/dt={day}/span=*")
+    assert [f.rsplit("=", 1)[1] for f in folders] == ["0-2-1"]
     assert len(files.matching(spark, f"{folders[0]}/*.parquet")) > 1
     assert table.read_rollup(spark, root).agg(F.sum("total")).first()[0] == len(before)
     table.write_batch(frame(spark, [line(dt.datetime(2024, 1, 20), "late")]), root, 3, NOW)
@@ -259,6 +370,59 @@ def test_page_by_days_equals_the_full_scan(spark, root, logs, ascending, size):
             assert explore.respond(stored, request, rollup, days) == plain
 
 
+@pytest.mark.parametrize("ascending", [True, False])
+def test_the_rollup_tells_where_a_page_is_full(spark, root, logs, ascending, monkeypatch):
+    table.write_batch(fx.raw_5424(logs).select("line"), root, 0, NOW)
+    stored, days = table.read_logs(spark, root), table.log_days(spark, root)
+    rollup = table.read_rollup(spark, root)
+    scanned = []
+
+    def page(rows, *rest):
+        scanned.append(rows)
+        return real(rows, *rest)
+
+    real = paging.page
+    monkeypatch.setattr(paging, "page", page)
+    for size in (1, 60, 10_000):
+        for direction in ("next", "prev"):
+            request = explore.Request(
+                cursor=dt.datetime(2024, 1, 20, 5, 30), size=size, direction=direction,
+                filters={"severity": [1, 2, 3], "endDate": dt.datetime(2024, 1, 28, 7, 7)},
+                sort=("timestamp", ascending),
+            )
+            want = real(stored, size, request.filters, request.cursor, direction, request.sort).collect()
+            del scanned[:]
+            assert walk.page_by_days(stored, days, request, rollup=rollup) == want
+            assert len(scanned) == 1
+            if size == 60:
+                read = real(scanned[0], size, request.filters, request.cursor, direction, request.sort)
+                plan = read._jdf.queryExecution().executedPlan().toString()
+                assert "PartitionFilters: [isnotnull(dt" in plan
+                opened = {r[0] for r in scanned[0].select("dt").distinct().collect()}
+                assert len(opened) < len(days)
+
+
+def test_a_large_page_is_written(spark, root, logs, monkeypatch):
+    table.write_batch(fx.raw_5424(logs).select("line"), root, 0, NOW)
+    stored = table.read_logs(spark, root)
+    request = explore.Request(cursor=NOW, size=2**40)
+    want = [r["row_id"] for r in stored.orderBy(*paging.ordering()).select("row_id").collect()]
+    for days, rollup in ((None, None), (table.log_days(spark, root), None), (table.log_days(spark, root), table.read_rollup(spark, root))):
+        data = explore.respond(stored, request, rollup, days)["data"]
+        assert [r["id"] for r in data.select("id").collect()] == want
+
+
+@pytest.mark.parametrize("sort", [("timestamp", False), ("hostname", True), ("row_id", True)])
+def test_page_bounds_are_those_of_the_pages(spark, root, logs, sort):
+    table.write_batch(fx.raw_5424(logs).select("line").repartition(3), root, 0, NOW)
+    stored = table.read_logs(spark, root)
+    ids = [r["row_id"] for r in walk.extract(stored, {}, sort).select("row_id").collect()]
+    got = {r["page"]: tuple(r)[1:] for r in walk.page_bounds(stored, 77, {}, sort).collect()}
+    pages = [ids[i : i + 77] for i in range(0, len(ids), 77)]
+    assert got == {n: (len(p), p[0], p[-1]) for n, p in enumerate(pages)}
+    assert walk.page_bounds(stored, 77, {"hostname": "nobody"}).collect() == []
+
+
 def test_line_ends(spark, tmp_path):
     path = tmp_path / "in.txt"
     path.write_bytes(b"a\r\n\r\nb\rc\n  \nd")
