@@ -69,18 +69,27 @@ def test_beside_brute_force(spark, monkeypatch, seed, least, top, parts):
     assert len(got) > 5
 
 
+def test_bits_miss_no_frequent_pair(spark):
+    pairs = [("en" if i % 3 else "de", f"word{i} né{i * i}") for i in range(300)]
+    found = C.frequent(spark.createDataFrame(pairs, "lang string, phrase string").repartition(3))
+    for lang, phrase in pairs:
+        one, two = (C.W.WordHashes().of([w.encode()]) for w in phrase.split())
+        assert found.holds(lang, one, two).all()
+    one, two = (C.W.WordHashes().of([f"{w}{i}".encode() for i in range(300)]) for w in "xy")
+    assert found.holds("en", one, two).mean() < 0.1
+
+
 def test_empty_table(spark):
     assert C.mine(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
-def test_scores_beyond_64_bits(spark, monkeypatch):
+def test_scores_beyond_64_bits(spark):
     big = 3 * 10**12
     rows = [("en", None, None, None, 10 * big)]
     rows += [("en", w, None, None, f) for w, f in (("a", big), ("b", big + 7), ("c", big + 11))]
     rows += [("en", "a", "b", None, big - 1), ("en", "b", "c", None, big - 5)]
     stream = spark.createDataFrame(rows, "lang string, w1 string, w2 string, w3 string, f long")
-    monkeypatch.setattr(C, "counts", lambda docs, least: stream)
-    got = {r["phrase"]: r["score"] for r in C.phrases(None).collect()}
+    got = {r["phrase"]: r["score"] for r in C.phrases(stream).collect()}
     assert got == {
         "a b": 10**6 * (big - 1) ** 2 // (big * (big + 7)),
         "b c": 10**6 * (big - 5) ** 2 // ((big + 7) * (big + 11)),

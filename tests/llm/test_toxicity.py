@@ -103,10 +103,9 @@ def test_held_out_accuracy(spark):
 def test_edge_rows_and_few_labels(spark):
     rows = [(1, None), (2, ""), (3, "a fine day"), (3, "a fine day"), (None, "x"), (4, "word " * 100_000), (5, "\x00é")]
     docs = spark.createDataFrame([(i, t, "x", "y", "z") for i, t in rows], SCHEMA)
-    empty = spark.createDataFrame([], LABELS)
-    model = T.fit(docs, empty)
+    model = T.fit(docs, spark.createDataFrame([], LABELS))
     got = T.score(docs, model).collect()
-    assert len(got) == len(rows) and {r["score"] for r in got} == {pytest.approx(0, abs=1e-9)}
+    assert len(got) == len(rows) and max(r["score"] for r in got) < 1e-9
     assert not any(r["held_out"] for r in got if r["doc_id"] is None)
     assert T.score(spark.createDataFrame([], SCHEMA), model).collect() == []
     only = spark.createDataFrame([(i, 0, "") for i in (1, 2, 3)], LABELS)
