@@ -35,9 +35,31 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+#: The entities of the given pages and the basic ones; the ampersand comes last.
+ENTITIES = (
+    ("&lt;", "<"),
+    ("&gt;", ">"),
+    ("&quot;", '"'),
+    ("&#39;", "'"),
+    ("&apos;", "'"),
+    ("&nbsp;", " "),
+    ("&copy;", "\u00a9"),
+    ("&middot;", "\u00b7"),
+    ("&amp;", "&"),
+)
+#: The page patterns of the operator, as one regular expression each.
+UNSEEN = (
+    r"<(?:!--(?s:.*?)-->|(?i:script)\b(?s:.*?)</(?i:script)[^>]*>|(?i:style)\b(?s:.*?)</(?i:style)[^>]*>"
+    r"|(?i:noscript)\b(?s:.*?)</(?i:noscript)[^>]*>|(?i:title)\b(?s:.*?)</(?i:title)[^>]*>)"
+)
+TITLE = r"(?is)<title[^>]*>(.*?)</title"
+LANG = r"(?i)<html[^>]*[ \t\r\n]lang=[\"']?([a-z0-9-]+)"
+LINK = r"(?i)<a[ \t\r\n][^>]*?href=\"([^\"]*)\""
+
+
 def _decode(text: str) -> str:
     out = text
-    for entity, character in warc.ENTITIES:
+    for entity, character in ENTITIES:
         out = f"replace({out}, {_quoted(entity)}, {_quoted(character)})"
     return out
 
@@ -46,7 +68,7 @@ def _sub(text: str, pattern: str, by: str) -> str:
     return f"regexp_replace({text}, {_quoted(pattern)}, {by}, 'g')"
 
 
-_TEXT = _sub(_sub("html", warc._UNSEEN, "' '"), warc._LINE, "chr(1)")
+_TEXT = _sub(_sub("html", UNSEEN, "' '"), f"(?i){warc._LINE.pattern}", "chr(1)")
 _TEXT = _decode(_sub(_TEXT, "<[^>]*>", "''"))
 _TEXT = _sub(_sub(_TEXT, "[ \t\r\n]{2,}|[\t\r\n]", "' '"), f" ?{warc._END}[ {warc._END}]*", "chr(10)")
 _TEXT = f"trim({_TEXT}, ' ' || chr(10))"
@@ -99,9 +121,9 @@ s AS (
         'HTTP/1.1 200 OK' || {_NL} || 'Content-Type: text/html; charset=utf-8' || {_NL}
             || 'Content-Length: ' || strlen(html) AS source_headers,
         {_sha1('html')} AS source_digest, {_TEXT} AS text,
-        trim({_decode(f"regexp_extract(html, {_quoted(warc._TITLE)}, 1)")}, {_WS}) AS title,
-        regexp_extract(html, {_quoted(warc._LANG)}, 1) AS lang,
-        regexp_extract_all(html, {_quoted(warc._LINK)}, 1) AS links
+        trim({_decode(f"regexp_extract(html, {_quoted(TITLE)}, 1)")}, {_WS}) AS title,
+        regexp_extract(html, {_quoted(LANG)}, 1) AS lang,
+        regexp_extract_all(html, {_quoted(LINK)}, 1) AS links
     FROM p
 ),
 l AS (

@@ -3,49 +3,134 @@
 Every response gives one ``conversion`` record with its text and one
 ``metadata`` record with what the page says about itself. Both name the
 response they come from, keep its HTTP headers and digests, and name each
-other. All of it is column expressions on one row: nothing is shuffled.
+other. Pages are read by a small function, and all else is column expressions
+on one row: nothing is shuffled.
 """
 
 from __future__ import annotations
 
+import html as html_entities
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CRLF = "\r\n"
 #: Digits of base 32 as Java writes them, and those of RFC 4648.
 _JAVA32, _RFC32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-#: What a page says to programs only. Patterns without back references or
-#: look-around, which begin with a plain character and run in one pass.
-_UNSEEN = (
-    r"<(?:!--(?s:.*?)-->|(?i:script)\b(?s:.*?)</(?i:script)[^>]*>|(?i:style)\b(?s:.*?)</(?i:style)[^>]*>"
-    r"|(?i:noscript)\b(?s:.*?)</(?i:noscript)[^>]*>|(?i:title)\b(?s:.*?)</(?i:title)[^>]*>)"
-)
+#: What a page says to programs only, and where each kind of it ends.
+_UNSEEN = re.compile(r"<(?:!--|(script|style|noscript|title)\b)", re.ASCII | re.IGNORECASE)
+_ENDS = {
+    kind: re.compile(f"</{kind}[^>]*>" if kind else "-->", re.IGNORECASE)
+    for kind in ("", "script", "style", "noscript", "title")
+}
 #: Stands for a line end of an element until white space is set right.
 _END = "\u0001"
 #: Elements that begin and end a line.
-_LINE = (
-    r"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figure|footer|form"
-    r"|h[1-6]|head|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)(?:[ \t\r\n/][^>]*)?>"
-)
-_TITLE = r"(?is)<title[^>]*>(.*?)</title"
-_LANG = r"(?i)<html[^>]*[ \t\r\n]lang=[\"']?([a-z0-9-]+)"
-#: Links in double quotes, as the SQL of the query reads them.
-_LINK = r"(?i)<a[ \t\r\n][^>]*?href=\"([^\"]*)\""
-#: Links in double, single or no quotes, behind at most 500 other attributes.
-_HREF = (
-    r"(?i)<a[ \t\r\n](?:[^>=]*?=[ \t\r\n]*+(?:\"[^\"]*+\"|'[^']*+'|(?=[^\"' \t\r\n]))){0,500}?"
-    r"[^>=]*?(?<=[ \t\r\n\"'/])href[ \t\r\n]*+=[ \t\r\n]*+(\"[^\"]*+\"|'[^']*+'|[^ \t\r\n\"'>][^ \t\r\n>]*+)"
+_LINE = re.compile(
+    r"</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figure|footer|form"
+    r"|h[1-6]|head|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)(?:[ \t\r\n/][^>]*)?>",
+    re.ASCII | re.IGNORECASE,
 )
-#: The entities that are decoded; the ampersand comes last.
-ENTITIES = (
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&quot;", '"'),
-    ("&#39;", "'"),
-    ("&apos;", "'"),
-    ("&nbsp;", " "),
-    ("&amp;", "&"),
+_TAG = re.compile("<[^>]*>")
+_SPACES = re.compile("[ \t\r\n]{2,}|[\t\r\n]")
+_LINE_ENDS = re.compile(f" ?{_END}[ {_END}]*")
+_TITLE, _TITLE_END = re.compile("<title[^>]*>", re.IGNORECASE), re.compile("</title", re.IGNORECASE)
+_HTML = re.compile("<html[^>]*>", re.IGNORECASE)
+_LANG = re.compile("[ \t\r\n]lang=[\"']?([a-z0-9-]+)", re.ASCII | re.IGNORECASE)
+_ANCHOR = re.compile("<a[ \t\r\n]", re.IGNORECASE)
+#: An attribute: its name, and its value in double, single or no quotes.
+_ATTRIBUTE = re.compile(
+    r"[ \t\r\n/]*+([^= \t\r\n/>]++)"
+    r"(?:[ \t\r\n]*+=[ \t\r\n]*+(\"[^\"]*+\"|'[^']*+'|[^ \t\r\n\"'>][^ \t\r\n>]*+|))?"
 )
+#: An entity with its semicolon; of others, as in addresses, none is meant.
+_ENTITY = re.compile("&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});")
+
+
+# --- Pages -------------------------------------------------------------------
+#
+# Every function goes once from left to right: what is searched for and not
+# found is not searched for again, and tags are sought before the last ">" only,
+# so that no page takes longer than its length, however it is broken.
+
+
+def decode(text: str) -> str:
+    """Named and numeric entities as characters, unknown ones as they are; a hard space is a space."""
+    if "&" not in text:
+        return text
+    return _ENTITY.sub(
+        lambda m: " " if m[0] == "&nbsp;" else html_entities.unescape(m[0]), text
+    )
+
+
+def visible(page: str) -> str:
+    """The page without comments, scripts, styles, their likes and the title, a space for each."""
+    out, start, at, dead = [], 0, 0, set()
+    while found := _UNSEEN.search(page, at):
+        kind = (found[1] or "").lower()
+        end = None if kind in dead else _ENDS[kind].search(page, found.end())
+        if end is None:
+            dead.add(kind)
+            at = found.end()
+        else:
+            out += (page[start : found.start()], " ")
+            start = at = end.end()
+    return "".join([*out, page[start:]])
+
+
+def plain_text(page: str) -> str:
+    """The visible text, a line for each block, blank lines left out.
+
+    White space within a line is one space. A character U+0001 ends a line.
+    """
+    last = page.rfind(">") + 1
+    text = _TAG.sub("", _LINE.sub(_END, visible(page[:last])))
+    text = _SPACES.sub(" ", decode(text + page[last:]))
+    return _LINE_ENDS.sub("\n", text).strip(" \n")
+
+
+def title(page: str) -> str:
+    begin = _TITLE.search(page, 0, page.rfind(">") + 1)
+    end = begin and _TITLE_END.search(page, begin.end())
+    return decode(page[begin.end() : end.start()]).strip(" \t\r\n") if end else ""
+
+
+def language(page: str) -> str:
+    """The ``lang`` attribute of the first ``html`` element that has one."""
+    for tag in _HTML.finditer(page, 0, page.rfind(">") + 1):
+        if given := _LANG.findall(tag[0]):
+            return given[-1]
+    return ""
+
+
+def links(page: str) -> list[str]:
+    """Addresses of the ``a`` elements, each once, in order."""
+    found: dict[str, None] = {}
+    at = 0
+    while anchor := _ANCHOR.search(page, at):
+        at = anchor.end()
+        href = None
+        while attribute := _ATTRIBUTE.match(page, at):
+            at = attribute.end()
+            if href is None and attribute[1].lower() == "href" and attribute[2]:
+                value = attribute[2]
+                href = value[1:-1] if value[0] in "\"'" else value
+        if href is not None:
+            found[decode(href)] = None
+    return list(found)
+
+
+_PAGE = "text string, title string, lang string, links array<string>"
+
+
+def _read(pages: pd.Series) -> pd.DataFrame:
+    rows = [(plain_text(p), title(p), language(p), links(p)) for p in pages]
+    return pd.DataFrame(rows, columns=["text", "title", "lang", "links"])
+
+
+# --- Records -----------------------------------------------------------------
 
 
 def sha1_digest(data: Column) -> Column:
@@ -68,31 +153,6 @@ def record_id(name: Column) -> Column:
     )
 
 
-def decode(text: Column) -> Column:
-    """The named entities of ``ENTITIES``; all others stay as they are."""
-    decoded = text
-    for entity, character in ENTITIES:
-        decoded = F.replace(decoded, F.lit(entity), F.lit(character))
-    return F.when(F.instr(text, "&") > 0, decoded).otherwise(text)
-
-
-def _unquoted(value: Column) -> Column:
-    """An attribute's value without the quotes around it, if any."""
-    bare = F.substring(value, F.lit(2), F.length(value) - 2)
-    return F.when(F.substring(value, 1, 1).isin('"', "'"), bare).otherwise(value)
-
-
-def plain_text(html: Column) -> Column:
-    """The visible text, a line for each block, blank lines left out.
-
-    White space within a line is one space. A character U+0001 ends a line.
-    """
-    text = F.regexp_replace(F.regexp_replace(html, _UNSEEN, " "), _LINE, _END)
-    text = decode(F.regexp_replace(text, "<[^>]*>", ""))
-    text = F.regexp_replace(text, "[ \t\r\n]{2,}|[\t\r\n]", " ")
-    return F.trim(F.regexp_replace(text, f" ?{_END}[ {_END}]*", "\n"), F.lit(" \n"))
-
-
 def responses(pages: DataFrame, date: str) -> DataFrame:
     """Pages as responses: record_id, target_uri, date, http_headers, payload.
 
@@ -147,33 +207,26 @@ def derivatives(responses: DataFrame) -> DataFrame:
     taken = ("target_uri", "date", "http_headers", "payload")
     made = (
         "warc_type record_id refers_to refers_to_uri refers_to_date concurrent_to source_headers "
-        "source_digest block_digest content_length header block kinds kind twin uri text"
+        "source_digest block_digest content_length header block kinds kind twin uri text _page _headers"
     ).split()
     carried = [c for c in responses.columns if c not in (*taken, *made)]
     payload = F.coalesce("payload", F.lit(""))
-    source = responses.select(
+    made_of = responses.withColumn("_page", F.pandas_udf(_read, _PAGE)(payload))
+    source = made_of.select(
         *carried,
         F.col("record_id").alias("refers_to"),
         F.col("target_uri").alias("refers_to_uri"),
         F.col("date").alias("refers_to_date"),
         F.col("http_headers").alias("source_headers"),
         sha1_digest(payload).alias("source_digest"),
-        plain_text(payload).alias("text"),
-        F.trim(decode(F.regexp_extract(payload, _TITLE, 1)), F.lit(" \t\r\n")).alias("title"),
-        F.regexp_extract(payload, _LANG, 1).alias("lang"),
-        F.transform(
-            F.array_distinct(
-                F.transform(F.regexp_extract_all(payload, F.lit(_HREF), 1), _unquoted)
-            ),
-            decode,
-        ).alias("links"),
+        *[F.col(f"_page.{name}").alias(name) for name in ("text", "title", "lang", "links")],
     )
-    links = F.array_join(
+    outlinks = F.array_join(
         F.transform("links", lambda x: _field("outlink", F.concat(x, F.lit(" L a/@href")))), ""
     )
     http = F.array_join(
         F.transform(
-            F.slice(F.split("source_headers", "\r?\n"), 2, 1 << 20),
+            F.expr("slice(_headers, 2, greatest(size(_headers) - 1, 0))"),
             lambda x: F.concat(F.lit("http-header: "), x, F.lit(CRLF)),
         ),
         "",
@@ -187,8 +240,9 @@ def derivatives(responses: DataFrame) -> DataFrame:
             ("textLength", F.octet_length("text").cast("string")),
         ),
         F.coalesce(http, F.lit("")),
-        F.coalesce(links, F.lit("")),
+        F.coalesce(outlinks, F.lit("")),
     )
+    source = source.withColumn("_headers", F.split("source_headers", "\r?\n"))
     kinds = ("conversion", "metadata")
     ids = [record_id(F.concat_ws("\u0001", F.lit(kind), "refers_to")) for kind in kinds]
     blocks = (F.col("text"), metadata)

@@ -2,6 +2,10 @@
 
 import base64
 import hashlib
+import time
+
+import pytest
+from pyspark.sql import functions as F
 
 from logstrata.llm import warc
 
@@ -68,7 +72,7 @@ def test_files(spark, tmp_path):
 
 
 def test_links_in_all_quotings(spark):
-    many = " ".join(f"data-a{i}='{i}'" for i in range(400))
+    many = " ".join(f"data-a{i}='{i}'" for i in range(2000))
     html = (
         "<a href='/single?q=\"x\"'>1</a><A class=k HREF=/bare>2</A><a href = \"/spaced\">3</a><a\nhref=/n/ id=x>4</a>"
         "<a title='no href=/title' href=\"/after\">5</a><a title=don't href='/odd'>6</a><a data-href='/data'>7</a>"
@@ -77,3 +81,30 @@ def test_links_in_all_quotings(spark):
     (meta,) = [r for r in made(spark, [(1, "u", html)]) if r["warc_type"] == "metadata"]
     links = [x[9:-10] for x in meta["block"].split("\r\n") if x.startswith("outlink: ")]
     assert links == ['/single?q="x"', "/bare", "/spaced", "/n/", "/after", "/odd", "/many", "", "/gt"]
+
+
+def test_entities_are_decoded(spark):
+    html = "<p>&copy; 2024 &middot; it&#8217;s &eacute;t&#xE9; &ndash; a&nbsp;b &amp;lt; &unknown; &copy=1 &</p>"
+    html += '<a href="/x?a=1&copy=2&amp;b=3&eacute;">l</a>'
+    rows = {r["warc_type"]: r for r in made(spark, [(1, "u", html)])}
+    assert rows["conversion"]["block"].startswith("© 2024 · it’s été – a b &lt; &unknown; &copy=1 &")
+    assert "outlink: /x?a=1&copy=2&b=3é L a/@href" in rows["metadata"]["block"]
+
+
+BROKEN = ["<!--", "<script>", "<style", "<title>", "</title", "<a ", '<a x="', "<a href=", "<html ", "<", "<div ", "&", "</script"]
+
+
+@pytest.mark.parametrize("part", BROKEN)
+def test_broken_pages_take_time_in_proportion(part):
+    for whole in (part * (2_000_000 // len(part)), part * (1_000_000 // len(part)) + ">", f"{part} >" * 200_000):
+        began = time.perf_counter()
+        warc.plain_text(whole), warc.title(whole), warc.language(whole), warc.links(whole)
+        assert time.perf_counter() - began < 10
+
+
+def test_many_headers_stay(spark):
+    pages = spark.createDataFrame([(1, "u", "x")], "page_id long, url string, html string")
+    lines = "".join(f"X-{i}: {i}\r\n" for i in range(3000))
+    made_of = warc.responses(pages, "d").withColumn("http_headers", F.lit("HTTP/1.1 200 OK\r\n" + lines[:-2]))
+    rows = {r["warc_type"]: r for r in warc.derivatives(made_of).collect()}
+    assert rows["metadata"]["block"].count("http-header: ") == 3000
