@@ -25,7 +25,7 @@ from logstrata.llm.tokens import Encoder
 CAPACITY = 2048
 #: Pieces that are packed together, about.
 BLOCK_PIECES = 8192
-ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2, 3, 6, 4
+ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2, 5, 30, 4
 #: Part of the bins, the fullest, of which crossover injects some.
 WELL_FILLED = 0.5
 #: Bins that are filled less are packed once more, with those of other blocks.
@@ -121,7 +121,8 @@ def crossover(one, two, lengths, capacity, rng) -> np.ndarray:
     filled = fills(two, lengths)
     full = np.argsort(-filled, kind="stable")[: max(1, int(WELL_FILLED * len(filled)))]
     chosen = np.zeros(len(filled), bool)
-    chosen[rng.choice(full, max(1, len(full) // 4), replace=False)] = True
+    many = max(1, int(rng.uniform(0.25, 1.0) * len(full)))
+    chosen[rng.choice(full, many, replace=False)] = True
     injected = chosen[two]
     broken = np.zeros(int(one.max()) + 1, bool)
     broken[one[injected]] = True
@@ -135,8 +136,9 @@ def mutation(genes, lengths, capacity, rng) -> np.ndarray:
     """Empties the least filled bins and a few others, and packs their pieces again."""
     filled = fills(genes, lengths)
     gone = np.zeros(len(filled), bool)
-    gone[np.argsort(filled, kind="stable")[: max(2, len(filled) // 50)]] = True
-    gone[rng.integers(0, len(filled), max(1, len(filled) // 50))] = True
+    poor = np.argsort(filled, kind="stable")[: max(2, int(rng.uniform(0.02, 0.3) * len(filled)))]
+    gone[poor] = True
+    gone[rng.integers(0, len(filled), max(1, len(filled) // 20))] = True
     return _repacked(genes.copy(), lengths, gone[genes], len(filled), capacity)
 
 
@@ -149,25 +151,35 @@ def bins_of(genes: np.ndarray) -> int:
 
 
 def first_population(lengths, capacity, rng, size: int = POPULATION) -> list[np.ndarray]:
-    """Best-fit decreasing, then the same with lengths blurred; alone if none can be better."""
+    """Best fit in random orders, which leaves every member room to gain."""
     out = []
-    for turn in range(size):
-        blur = rng.uniform(0.8, 1.2, len(lengths)) if turn else 1.0
+    for _ in range(size):
         genes = np.zeros(len(lengths), np.int64)
-        best_fit(lengths, np.argsort(-lengths * blur, kind="stable"), genes, [], 0, capacity)
+        best_fit(lengths, rng.permutation(len(lengths)), genes, [], 0, capacity)
         out.append(genes)
-        if bins_of(genes) <= least_bins(lengths, capacity):
-            break
     return out
 
 
-def evolve(population, lengths, capacity, rng, generations: int = GENERATIONS) -> list[np.ndarray]:
-    """The population after some generations, the best first; stops where no bin can go."""
+def decreasing(lengths: np.ndarray, capacity: int) -> np.ndarray:
+    """Best-fit decreasing, which no result may be worse than."""
+    genes = np.zeros(len(lengths), np.int64)
+    best_fit(lengths, np.argsort(-lengths, kind="stable"), genes, [], 0, capacity)
+    return genes
+
+
+def evolve(
+    population, lengths, capacity, rng, generations: int = GENERATIONS
+) -> tuple[list[np.ndarray], int]:
+    """The population after some generations, the best first, and how many it took.
+
+    It stops where no bin can go any more.
+    """
     scored = sorted(((fitness(g, lengths, capacity), i, g) for i, g in enumerate(population)),
                     key=lambda s: (-s[0], s[1]))
+    least = least_bins(lengths, capacity)
     for generation in range(generations):
-        if bins_of(scored[0][2]) <= least_bins(lengths, capacity) or len(scored) < 2:
-            break
+        if bins_of(scored[0][2]) <= least or len(scored) < 2:
+            return [s[2] for s in scored], generation
         a, b = rng.permutation(len(scored))[:2]
         a, b = min(a, b), max(a, b)
         child = crossover(scored[b][2], scored[a][2], lengths, capacity, rng)
@@ -175,40 +187,44 @@ def evolve(population, lengths, capacity, rng, generations: int = GENERATIONS) -
             child = mutation(child, lengths, capacity, rng)
         scored[-1] = (fitness(child, lengths, capacity), len(population) + generation, child)
         scored.sort(key=lambda s: (-s[0], s[1]))
-    return [s[2] for s in scored]
+    return [s[2] for s in scored], generations
 
 
 # --- Blocks and islands in Spark ------------------------------------------------
 
-_STATE = "block long, island int, items binary, lengths binary, genes binary"
+_STATE = "block long, island int, items binary, lengths binary, genes binary, run int, began int"
 
 
-def _rows(block: int, island: int, items: bytes, lengths: bytes, genes: list[np.ndarray]):
+def _rows(block: int, island: int, items: bytes, lengths: bytes, genes: list, run: int, began: int):
     """One row with the pieces of a block, and one for each member of the population."""
-    rows = [(block, island, items, lengths, None)]
-    return rows + [(block, island, None, None, g.astype(np.int32).tobytes()) for g in genes]
+    rows = [(block, island, items, lengths, None, run, began)]
+    return rows + [(block, island, None, None, g.astype(np.int32).tobytes(), 0, 0) for g in genes]
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    types = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-    columns = list(zip(*rows)) or [()] * 5
+    types = [pa.int64(), pa.int32(), *[pa.binary()] * 3, pa.int32(), pa.int32()]
+    columns = list(zip(*rows)) or [()] * len(types)
     return pa.RecordBatch.from_arrays(
         [pa.array(c, t) for c, t in zip(columns, types)],
-        ["block", "island", "items", "lengths", "genes"],
+        ["block", "island", "items", "lengths", "genes", "run", "began"],
     )
 
 
 def _read(batches: Iterator[pa.RecordBatch]):
-    """The pieces and the distinct members of the population of a group of rows."""
+    """Pieces, distinct members of the population, generations run and bins at the beginning."""
     items = lengths = b""
     genes: set[bytes] = set()
+    run, began = [], []
     for batch in batches:
         for row in batch.to_pylist():
             if row["genes"] is None:
                 items, lengths = row["items"], row["lengths"]
+                run.append(row["run"])
+                began.append(row["began"])
             else:
                 genes.add(row["genes"])
-    return items, lengths, [np.frombuffer(g, np.int32).astype(np.int64) for g in sorted(genes)]
+    members = [np.frombuffer(g, np.int32).astype(np.int64) for g in sorted(genes)]
+    return items, lengths, members, max(run), min(began)
 
 
 def _seeds(capacity: int):
@@ -220,11 +236,9 @@ def _seeds(capacity: int):
         items, lengths = items[order], lengths[order]
         block, rows = key[0].as_py(), []
         for island in range(ISLANDS):
-            rng = np.random.default_rng([block, island])
-            genes = first_population(lengths, capacity, rng)
-            rows += _rows(block, island, items.tobytes(), lengths.tobytes(), genes)
-            if len(genes) == 1:
-                break
+            genes = first_population(lengths, capacity, np.random.default_rng([block, island]))
+            began = min(map(bins_of, genes))
+            rows += _rows(block, island, items.tobytes(), lengths.tobytes(), genes, 0, began)
         yield _batch(rows)
 
     return seed
@@ -233,25 +247,29 @@ def _seeds(capacity: int):
 def _epochs(capacity: int, epoch: int):
     def work(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, island = key[0].as_py(), key[1].as_py()
-        items, packed, genes = _read(batches)
+        items, packed, genes, run, began = _read(batches)
         lengths = np.frombuffer(packed, np.int64)
-        if len(genes) > 1:
-            rng = np.random.default_rng([block, island, epoch])
-            genes = evolve(genes[: 2 * POPULATION], lengths, capacity, rng)[:POPULATION]
-        rows = _rows(block, island, items, packed, genes)
-        if len(genes) > 1:
-            elite = genes[0].astype(np.int32).tobytes()
-            rows.append((block, (island + 1) % ISLANDS, None, None, elite))
-        yield _batch(rows)
+        rng = np.random.default_rng([block, island, epoch])
+        genes, more = evolve(genes, lengths, capacity, rng)
+        rows = _rows(block, island, items, packed, genes[:POPULATION], run + more, began)
+        elite = genes[0].astype(np.int32).tobytes()
+        yield _batch([*rows, (block, (island + 1) % ISLANDS, None, None, elite, 0, 0)])
 
     return work
 
 
 def _best(capacity: int):
     def work(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, packed, population = _read(batches)
+        items, packed, population, run, began = _read(batches)
         items, lengths = np.frombuffer(items, np.int64), np.frombuffer(packed, np.int64)
-        genes = min(population, key=lambda g: (bins_of(g), -fitness(g, lengths, capacity)))
+        population.append(decreasing(lengths, capacity))
+        place = min(
+            range(len(population)),
+            key=lambda i: (bins_of(population[i]), i == len(population) - 1,
+                           -fitness(population[i], lengths, capacity)),
+        )
+        genes = population[place]
+        evolved = run if place < len(population) - 1 else None
         order = np.lexsort((items, genes))
         sizes, bins = lengths[order], genes[order]
         ends = np.cumsum(sizes)
@@ -261,22 +279,28 @@ def _best(capacity: int):
         filled = fills(genes, lengths)[bins]
         sequence = np.repeat(items[order][first], count)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(x) for x in (items[order], sizes, sequence, offset, filled)],
-            ["item", "length", "sequence_id", "offset", "filled"],
+            [
+                *map(pa.array, (items[order], sizes, sequence, offset, filled)),
+                pa.array([evolved] * len(items), pa.int32()),
+                pa.array([began - bins_of(genes)] * len(items), pa.int32()),
+            ],
+            ["item", "length", "sequence_id", "offset", "filled", "generations", "bins_saved"],
         )
 
     return work
 
 
 def _pack_blocks(parts: DataFrame, count: int, capacity: int) -> DataFrame:
-    """item, length, sequence_id, offset and filled of the pieces (item, length)."""
+    """The pieces (item, length) with their places and what the algorithm did for their block."""
     blocks = max(1, round(count / BLOCK_PIECES))
     dealt = parts.select("item", "length", F.pmod(F.xxhash64("item"), F.lit(blocks)).alias("block"))
     state = dealt.groupBy("block").applyInArrow(_seeds(capacity), _STATE)
     for epoch in range(EPOCHS):
         state = state.groupBy("block", "island").applyInArrow(_epochs(capacity, epoch), _STATE)
     return state.groupBy("block").applyInArrow(
-        _best(capacity), "item long, length long, sequence_id long, offset long, filled long"
+        _best(capacity),
+        "item long, length long, sequence_id long, offset long, filled long, generations int, "
+        "bins_saved int",
     )
 
 
@@ -284,21 +308,30 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` (with a column length of 1 to ``capacity``) and their places.
 
     Adds sequence_id (a number of one of its pieces) and offset, gapless from 0
-    in each sequence. Rows may repeat; each is a piece of its own. Blocks hold a
+    in each sequence, and for pieces that are no sequence by themselves
+    ``generations``, which the algorithm ran for their block, and ``bins_saved``
+    against the best of its first population. No block has more sequences than
+    best-fit decreasing gives it; where that is better than what evolved, it is
+    taken, and ``generations`` is null. Rows may repeat; each is a piece of its
+    own, and pieces of equal length are placed by their numbers. Blocks hold a
     bounded number of pieces, dealt by a hash of their own number, so that no
     text or source is hot. The islands of a block stop where it has the least
     possible number of sequences. What blocks leave badly filled is packed once
-    more together. An empty table gives no rows.
+    more together. A text of any length is cut to pieces first. An empty table
+    gives no rows.
     """
-    numbered = staged(pieces.withColumn("item", F.monotonically_increasing_id()))
+    made = ("item", "sequence_id", "offset", "generations", "bins_saved")
+    numbered = staged(pieces.drop(*made).withColumn("item", F.monotonically_increasing_id()))
     parts = numbered.filter(F.col("length") < capacity).select("item", "length")
     packed = staged(_pack_blocks(parts, parts.count(), capacity))
     open_ = packed.filter(F.col("filled") < FULL * capacity)
     again = staged(_pack_blocks(open_.select("item", "length"), open_.count(), capacity))
+    none = F.lit(None).cast("int")
     whole = numbered.filter(F.col("length") >= capacity).select(
-        "item", F.col("item").alias("sequence_id"), F.lit(0).cast("long").alias("offset")
-    )
-    columns = ["item", "sequence_id", "offset"]
+        "item", F.col("item").alias("sequence_id"), F.lit(0).cast("long").alias("offset"),
+        none.alias("generations"), none.alias("bins_saved"),
+    )
+    columns = ["item", "sequence_id", "offset", "generations", "bins_saved"]
     places = (
         packed.filter(F.col("filled") >= FULL * capacity)
         .select(columns)
