@@ -65,7 +65,14 @@ def staged(df: DataFrame, codec: str = "snappy") -> DataFrame:
     finally:
         for name, value in before.items():
             spark.conf.set(name, value) if value is not None else spark.conf.unset(name)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_in = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Remove a staged table that nothing will read any more."""
+    files.delete(df.sparkSession, df.staged_in)
 
 
 def ascii_lower(text: Column) -> Column:

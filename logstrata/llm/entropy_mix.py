@@ -27,6 +27,8 @@ GROUP_ROWS = 2000
 #: Words by which a source may miss its target before rounding, as a part of it.
 TOLERANCE = 1e-6
 ROUNDS = 60
+#: Most sources whose duals are broadcast; more are joined by a shuffle.
+BROADCAST_SOURCES = 10_000
 
 
 @dataclass
@@ -98,7 +100,8 @@ def _dual_table(df: DataFrame, duals: dict[str | None, Dual], most: float) -> Da
         for s, d in duals.items()
     ]
     schema = "of string, tilt double, mean double, source_size long, target double, groups long"
-    return F.broadcast(df.sparkSession.createDataFrame(rows, schema))
+    table = df.sparkSession.createDataFrame(rows, schema)
+    return F.broadcast(table) if len(rows) <= BROADCAST_SOURCES else table
 
 
 def _tilted(most: float) -> Column:
@@ -129,6 +132,8 @@ def solve(counted: DataFrame, duals: dict[str | None, Dual], most: float = MOST)
         )
         for row in sums.collect():
             duals[row["source"]].step(row["got"], row["slope"] or 0.0)
+    if missed := [s for s, d in duals.items() if not d.done]:
+        raise ArithmeticError(f"no solution after {ROUNDS} rounds for {missed[:5]}")
     return ROUNDS
 
 

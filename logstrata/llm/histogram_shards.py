@@ -21,6 +21,8 @@ from logstrata.llm.common import staged
 
 #: Candidates for each splitter that is still open, in each round.
 PROBES = 64
+#: Candidates of all splitters together in a round, about: counts that the driver gets.
+MOST_PROBES = 1 << 20
 #: Bytes that one task sorts; a shard is cut into pieces of about this size.
 PIECE_BYTES = 256 << 20
 _SIGN = np.int64(-(2**63))
@@ -91,23 +93,28 @@ def _counts(keyed: DataFrame, probes: list[int]) -> dict[int, tuple[int, int]]:
 
 
 def refine(keyed: DataFrame, splitters: list[Splitter], probes: int = PROBES) -> int:
-    """Narrow all splitters until they are found; the number of rounds."""
+    """Narrow all splitters until they are found; the number of rounds.
+
+    Splitters that lie between the same two keys share their probes, of which
+    a round has at most about ``MOST_PROBES``.
+    """
     rounds = 0
     while open_ := [s for s in splitters if not s.found()]:
-        tried = sorted({k for s in open_ for k in s.probes(probes)})
+        places = {(s.low, s.high): s for s in open_}
+        each = max(2, min(probes, MOST_PROBES // len(places)))
+        tried = sorted({k for s in places.values() for k in s.probes(each)})
         counted = _counts(keyed, tried)
-        below_bytes = below_rows = 0
-        sums = []
-        for bucket, key in enumerate(tried):
-            got = counted.get(bucket, (0, 0))
-            below_bytes, below_rows = below_bytes + got[0], below_rows + got[1]
-            sums.append((key, below_bytes, below_rows))
+        sizes, rows = (
+            np.cumsum([counted.get(i, (0, 0))[part] for i in range(len(tried))], dtype=np.int64)
+            for part in (0, 1)
+        )
         for s in open_:
-            for key, size, rows in sums:
-                if size <= s.target and key > s.low:
-                    s.low, s.bytes_low, s.rows_low = key, size, rows
-                elif size > s.target and key < s.high:
-                    s.high, s.bytes_high, s.rows_high = key, size, rows
+            # Probes up to ``at`` have no more than the target below them.
+            at = int(np.searchsorted(sizes, s.target, side="right"))
+            if at > 0 and tried[at - 1] > s.low:
+                s.low, s.bytes_low, s.rows_low = tried[at - 1], int(sizes[at - 1]), int(rows[at - 1])
+            if at < len(tried) and tried[at] < s.high:
+                s.high, s.bytes_high, s.rows_high = tried[at], int(sizes[at]), int(rows[at])
         rounds += 1
     return rounds
 
@@ -130,8 +137,9 @@ def shard(
     fall within any number of repeated rows. An empty table gives no rows;
     fewer rows than shards leave shards empty.
 
-    The driver holds the probes and their counts: ``probes`` for each splitter,
-    of which there is one for every ``piece_bytes`` of input.
+    The driver holds a few numbers for each splitter, of which there is one for
+    every ``piece_bytes`` of input, and the counts of a round's probes. Texts of
+    any length are a size and two hashes; other columns are not read.
     """
     text = F.coalesce("text", F.lit(""))
     spread = F.xxhash64(F.monotonically_increasing_id()).bitwiseAND(F.lit((1 << 24) - 1))

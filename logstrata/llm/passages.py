@@ -19,11 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logstrata.llm import words as W
-from logstrata.llm.common import staged
+from logstrata.llm.common import forget, sized, staged
 
 #: Words of a window, and of the shingles among which it chooses its smallest.
 WINDOW, SHINGLE = 13, 5
@@ -204,10 +204,11 @@ def segment_keys(words: np.ndarray, starts: np.ndarray, windows: np.ndarray) ->
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words of the wanted segments; of hot shingles a segment for each window."""
+    """The text of the wanted segments; of hot shingles a segment for each window."""
     hashes = W.WordHashes()
     for batch in batches:
-        found = [hashes.of((t or b"").split()) for t in batch.column("text").to_pylist()]
+        split = [(t or b"").split() for t in batch.column("text").to_pylist()]
+        found = [hashes.of(s) for s in split]
         before = np.cumsum([0] + [len(f) for f in found])
         wanted = batch.column("wanted")
         counts = np.diff(np.asarray(wanted.offsets))
@@ -226,28 +227,38 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = before[doc] + start
         one, two = segment_keys(words, at, windows)
         lengths = windows + WINDOW - 1
-        ends = np.cumsum(lengths)
-        taken = np.repeat(at - (ends - lengths), lengths) + np.arange(lengths.sum())
-        offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
-        part = pa.ListArray.from_arrays(offsets, pa.array(words[taken].view(np.int64)))
+        part = [
+            b" ".join(split[d][s : s + n])
+            for d, s, n in zip(doc.tolist(), start.tolist(), lengths.tolist())
+        ]
         own = [np.asarray(batch.column(c))[doc] for c in ("doc_id", "text_hash")]
         yield pa.RecordBatch.from_arrays(
             [
                 *map(pa.array, own), pa.array(start.astype(np.int32)), pa.array(one), pa.array(two),
-                part, pa.array(np.where(hot, one, shingle)),
+                pa.array(part, pa.binary()), pa.array(np.where(hot, one, shingle)),
             ],
             ["doc_id", "text_hash", "start", "one", "two", "part", "route"],
         )
 
 
+class Numbers(dict):
+    """Numbers of words in the order they are met."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = len(self)
+        return self[word]
+
+
 def _searched(_: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Index the segments of a shard and stream them past the index."""
     tables = list(batches)
     one, two, docs = (
         np.concatenate([np.asarray(b.column(c)) for b in tables]) for c in ("one", "two", "first_doc")
     )
-    lengths = np.concatenate([np.diff(np.asarray(b.column("part").offsets)) for b in tables])
-    words = np.concatenate([np.asarray(b.column("part").flatten()) for b in tables])
+    parts = [p.split() for b in tables for p in b.column("part").to_pylist()]
+    lengths = np.array([len(p) for p in parts], np.int64)
+    known = Numbers()
+    words = np.fromiter((known[w] for p in parts for w in p), np.int64, lengths.sum())
     index = FMIndex(words, lengths, docs)
     numbers = np.searchsorted(index.vocabulary, words)
     within = np.arange(len(numbers)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
@@ -269,25 +280,30 @@ def first_documents(docs: DataFrame, shard_words: int = SHARD_WORDS, hot: int =
     ``docs``: doc_id, text_hash and text (bytes), doc_id not null. ``firsts`` is
     the smallest doc_id that has each window of a segment, from ``start`` on.
     """
-    routes = docs.mapInArrow(
-        _routes, "shingle long, doc_id long, text_hash long, start int, windows int"
+    routes = staged(
+        docs.mapInArrow(
+            _routes, "shingle long, doc_id long, text_hash long, start int, windows int"
+        ),
+        "zstd",
     )
-    same = Window.partitionBy("shingle")
-    shared = (
-        routes.withColumn("low", F.min("doc_id").over(same))
-        .withColumn("high", F.max("doc_id").over(same))
-        .withColumn("hot", F.count("*").over(same) > hot)
-        .filter(F.col("low") < F.col("high"))
+    # Counted before the join, so that no task gets all rows of a frequent shingle.
+    keys = routes.groupBy("shingle").agg(
+        F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")
     )
+    keys = keys.filter(F.col("low") < F.col("high"))
+    keys = sized(keys.select("shingle", (F.col("n") > hot).alias("hot")))
+    shared = routes.join(keys, "shingle")
     wanted = shared.groupBy("doc_id", "text_hash").agg(
         F.collect_set(F.struct("shingle", "start", "windows", "hot")).alias("wanted")
     )
     cut = staged(
         docs.join(wanted, ["doc_id", "text_hash"]).mapInArrow(
             _cut,
-            "doc_id long, text_hash long, start int, one long, two long, part array<long>, route long",
-        )
+            "doc_id long, text_hash long, start int, one long, two long, part binary, route long",
+        ),
+        "zstd",
     )
+    forget(routes)
     distinct = cut.groupBy("one", "two").agg(
         F.min("doc_id").alias("first_doc"),
         F.first("part").alias("part"),
@@ -343,7 +359,7 @@ def remove_repeated(docs: DataFrame) -> DataFrame:
     docs = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.xxhash64("text").alias("text_hash"),
-        F.col("text").cast("binary").alias("text"),
+        F.make_valid_utf8(F.col("text").cast("string")).cast("binary").alias("text"),
     )
     firsts = first_documents(docs.filter(F.col("doc_id").isNotNull()))
     earlier = F.transform(

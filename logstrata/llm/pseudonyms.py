@@ -29,11 +29,14 @@ FIRST_DAY, LAST_DAY = dt.date(1900, 1, 1), dt.date(2099, 12, 31)
 _DIGITS, _HEX = "0123456789", "0123456789abcdef"
 _LOWER = "abcdefghijklmnopqrstuvwxyz"
 
+#: Hexadecimal digits of a secret that are permuted together; a longer one is so in parts.
+HEX_BLOCK = 96
+
 # The forms in which personal data is written. Repetitions are
-# bounded, so that no text makes the search quadratic.
+# bounded or possessive, so that no text makes the search quadratic.
 KINDS = {
     "email": r"(?<![\w.%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![\w-])",
-    "secret": r"(?i:\b(?:token|secret|api[_-]?key|access[_-]?key|passw(?:or)?d)\b)\W{1,4}(?P<hex>[0-9A-Fa-f]{16,128})(?![\w])",
+    "secret": r"(?i:\b(?:token|secret|api[_-]?key|access[_-]?key|passw(?:or)?d)\b)\W{1,4}(?P<hex>[0-9A-Fa-f]{16,}+)(?![\w])",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
     "date": r"(?<![\w.-])(?:(?P<y>(?:19|20)\d\d)(?P<s1>[-/.])(?P<m>\d{1,2})(?P=s1)(?P<d>\d{1,2})|(?P<d2>\d{1,2})(?P<s2>[-/.])(?P<m2>\d{1,2})(?P=s2)(?P<y2>(?:19|20)\d\d))(?:(?=[Tt]\d\d:?\d\d)|(?![\w-]|\.\d))",
     "ip": r"(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\w|\.\d)",
@@ -211,9 +214,11 @@ class Pseudonyms:
     def _secret(self, text: str, found: re.Match) -> str:
         at = found.start("hex") - found.start()
         value = found.group("hex")
-        size = 16 ** len(value)
-        new = self.permute(int(value, 16), size, b"hex%d" % len(value))
-        new = format(new, "x").zfill(len(value))
+        parts = [value[i : i + HEX_BLOCK] for i in range(0, len(value), HEX_BLOCK)]
+        for i, part in enumerate(parts):
+            tweak = b"hex%d" % len(value) + (b"/%d" % i if i else b"")
+            parts[i] = format(self.permute(int(part, 16), 16 ** len(part), tweak), "x").zfill(len(part))
+        new = "".join(parts)
         return text[:at] + (new.upper() if value == value.upper() else new)
 
     def _date(self, text: str, found: re.Match) -> str | None:
@@ -246,7 +251,8 @@ class Pseudonyms:
             radix = 10 if c in _DIGITS else 26 if c in _LOWER else 1
             value, at = divmod(value, radix)
             out.append(c if radix == 1 else (_DIGITS if radix == 10 else _LOWER)[at])
-        return "".join(reversed(out)) + "@" + domain
+        cased = (c.upper() if old.isupper() else c for c, old in zip(reversed(out), name))
+        return "".join(cased) + "@" + domain
 
 
 def _ends(kind: str, found: re.Match) -> Iterator[re.Match]:
@@ -330,7 +336,10 @@ def pseudonymise(docs: DataFrame, key: str, spans: str = "pseudonyms") -> DataFr
     is none with the day first is read with the month first. Anything else stays as it is, as do all other columns;
     one of the name ``spans`` is replaced. Null stays null and empty empty, both
     without spans; equal rows give equal rows. One pass, no shuffle; ``key``
-    decides the permutations and must be kept as long as links are needed.
+    decides the permutations and must be kept as long as links are needed. An
+    e-mail name keeps its capitals in place, and links without them; a secret of
+    more than ``HEX_BLOCK`` digits is permuted in parts. Texts of any length are
+    searched as a whole; an empty table gives none.
     """
     docs = docs.drop(spans).withColumn("text", F.col("text").cast("string"))
     at = docs.columns.index("text")

@@ -51,3 +51,17 @@ def test_tolerance_few_rows_and_none(spark):
     assert all(abs(size - 25_000) <= 2500 for size in sizes)
     assert len(run(spark, rows[:2], shards=16)) == 2
     assert run(spark, []) == []
+
+
+def test_many_splitters_share_few_probes(spark, monkeypatch):
+    """Hundreds of pieces are found with a few dozen candidates a round."""
+    monkeypatch.setattr(hs, "MOST_PROBES", 40)
+    rows = [(i * 7919 % 100_003, "x" * (i % 50)) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = hs.shard(docs, 8, 0.0, piece_bytes=300).collect()
+    want = hs.shard(docs, 8, 0.0).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+    slots = {}
+    for r in got:
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())

@@ -142,3 +142,22 @@ def test_forms_of_phones():
         for behind in (" 12", ".", " or"):
             got, spans = ps.replace(f"call {text}{behind}", NAMES)
             assert got == f"call {want}{behind}" and spans == [("phone", 5, len(want))]
+
+
+@pytest.mark.parametrize("digits", [16, 96, 97, 128, 160, 5000])
+def test_secrets_of_any_length(digits):
+    names = ps.Pseudonyms(b"key")
+    value = ("0123456789abcdef" * 400)[:digits]
+    new, spans = ps.replace(f"token: {value} end", names)
+    got = new[len("token: ") : -len(" end")]
+    assert len(got) == digits and got != value and set(got) <= set("0123456789abcdef")
+    assert [k for k, _, _ in spans] == ["secret"]
+    other, _ = ps.replace(f"password={value}", names)
+    assert other == f"password={got}"
+
+
+def test_email_names_keep_their_capitals():
+    names = ps.Pseudonyms(b"key")
+    mixed, lower = (ps.replace(t, names)[0] for t in ("J.Smith@mail.org", "j.smith@mail.org"))
+    assert mixed.lower() == lower and mixed != "J.Smith@mail.org"
+    assert [c.isupper() for c in mixed[:7]] == [c.isupper() for c in "J.Smith"]
