@@ -217,7 +217,7 @@ def _seed_sql() -> str:
 
     def draw(name: str, low: int, high: int) -> str:
         hashed, part = divmod(generate.DRAWS.index(name), 4)
-        key = f"md5('0:' || CAST(event_id AS VARCHAR) || ':{hashed}')"
+        key = f"md5('0:' || CAST(slot AS VARCHAR) || ':{hashed}')"
         digits = f"substr({key}, {part * 7 + 1}, 7)"
         return f"(CAST('0x' || {digits} AS BIGINT) % {high - low + 1} + {low})"
 
@@ -249,22 +249,29 @@ def _seed_sql() -> str:
         return f"CASE {draw(name, 0, len(options) - 1)} {cases} END"
 
     facility = _sql_pick(draw("facility", 0, 19), generate.FACILITIES)
-    at = f"CAST(CAST(ts AS DATE) AS TIMESTAMP) + to_seconds({draw('second', 0, 86399)})"
-    return f"""SELECT event_id AS slot, {at} AS timestamp,
+    at = f"CAST(day AS TIMESTAMP) + to_seconds({draw('second', 0, 86399)})"
+    low, high = generate.SEED_PER_DAY
+    size = f"CAST('0x' || substr(md5('0:day:' || id), 1, 7) AS BIGINT) % {high - low + 1} + {low}"
+    return f"""WITH days AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events),
+    numbered AS (SELECT day, CAST((SELECT MAX(day) FROM days) - day AS BIGINT) AS id FROM days),
+    slots AS (SELECT id * {high} + unnest(range(1, {size} + 1)) AS slot, day FROM numbered)
+    SELECT slot, {at} AS timestamp,
       '<' || ({facility} * 8 + {draw("severity", 0, 7)}) || '>1 '
       || replace(CAST({at} AS VARCHAR), ' ', 'T') || '.000+00:00 '
       || {_sql_pick(draw("host", 0, 6), generate.HOSTS)} || ' '
       || {_sql_pick(draw("app", 0, 9), generate.APPS)} || ' '
       || {draw("proc", 1000, 9999)} || ' MSG' || {draw("msgid", 10000, 99999)} || ' '
       || {choose("data", data)} || ' ' || {choose("message", messages)} AS line
-      FROM events"""
+      FROM slots"""
 
 
 @query("gen_seed", _seed_sql(), logs=False)
 def gen_seed(spark, sf):
-    events = fx.table(spark, sf, "events")
-    slots = events.select(F.col("event_id").alias("slot"), F.to_date("ts").alias("day"))
-    return generate.seed_lines(slots)
+    """A seed set of the days that have events, in time order."""
+    days = fx.table(spark, sf, "events").select(F.to_date("ts").alias("day")).distinct()
+    last = days.agg(F.max("day")).first()[0]
+    numbered = days.select(F.datediff(F.lit(last), "day").cast("long").alias("id"), "day")
+    return generate.seed_set(generate.slots_of(numbered))
 
 
 _WORKERS = 7

@@ -142,13 +142,24 @@ def seed_slots(
     spark: SparkSession, end: dt.date, days: int = SEED_DAYS, seed: int = 0
 ) -> DataFrame:
     """(slot, day) of a seed set: 100 to 1,000 slots for each day up to end."""
-    low, high = SEED_PER_DAY
     numbered = spark.range(days).withColumn("day", F.date_sub(F.lit(end), F.col("id").cast("int")))
-    size = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(high - low + 1)) + low
-    slots = numbered.select("id", "day", F.explode(F.sequence(F.lit(1), size)).alias("n"))
+    return slots_of(numbered, seed)
+
+
+def slots_of(days: DataFrame, seed: int = 0) -> DataFrame:
+    """(slot, day) for numbered days (id, day), each of its own size."""
+    low, high = SEED_PER_DAY
+    drawn = F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.lit("day"), "id")), 1, 7)
+    size = F.pmod(F.conv(drawn, 16, 10).cast("long"), F.lit(high - low + 1)) + low
+    slots = days.select("id", "day", F.explode(F.sequence(F.lit(1).cast("long"), size)).alias("n"))
     return slots.select((F.col("id") * high + F.col("n")).alias("slot"), "day")
 
 
+def seed_set(slots: DataFrame, seed: int = 0) -> DataFrame:
+    """The lines of all slots in time order."""
+    return seed_lines(slots, seed).orderBy("timestamp", "slot")
+
+
 def seed_lines(slots: DataFrame, seed: int = 0) -> DataFrame:
     """One varied line per (slot, day), at a random second of the day."""
     hashes = -(-len(DRAWS) // _PER_HASH)
