@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import chain
 from statistics import NormalDist
 
 import numpy as np
@@ -27,8 +28,11 @@ THRESHOLD = 0.98
 FILTERS, LEAST_FILTERS = 16, 8
 #: Vectors that a filter has on average, if there are enough directions.
 BUCKET = 16
-#: Directions of a block, at least and at most.
-FEWEST, MOST = 128, 2048
+#: Directions of a block, at least and at most; with the most there are 2^26 filters,
+#: beyond which buckets grow and are compared in more blocks, as exactly.
+FEWEST, MOST = 128, 8192
+#: Scores of directions that are held at once, for as many vectors as have them.
+SCORES = 1 << 21
 #: Vectors of a bucket that are compared at once; larger buckets are cut into
 #: parts of half as many, and every two parts meet in a task.
 BLOCK = 2048
@@ -113,7 +117,9 @@ def _filters(directions: int):
                 unit = units(np.array([vectors[i] for i in at], np.float64))
                 if dim not in codes:
                     codes[dim] = Codes(dim, directions)
-                for i, u, found in zip(at.tolist(), unit, codes[dim].decode(unit)):
+                step = max(1, SCORES // directions)
+                parts = (codes[dim].decode(unit[k : k + step]) for k in range(0, len(unit), step))
+                for i, u, found in zip(at.tolist(), unit, chain.from_iterable(parts)):
                     own = u.tobytes(), found.astype(np.int64).tobytes()
                     rows += [(label[i], dim, f, ids[i], copies[i], *own) for f in found.tolist()]
             columns = list(zip(*rows)) or [()] * 7
@@ -214,7 +220,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int
     that links lead to; rows with a null id may link, but are never the smallest
     unless there is no other.
 
-    Equal vectors are one class with a number of copies. Buckets of any size are
+    An empty table gives no rows, repeated rows a row each, and other columns are
+    not read. Equal vectors are one class with a number of copies, so that ties
+    make no difference. Buckets of any size are
     compared in blocks; a task gives sums and a root for each vector, not pairs.
     """
     rows = vectors.select(

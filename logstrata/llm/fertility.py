@@ -154,7 +154,9 @@ def measure(docs: DataFrame, vocabulary: str) -> DataFrame:
     """The measures of every document and hashes of its text, without a shuffle.
 
     ``vocabulary`` is the path of a SentencePiece model with byte fallback,
-    which every executor has. Null and empty texts have no words and no tokens.
+    which every executor has. Null and empty texts have no words and no tokens,
+    texts of any length are measured as a whole, and bytes that are no UTF-8 read
+    as U+FFFD. Other columns are not read.
     """
     taken = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),

@@ -371,7 +371,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     similarity of at least 80 percent; component_id is the smallest doc_id that
     links lead to. A text of fewer words is one shingle. Null, empty and blank
     texts have none and link with nothing. Repeated rows link with each other.
-    Null ids are never the smallest, unless there is no other: then null.
+    Null ids are never the smallest, unless there is no other: then null. Texts
+    of any length are compared as whole sets, an empty table gives no rows, and
+    other columns are not read.
     """
     documents, classes, edges = join(docs)
     roots = components(edges).select(F.col("node").alias("id"), "root")

@@ -354,7 +354,9 @@ def remove_repeated(docs: DataFrame) -> DataFrame:
     other words, joined by a space. Null, empty and blank texts have no words.
     Documents with a null id come before and after none: they lose nothing and
     take nothing. Rows of the same id are one document with several texts, which
-    do not count against each other; repeated rows get equal results.
+    do not count against each other; repeated rows get equal results. Texts of
+    any length are searched as a whole. An empty table gives no rows; other
+    columns are not read. Bytes that are no UTF-8 read as U+FFFD.
     """
     docs = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logstrata.llm.common import ascii_lower
+from logstrata.llm.common import ascii_lower, staged
 
 #: Hex digits of a digest that the join compares.
 PREFIX_DIGITS = 8
@@ -72,15 +72,16 @@ def expressions(rules: DataFrame) -> Column:
         F.sequence(first, F.size(parts)),
         lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."),
     )
-    count = F.length("path") - F.length(F.replace("path", F.lit("/"), F.lit("")))
-    tried = [
-        F.when(count >= n, F.concat(F.substring_index("path", "/", n), F.lit("/")))
-        for n in range(1, (most["slashes"] or 0) + 1)
-    ]
-    tried += [
-        F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in sorted(most["lengths"])
-    ]
-    paths = F.array_compact(F.array(*(tried or [F.lit(None).cast("string")])))
+    pieces = F.split("path", "/")
+    slashes_of = F.least(F.size(pieces) - 1, F.lit(most["slashes"] or 0))
+    to_slash = F.transform(
+        F.when(slashes_of > 0, F.sequence(F.lit(1), slashes_of)).otherwise(F.array().cast("array<int>")),
+        lambda i: F.concat(F.array_join(F.slice(pieces, F.lit(1), i), "/"), F.lit("/")),
+    )
+    lengths = F.array(*map(F.lit, most["lengths"])).cast("array<int>")
+    fitting = F.filter(lengths, lambda n: n <= F.length("path"))
+    cut = F.transform(fitting, lambda n: F.substring(F.col("path"), F.lit(1), n))
+    paths = F.array_distinct(F.concat(to_slash, cut))
     return F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda p: F.concat(h, p))))
 
 
@@ -91,7 +92,9 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     The longest fitting rule decides; of equally long ones that with the longer
     host. Without one the rule is null and the verdict ``default``. A null or
     broken URL has an empty host and path, which only rules of an empty host
-    could fit. Rows stay as they are: repeated and null page ids give a row each.
+    could fit. Rows stay as they are: repeated and null page ids give a row each,
+    an empty table none. URLs and rules may have any length; columns other than
+    page_id and url are not read.
 
     Verdicts are made once for each distinct (host, path), with partial
     aggregation, so a host with a third of all pages is a row for each of its
@@ -100,7 +103,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     """
     host, path = host_and_path(F.col("url"))
     pages = pages.select("page_id", host.alias("host"), path.alias("path"))
-    rules = read_rules(rules).cache()
+    rules = staged(read_rules(rules))
     many = rules.limit(BROADCAST_RULES + 1).count() > BROADCAST_RULES
     tried = (
         pages.select("host", "path")

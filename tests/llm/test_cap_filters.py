@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pytest
 
 from logstrata.llm import cap_filters
 
@@ -81,5 +82,21 @@ def test_list_decoding_is_complete():
         assert set(found.tolist()) == set(np.flatnonzero(scores >= least - 1e-12).tolist())
 
 
+@pytest.mark.parametrize("directions", [128, 512, 2048, 8192])
+@pytest.mark.parametrize("dim", [32, 64, 256])
+def test_recall_of_pairs_by_number_of_directions(directions, dim):
+    """Planted pairs from the threshold on nearly always share a filter."""
+    rng = np.random.default_rng([directions, dim])
+    code = cap_filters.Codes(dim, directions)
+    count = 120 if directions > 2048 else 300
+    for cosine in (0.98, 0.985, 0.99):
+        one = cap_filters.units(rng.standard_normal((count, dim)))
+        other = rng.standard_normal((count, dim))
+        other = cap_filters.units(other - (other * one).sum(axis=1, keepdims=True) * one)
+        two = cosine * one + math.sqrt(1 - cosine**2) * other
+        met = [bool(set(a.tolist()) & set(b.tolist())) for a, b in zip(code.decode(one), code.decode(two))]
+        assert np.mean(met) >= 0.95
+
+
 def test_empty_table(spark):
     assert cap_filters.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0

@@ -54,3 +54,15 @@ def test_shuffled_rules_and_empty_tables(spark, monkeypatch):
     assert sorted(map(repr, url_rules.judge(pages, rules).collect())) == sorted(map(repr, few))
     assert url_rules.judge(pages.limit(0), rules).count() == 0
     assert {r["verdict"] for r in url_rules.judge(pages, rules.limit(0)).collect()} == {"allow"}
+
+
+def test_a_rule_of_many_slashes_is_one_expression(spark):
+    deep = "/" + "a/" * 3000
+    rules = spark.createDataFrame([("com", deep, "block"), ("com", "/a", "block"), ("com", "/", "allow")],
+        "host string, path string, verdict string")
+    urls = [f"http://x.com{deep}b", f"http://x.com{deep[:-2]}", "http://x.com/ab", "http://x.com/b", "http://x.com"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    found = url_rules.judge(pages, rules)
+    assert len(found._jdf.queryExecution().optimizedPlan().toString()) < 200_000
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in found.collect()}
+    assert got == {0: ("com" + deep, "block"), 1: ("com/a", "block"), 2: ("com/a", "block"), 3: ("com/", "allow"), 4: (None, "allow")}
