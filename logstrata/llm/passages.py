@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logstrata.llm import words as W
-from logstrata.llm.common import forget, sized, staged
+from logstrata.llm.common import forget, staged
 
 #: Words of a window, and of the shingles among which it chooses its smallest.
 WINDOW, SHINGLE = 13, 5
@@ -274,11 +274,14 @@ def _searched(_: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
     )
 
 
-def first_documents(docs: DataFrame, shard_words: int = SHARD_WORDS, hot: int = HOT_SEGMENTS):
-    """doc_id, text_hash, start and firsts of the segments that documents share.
+def repeats(
+    docs: DataFrame, shard_words: int = SHARD_WORDS, hot: int = HOT_SEGMENTS
+) -> DataFrame:
+    """doc_id, text_hash and starts of the windows that a smaller document has.
 
-    ``docs``: doc_id, text_hash and text (bytes), doc_id not null. ``firsts`` is
-    the smallest doc_id that has each window of a segment, from ``start`` on.
+    ``docs``: doc_id, text_hash and text (bytes), doc_id not null. Segments that
+    documents share are indexed; ``firsts`` is the smallest doc_id that has each
+    window of a segment, from ``start`` on.
     """
     routes = staged(
         docs.mapInArrow(
@@ -291,11 +294,14 @@ def first_documents(docs: DataFrame, shard_words: int = SHARD_WORDS, hot: int =
         F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")
     )
     keys = keys.filter(F.col("low") < F.col("high"))
-    keys = sized(keys.select("shingle", (F.col("n") > hot).alias("hot")))
-    shared = routes.join(keys, "shingle")
-    wanted = shared.groupBy("doc_id", "text_hash").agg(
-        F.collect_set(F.struct("shingle", "start", "windows", "hot")).alias("wanted")
+    keys = staged(keys.select("shingle", (F.col("n") > hot).alias("hot")))
+    shared = routes.join(keys.hint("merge"), "shingle").groupBy("doc_id", "text_hash")
+    # Each step is written before the next one shuffles, to hold few shuffle files at once.
+    wanted = staged(
+        shared.agg(F.collect_set(F.struct("shingle", "start", "windows", "hot")).alias("wanted")),
+        "zstd",
     )
+    forget(routes)
     cut = staged(
         docs.join(wanted, ["doc_id", "text_hash"]).mapInArrow(
             _cut,
@@ -303,7 +309,7 @@ def first_documents(docs: DataFrame, shard_words: int = SHARD_WORDS, hot: int =
         ),
         "zstd",
     )
-    forget(routes)
+    forget(wanted)
     distinct = cut.groupBy("one", "two").agg(
         F.min("doc_id").alias("first_doc"),
         F.first("part").alias("part"),
@@ -318,36 +324,57 @@ def first_documents(docs: DataFrame, shard_words: int = SHARD_WORDS, hot: int =
     )
     found = staged(found)
     occurrences = cut.select("doc_id", "text_hash", "start", "one", "two")
-    return occurrences.join(found, ["one", "two"]).select("doc_id", "text_hash", "start", "firsts")
+    earlier = F.transform(
+        "firsts", lambda first, nth: F.when(first < F.col("doc_id"), F.col("start") + nth)
+    )
+    again = (
+        occurrences.join(found, ["one", "two"])
+        .select("doc_id", "text_hash", F.array_compact(earlier).alias("starts"))
+        .filter(F.size("starts") > 0)
+        .groupBy("doc_id", "text_hash")
+        .agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    )
+    again = staged(again, "zstd")
+    forget(cut)
+    forget(found)
+    return again
 
 
 # --- Removal -----------------------------------------------------------------
 
 
-def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        names = ("doc_id", "text", "starts")
-        for doc_id, text, starts in zip(*(batch.column(c).to_pylist() for c in names)):
-            words = kept = (text or b"").split()
-            if starts:
-                windows = np.zeros(len(words), bool)
-                windows[starts] = True
-                stays = ~W.covered(windows, WINDOW, len(words))
-                kept = [words[i] for i in np.flatnonzero(stays)]
-            joined = b" ".join(kept)
-            digest = hashlib.sha256(joined).hexdigest()
-            out.append((doc_id, len(words), len(words) - len(kept), digest, joined.decode()))
-        columns = list(zip(*out)) or [()] * 5
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(columns, types)],
-            ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"],
-        )
+_RESULT = {
+    "doc_id": pa.int64(), "n_words": pa.int64(), "n_removed": pa.int64(),
+    "kept_sha256": pa.string(), "kept_text": pa.string(),
+}
+
+
+def _removed(names: list[str]):
+    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            taken = (batch.column(c).to_pylist() for c in ("doc_id", "text", "starts"))
+            for doc_id, text, starts in zip(*taken):
+                words = kept = (text or b"").split()
+                if starts:
+                    windows = np.zeros(len(words), bool)
+                    windows[starts] = True
+                    stays = ~W.covered(windows, WINDOW, len(words))
+                    kept = [words[i] for i in np.flatnonzero(stays)]
+                joined = b" ".join(kept)
+                digest = hashlib.sha256(joined).hexdigest()
+                out.append((doc_id, len(words), len(words) - len(kept), digest, joined)[: len(names)])
+            columns = dict(zip(names, list(zip(*out)) or [()] * len(names)))
+            if "kept_text" in columns:
+                columns["kept_text"] = [t.decode() for t in columns["kept_text"]]
+            arrays = [pa.array(columns[n], _RESULT[n]) for n in names]
+            yield pa.RecordBatch.from_arrays(arrays, names)
 
+    return remove
 
-def remove_repeated(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 and kept_text of every row.
+
+def remove_repeated(docs: DataFrame, texts: bool = True) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 and, with ``texts``, kept_text of every row.
 
     Removed is each word in a window of 13 words that also starts in a document
     with a smaller doc_id, as the documents were before. ``kept_text`` has the
@@ -363,15 +390,9 @@ def remove_repeated(docs: DataFrame) -> DataFrame:
         F.xxhash64("text").alias("text_hash"),
         F.make_valid_utf8(F.col("text").cast("string")).cast("binary").alias("text"),
     )
-    firsts = first_documents(docs.filter(F.col("doc_id").isNotNull()))
-    earlier = F.transform(
-        "firsts", lambda first, nth: F.when(first < F.col("doc_id"), F.col("start") + nth)
-    )
-    again = (
-        firsts.select("doc_id", "text_hash", F.array_compact(earlier).alias("starts"))
-        .filter(F.size("starts") > 0)
-        .groupBy("doc_id", "text_hash")
-        .agg(F.flatten(F.collect_list("starts")).alias("starts"))
-    )
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
-    return docs.join(again, ["doc_id", "text_hash"], "left").mapInArrow(_removed, schema)
+    again = repeats(docs.filter(F.col("doc_id").isNotNull()))
+    names = list(_RESULT)[: 5 if texts else 4]
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
+    schema += ", kept_text string" if texts else ""
+    joined = docs.join(again, ["doc_id", "text_hash"], "left")
+    return joined.mapInArrow(_removed(names), schema)

@@ -11,8 +11,7 @@ NAME = "op4_passages"
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = passages.remove_repeated(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return passages.remove_repeated(table(spark, sf_dir, "documents"), texts=False)
 
 
 SQL = """

@@ -49,8 +49,8 @@ def rows():
 
 @pytest.mark.parametrize("options", [{}, {"shard_words": 200}, {"hot": 3, "shard_words": 500}])
 def test_same_as_brute_force(spark, monkeypatch, options):
-    found = passages.first_documents
-    monkeypatch.setattr(passages, "first_documents", lambda docs: found(docs, **options))
+    found = passages.repeats
+    monkeypatch.setattr(passages, "repeats", lambda docs: found(docs, **options))
     df = spark.createDataFrame([(*r, "x", "y") for r in rows()], SCHEMA)
     got = sorted((tuple(r) for r in passages.remove_repeated(df).collect()), key=repr)
     assert got == brute(rows())
