@@ -9,12 +9,15 @@ A shard puts its distinct segments into one sequence of word numbers and builds
 an FM-index over it: the Burrows-Wheeler transform in a wavelet matrix.
 Backward search gives, for every position, the length of the match that ends
 there, up to the threshold, and its interval of suffixes; the smallest document
-in the interval is the first one with that window.
+in the interval is the first one with that window. Where the row at a border of
+an interval has the word searched for, its LF mapping replaces the count.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -66,20 +69,30 @@ class WaveletMatrix:
 
 
 def suffix_array(symbols: np.ndarray) -> np.ndarray:
-    """Order of all suffixes, by doubling the sorted length until all differ."""
+    """Order of all suffixes, by doubling the sorted length of those that do not differ yet."""
     n = len(symbols)
-    rank, length = symbols.astype(np.int64), 1
+    bits = int(symbols.max() + 1).bit_length()
+    length = max(1, min(62 // bits, n))
+    key = np.zeros(n, np.int64)
+    for i in range(length):
+        key <<= bits
+        key[: n - i] |= symbols[i:] + 1
+    order, slots = np.arange(n), np.arange(n)
+    rank = np.empty(n, np.int64)
     while True:
-        second = np.zeros(n, np.int64)
-        second[: n - length] = rank[length:] + 1
-        key = rank * (int(rank.max()) + 2) + second
-        order = np.argsort(key, kind="stable")
-        sorted_key = key[order]
-        new = np.empty(n, np.int64)
-        new[order] = np.concatenate([[0], np.cumsum(sorted_key[1:] != sorted_key[:-1])])
-        if new[order[-1]] == n - 1:
+        # Suffixes that are equal so far hold neighbouring slots; the first is their rank.
+        by_key = np.argsort(key)
+        order[slots] = order[slots][by_key]
+        key = key[by_key]
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        rank[order[slots]] = slots[new][np.cumsum(new) - 1]
+        slots = slots[~(new & np.append(new[1:], True))]
+        if not len(slots):
             return order
-        rank, length = new, 2 * length
+        after = order[slots] + length
+        second = np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
+        key = rank[order[slots]] * (n + 1) + second
+        length *= 2
 
 
 class FMIndex:
@@ -101,12 +114,30 @@ class FMIndex:
         distinct = text + count
         distinct[ends] = np.arange(count - 1, -1, -1)
         order = suffix_array(distinct)
-        self.matrix = WaveletMatrix(text[order - 1], len(self.vocabulary) + 1)
+        self.last = text[order - 1]
+        self.matrix = WaveletMatrix(self.last, len(self.vocabulary) + 1)
+        # Row of the suffix that is longer by the symbol in ``last``.
+        row = np.empty(size, np.int64)
+        row[order] = np.arange(size)
+        self.longer = row[order - 1]
         counts = np.bincount(text, minlength=len(self.vocabulary) + 1)
         self.before = np.concatenate([[0], np.cumsum(counts)])
         self.doc_of = np.repeat(docs, lengths + 1)[order]
         self.size = size
 
+    def narrowed(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray):
+        """Intervals of the matches with a symbol put before them, empty where none is."""
+        top = high - 1
+        first, last = self.longer[low], self.longer[top] + 1
+        other, several = self.last[low] != symbol, low < top
+        last[other & ~several] = first[other & ~several]
+        for at, where, out in (
+            (low, other & several, first), (high, (self.last[top] != symbol) & several, last),
+        ):
+            rows = np.flatnonzero(where)
+            out[rows] = self.matrix.rank(symbol[rows], at[rows]) + self.before[symbol[rows]]
+        return first, last
+
     def matching(self, numbers: np.ndarray, ends: np.ndarray, most: int):
         """For each end in ``numbers``: the match that ends there, up to ``most``.
 
@@ -125,8 +156,7 @@ class FMIndex:
             alive, symbol = alive[symbol >= 0], symbol[symbol >= 0] + 1
             if not len(alive):
                 break
-            first = self.matrix.rank(symbol, low[alive]) + self.before[symbol]
-            last = self.matrix.rank(symbol, high[alive]) + self.before[symbol]
+            first, last = self.narrowed(symbol, low[alive], high[alive])
             found = first < last
             alive, first, last = alive[found], first[found], last[found]
             low[alive], high[alive] = first, last
@@ -151,33 +181,40 @@ class FMIndex:
 
 def smallest(hashes: np.ndarray) -> np.ndarray:
     """The smallest shingle of each window, given the hashes of all shingles."""
-    span = WINDOW - SHINGLE + 1
-    if len(hashes) < span:
-        return np.zeros(0, np.uint64)
-    return np.lib.stride_tricks.sliding_window_view(hashes, span).min(axis=1)
+    width, span = 1, WINDOW - SHINGLE + 1
+    while width < span:
+        step = min(width, span - width)
+        hashes = np.minimum(hashes[:-step], hashes[step:])
+        width += step
+    return hashes
+
 
+def segments(words: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Smallest shingle, text, first window and number of windows of each segment.
 
-def segments(found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Smallest shingle, first window and number of windows of each segment."""
-    least = smallest(W.gram_hashes(found, SHINGLE))
-    if not len(least):
-        return least, np.zeros(0, np.int64), np.zeros(0, np.int64)
-    starts = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-    return least[starts], starts, np.diff(np.append(starts, len(least)))
+    ``words``: of several texts, one after the other; ``before``: words before each, and of all.
+    """
+    least = smallest(W.gram_hashes(words, SHINGLE))
+    # Windows that reach into the next text are left out.
+    text = np.repeat(np.arange(len(before) - 1), np.diff(before))[: len(least)]
+    at = np.flatnonzero(np.arange(len(least)) + WINDOW <= before[1:][text])
+    least = least[at]
+    starts = np.ones(len(at), bool)
+    starts[1:] = (least[1:] != least[:-1]) | (at[1:] != at[:-1] + 1)
+    starts = np.flatnonzero(starts)
+    text = text[at[starts]]
+    return least[starts], text, at[starts] - before[text], np.diff(np.append(starts, len(at)))
 
 
 def _routes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = W.WordHashes()
     for batch in batches:
-        parts = [segments(hashes.of((t or b"").split())) for t in batch.column("text").to_pylist()]
-        counts = np.array([len(p[0]) for p in parts], np.int64)
-        key = np.concatenate([p[0] for p in parts]).view(np.int64)
-        own = [np.repeat(np.asarray(batch.column(c)), counts) for c in ("doc_id", "text_hash")]
+        found = W.spans(batch.column("text"))
+        shingle, text, start, windows = segments(W.span_hashes(found), found.before)
+        own = [np.asarray(batch.column(c))[text] for c in ("doc_id", "text_hash")]
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(key), *map(pa.array, own),
-                pa.array(np.concatenate([p[1] for p in parts]).astype(np.int32)),
-                pa.array(np.concatenate([p[2] for p in parts]).astype(np.int32)),
+                pa.array(shingle.view(np.int64)), *map(pa.array, own),
+                pa.array(start.astype(np.int32)), pa.array(windows.astype(np.int32)),
             ],
             ["shingle", "doc_id", "text_hash", "start", "windows"],
         )
@@ -203,16 +240,25 @@ def segment_keys(words: np.ndarray, starts: np.ndarray, windows: np.ndarray) ->
     return keys
 
 
+def _parts(found: W.Spans, at: np.ndarray, lengths: np.ndarray) -> list[bytes]:
+    """The bytes of so many words from a word on, with short gaps between them."""
+    first, stop = found.starts[at], found.ends[at + lengths - 1]
+    sizes = np.concatenate([[0], np.cumsum(found.ends - found.starts)])
+    wide = stop - first > sizes[at + lengths] - sizes[at] + lengths - 1
+    data = found.data.tobytes()
+    parts = [data[a:b] for a, b in zip(first.tolist(), stop.tolist())]
+    for i in np.flatnonzero(wide).tolist():
+        parts[i] = b" ".join(parts[i].split())
+    return parts
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The text of the wanted segments; of hot shingles a segment for each window."""
-    hashes = W.WordHashes()
     for batch in batches:
-        split = [(t or b"").split() for t in batch.column("text").to_pylist()]
-        found = [hashes.of(s) for s in split]
-        before = np.cumsum([0] + [len(f) for f in found])
+        found = W.spans(batch.column("text"))
         wanted = batch.column("wanted")
         counts = np.diff(np.asarray(wanted.offsets))
-        doc = np.repeat(np.arange(len(found)), counts)
+        doc = np.repeat(np.arange(batch.num_rows), counts)
         parts = wanted.flatten()
         shingle, start, windows, hot = (
             np.asarray(parts.field(c).to_numpy(zero_copy_only=False))
@@ -223,14 +269,9 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc, shingle, hot = (np.repeat(x, times) for x in (doc, shingle, hot))
         start = np.repeat(start, times) + nth
         windows = np.where(hot, 1, np.repeat(windows, times)).astype(np.int64)
-        words = np.concatenate(found) if found else np.zeros(0, np.uint64)
-        at = before[doc] + start
-        one, two = segment_keys(words, at, windows)
-        lengths = windows + WINDOW - 1
-        part = [
-            b" ".join(split[d][s : s + n])
-            for d, s, n in zip(doc.tolist(), start.tolist(), lengths.tolist())
-        ]
+        at = found.before[doc] + start
+        one, two = segment_keys(W.span_hashes(found), at, windows)
+        part = _parts(found, at, windows + WINDOW - 1)
         own = [np.asarray(batch.column(c))[doc] for c in ("doc_id", "text_hash")]
         yield pa.RecordBatch.from_arrays(
             [
@@ -241,26 +282,19 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-class Numbers(dict):
-    """Numbers of words in the order they are met."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = len(self)
-        return self[word]
-
-
 def _searched(_: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Index the segments of a shard and stream them past the index."""
     tables = list(batches)
     one, two, docs = (
         np.concatenate([np.asarray(b.column(c)) for b in tables]) for c in ("one", "two", "first_doc")
     )
-    parts = [p.split() for b in tables for p in b.column("part").to_pylist()]
-    lengths = np.array([len(p) for p in parts], np.int64)
-    known = Numbers()
-    words = np.fromiter((known[w] for p in parts for w in p), np.int64, lengths.sum())
-    index = FMIndex(words, lengths, docs)
-    numbers = np.searchsorted(index.vocabulary, words)
+    parts = [b.column("part") for b in tables]
+    lengths = np.concatenate([np.diff(W.spans(p).before) for p in parts])
+    # Words have numbers in the order they are met, so that the index keeps them.
+    known = defaultdict(itertools.count().__next__)
+    split = itertools.chain.from_iterable(b" ".join(p.to_pylist()).split() for p in parts)
+    numbers = np.fromiter(map(known.__getitem__, split), np.int64, lengths.sum())
+    index = FMIndex(numbers, lengths, docs)
     within = np.arange(len(numbers)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     ends = np.flatnonzero(within >= WINDOW - 1)
     length, low, high = index.matching(numbers, ends, WINDOW)

@@ -3,6 +3,8 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from logstrata.llm import passages
@@ -93,3 +95,65 @@ def test_segment_keys_depend_on_words_alone():
     keys = passages.segment_keys(words, np.array([0, 20, 1]), np.array([5, 5, 5]))
     assert all(k[0] == k[1] != k[2] for k in keys)
     assert W.covered(np.array([1, 0, 0, 0], bool), 2, 4).tolist() == [True, True, False, False]
+
+
+def batch(texts):
+    ids = pa.array(range(len(texts)), pa.int64())
+    arrays = [ids, ids, pa.array([t.encode() for t in texts], pa.binary())]
+    return pa.RecordBatch.from_arrays(arrays, ["doc_id", "text_hash", "text"])
+
+
+def test_segments_of_a_batch_are_those_of_its_texts():
+    texts = [(t or "") for _, t in rows()]
+    (got,) = passages._routes(iter([batch(texts)]))
+    for i, text in enumerate(texts):
+        (one,) = passages._routes(iter([batch([text])]))
+        mine = got.filter(pc.equal(got["doc_id"], i)).select(["shingle", "start", "windows"])
+        assert mine.equals(one.select(["shingle", "start", "windows"]))
+        covered = [s + k for s, n in zip(*map(pa.Array.to_pylist, mine.columns[1:])) for k in range(n)]
+        assert covered == list(range(max(0, len(text.encode().split()) - 12)))
+
+
+def test_suffix_array_sorts_all_suffixes():
+    rng = np.random.default_rng(5)
+    for most in (1, 2, 9, 2**40):
+        for n in (1, 2, 30, 200):
+            symbols = rng.integers(0, most, n)
+            plain = sorted(range(n), key=lambda i: symbols[i:].tolist())
+            assert passages.suffix_array(symbols).tolist() == plain
+
+
+def test_parts_are_the_words_with_short_gaps():
+    texts = ["a  b \t c", "", "d e" + " " * 99 + "f g"]
+    found = W.spans(batch(texts).column("text"))
+    parts = passages._parts(found, np.array([0, 3, 5]), np.array([3, 2, 2]))
+    assert parts == [b"a b c", b"d e", b"f g"]
+
+
+def test_rare_words_cost_no_call_each(monkeypatch):
+    """Before, a task hashed each word again that it could not remember."""
+    calls = []
+    monkeypatch.setattr(W, "REMEMBERED", 10)
+    monkeypatch.setattr(W.xxhash, "xxh3_64_intdigest", lambda word: calls.append(word) or len(calls))
+    texts = [" ".join(f"w{i}" for i in range(k, k + 200)) for k in range(0, 2000, 100)]
+    (routes,) = passages._routes(iter([batch(texts)]))
+    assert routes.num_rows > 0 and not calls
+
+
+def test_deep_matches_need_few_counts(monkeypatch):
+    """Before, each step of each search counted twice through all levels."""
+    asked, rank = [], passages.WaveletMatrix.rank
+
+    def counted(matrix, symbols, at):
+        asked.append(len(symbols))
+        return rank(matrix, symbols, at)
+
+    monkeypatch.setattr(passages.WaveletMatrix, "rank", counted)
+    words = np.random.default_rng(6).integers(0, 2000, 20_000)
+    lengths = np.full(1000, 20)
+    index = passages.FMIndex(words, lengths, np.arange(1000))
+    ends = np.flatnonzero(np.arange(20_000) % 20 >= 12)
+    length, low, high = index.matching(np.searchsorted(index.vocabulary, words), ends, 13)
+    assert (length == 13).all() and (high > low).all()
+    assert (index.first_doc(low, high) == ends // 20).all()
+    assert sum(asked) < 2 * 12 * len(ends) / 5
