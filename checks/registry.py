@@ -760,7 +760,7 @@ def _walk_sql(order: str) -> str:
 @log_query("page_walk", _walk_sql("timestamp DESC"))
 def page_walk(logs):
     request = explore.Request(cursor=NOW, size=_WALK_SIZE, filters=_WALK_FILTERS)
-    return paging.concat_pages(list(walk.walk(logs, request)))
+    return paging.concat_pages(walk.walk(logs, request))
 
 
 def _sorted_walk_sql(steps: int = 40, size: int = 300) -> str:

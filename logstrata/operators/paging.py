@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Row
@@ -181,8 +181,18 @@ def project(rows: DataFrame) -> DataFrame:
     )
 
 
-def concat_pages(pages: list[DataFrame]) -> DataFrame:
+class Pages(Iterator[DataFrame]):
+    """Pages that come one by one, or all together."""
+
+    def joined(self) -> DataFrame:
+        """The rows of all pages in page order."""
+        raise NotImplementedError
+
+
+def concat_pages(pages: list[DataFrame] | Pages) -> DataFrame:
     """Pages one after another, without removing duplicates."""
+    if isinstance(pages, Pages):
+        return pages.joined()
     joined = pages[0]
     for rows in pages[1:]:
         joined = joined.unionByName(rows)

@@ -10,10 +10,11 @@ from typing import Any
 from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from logstrata.functions.time import day, from_ms, ntz, to_ms, utc
+from logstrata.functions.time import day, epoch_ms, from_ms, ntz, to_ms, utc
 from logstrata.operators import paging
 from logstrata.operators.filters import where
 from logstrata.plans import rollup as rollups
+from logstrata.plans import steps
 from logstrata.plans.request import Request
 from logstrata.sources import files
 
@@ -95,7 +96,7 @@ def _full_from(logs: DataFrame, rollup: DataFrame, request: Request) -> DataFram
     return logs.filter((ts >= ntz(hour)) & (on_day >= day(hour)))
 
 
-def walk(logs: DataFrame, request: Request) -> Iterator[DataFrame]:
+class Walk(paging.Pages):
     """Next pages from the request's cursor on, as a scrolling reader asks.
 
     Pages keep the request's sort. Each starts below the last row's millisecond
@@ -105,9 +106,34 @@ def walk(logs: DataFrame, request: Request) -> Iterator[DataFrame]:
     or a page is empty. That count includes the cursor and so shrinks on the
     way; use ``extract`` for all rows.
 
-    A page is read once: it is kept while its number of rows, its last row and
-    the count are found, of which alone the driver sees one row each.
+    As an iterator it asks for page after page. A page is read once: it is kept
+    while its number of rows, its last row and the count are found, of which
+    alone the driver sees one row each. ``joined`` gives the rows of all pages,
+    also of those that were taken before; newest first it takes as many jobs for
+    any number of pages.
     """
+
+    def __init__(self, logs: DataFrame, request: Request):
+        self._logs, self._request = logs, request
+        self._pages = _asked(logs, request)
+
+    def __next__(self) -> DataFrame:
+        return next(self._pages)
+
+    def joined(self) -> DataFrame:
+        if self._request.sort == ("timestamp", False) and self._request.size > 0:
+            return _newest_first(self._logs, self._request)
+        pages = list(_asked(self._logs, self._request))
+        return paging.concat_pages(pages) if pages else _none(self._logs)
+
+
+def walk(logs: DataFrame, request: Request) -> Walk:
+    """The pages from the request's cursor on; see ``Walk``."""
+    return Walk(logs, request)
+
+
+def _asked(logs: DataFrame, request: Request) -> Iterator[DataFrame]:
+    """Page after page of a walk."""
     fetched = 0
     while True:
         page = paging.page(
@@ -129,6 +155,35 @@ def walk(logs: DataFrame, request: Request) -> Iterator[DataFrame]:
         request = dataclasses.replace(request, cursor=from_ms(to_ms(last)))
 
 
+def _newest_first(logs: DataFrame, request: Request) -> DataFrame:
+    """All pages of a newest-first walk: every row down to the end of the last
+    page, less the rest of each millisecond in which a page ends."""
+    ends = steps.page_ends(logs, request)
+    last = ends.agg(F.min("ms")).first()[0]
+    if last is None:
+        return _none(logs)
+    starts = [request.filters.get("startDate"), from_ms(last)]
+    starts = [utc(start) for start in starts if start is not None]
+    filters = {**request.filters, "startDate": max(starts, default=None)}
+    rows = logs.filter(where(logs, filters, request.cursor)).select(
+        *paging.PAGE_COLUMNS, epoch_ms(F.col("timestamp")).alias("ms")
+    )
+    cut = ends.filter("taken < n").select("ms", "taken")
+    within = Window.partitionBy("ms").orderBy(*paging.ordering(request.sort))
+    ranked = rows.join(cut, "ms").withColumn("place", F.row_number().over(within))
+    # The page size bounds ``taken``; as a constant it lets tasks drop rows early.
+    taken = F.col("place") <= F.col("taken")
+    if request.size < 2**31:
+        taken = (F.col("place") <= request.size) & taken
+    whole = rows.join(cut, "ms", "left_anti").select(paging.PAGE_COLUMNS)
+    kept = whole.unionByName(ranked.filter(taken).select(paging.PAGE_COLUMNS))
+    return kept.orderBy(*paging.ordering(request.sort))
+
+
+def _none(logs: DataFrame) -> DataFrame:
+    return logs.select(paging.PAGE_COLUMNS).limit(0)
+
+
 def page_bounds(
     logs: DataFrame,
     size: int,
